@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import quality, sharding, substrings
 from .common import table
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 35-word windows that occur more than once."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes along a Hilbert curve."""
     out = sharding.document_shards(table(spark, sf_dir, "documents"), 8)
@@ -24,8 +30,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), places AS (
+  SELECT r, unnest(range(1, len(ws) - 33)) AS i, ws FROM words WHERE len(ws) >= 35
+), hashed AS (
+  SELECT r, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM places
+), twice AS (
+  SELECT h FROM hashed GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT r, list(DISTINCT k) AS ks FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM hashed JOIN twice USING (h)) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(ks, k)), lambda k: ws[k]) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": _OP3_SQL}
