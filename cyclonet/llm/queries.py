@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, substrings
+from . import near_dedup, quality, sharding, substrings
 from .common import table
 
 
@@ -29,10 +29,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, at a weighted Jaccard similarity of 0.8."""
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 _OP3_SQL = r"""
