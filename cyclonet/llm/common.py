@@ -59,3 +59,8 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataF
     local = ranged.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_l_{new}") for new, c in amount.items()))
     joined = local.join(F.broadcast(starts), "_range")
     return joined.select(*df.columns, *((F.col(f"_l_{new}") + F.col(f"_s_{new}")).alias(new) for new in amount))
+
+
+def long_array(values: list[int]) -> Column:
+    """A literal array, folded to a constant by the optimizer; one call instead of one for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

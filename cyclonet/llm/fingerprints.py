@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, partitions
+from .common import LOWEST, long_array, partitions
 
 K, S = 5, 2
 PIECE = 12
@@ -68,7 +68,7 @@ def likeness(a: str, b: str) -> Column:
 def _bucket(value: Column, cuts: list[int]) -> Column:
     """How many of the sorted cuts are at most value, by binary search over a literal array."""
     depth = max(1, len(cuts)).bit_length()
-    table = F.lit([*cuts, *[(1 << 63) - 1] * ((1 << depth) - len(cuts))]).cast("array<bigint>")
+    table = long_array([*cuts, *[(1 << 63) - 1] * ((1 << depth) - len(cuts))])
     steps = F.array(*(F.lit(1 << d) for d in range(depth - 1, -1, -1)))
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
 

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, quality, sharding, substrings
+from . import fingerprints, near_dedup, pii, quality, sharding, substrings
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document, with the terms that disclose them."""
+    return pii.digest(pii.locate(table(spark, sf_dir, "documents")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 35-word windows that occur more than once."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
@@ -40,6 +45,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_sharding": op8_sharding,
