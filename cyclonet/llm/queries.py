@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, pii, quality, sharding, substrings
+from . import bpe, fingerprints, near_dedup, packing, pii, quality, sharding, substrings
 from .common import table
 
 
@@ -16,12 +16,24 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.locate(table(spark, sf_dir, "documents")))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the text decoded from them, as checksums."""
+    out = bpe.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    ids = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", ids.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 35-word windows that occur more than once."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), 2048)
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syncmer fingerprints of every document and of its edited text."""
     return fingerprints.compare_documents(table(spark, sf_dir, "documents"))
@@ -46,7 +58,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
