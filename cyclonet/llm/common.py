@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 LOWEST = -(1 << 63)
 
 
+def shield(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the needed ones under names that no operator uses, and what gives back df's columns."""
+    hidden = {c: f"_x{i}" for i, c in enumerate(df.columns) if c not in needed}
+    back = {v: k for k, v in hidden.items()}
+    return df.withColumnsRenamed(hidden), lambda out: out.select(*(hidden.get(c, c) for c in df.columns)).withColumnsRenamed(back)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shield
 from .words import inside, mix, split, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -162,7 +162,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    measured = materialize(measure(docs, ["doc_id", "lang"]))
-    limits = materialize(cutoffs(measured, labels, "lang"))
-    judged = verdict(measure(docs, [*docs.columns]), limits, "lang")
-    return judged.filter("kept").select(*docs.columns)
+    docs, restore = shield(docs, ("doc_id", "lang", "text"))
+    limits = materialize(cutoffs(materialize(measure(docs, ["doc_id", "lang"])), labels, "lang"))
+    return restore(verdict(measure(docs, docs.columns), limits, "lang").filter("kept"))

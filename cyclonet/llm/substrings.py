@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, row_key
+from .common import materialize, partitions, row_key, shield
 from .words import inside, mix, sliding, split, windows
 
 SKETCH_ROWS = 2
@@ -260,3 +260,10 @@ def remove_repeats(docs: DataFrame, size: int = 35, width_bits: int = 26) -> Dat
     out = joined.mapInArrow(cut, ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(ids, fields, strict=True)), "n_words long, n_removed long, _kept binary"]))
     # The words' bytes are those of valid text, cut at ASCII only.
     return out.select(*(F.col(k).alias(c) for k, c in zip(ids, keep, strict=True)), "n_words", "n_removed", F.col("_kept").cast("string").alias("kept"))
+
+
+def rewrite_documents(docs: DataFrame, size: int = 35, width_bits: int = 26) -> DataFrame:
+    """docs whose texts lose their repeated windows; a text that loses none stays as it is."""
+    docs, restore = shield(docs, ("doc_id", "text"))
+    out = remove_repeats(docs, size, width_bits)
+    return restore(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))))
