@@ -15,8 +15,9 @@ from .windows import average_rank, center
 
 
 def _moments(df: DataFrame, by: list[str], x: str, y: str, least: int) -> DataFrame:
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("_r"))
-    return out.select(*by, "n", F.when((F.col("n") >= least) & ~F.isnan("_r"), F.col("_r")).alias("r"))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"))
+    enough = (F.col("n") >= least) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
+    return out.select(*by, "n", F.when(enough, F.col("_c") / (F.sqrt("_vx") * F.sqrt("_vy"))).alias("r"))
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str, least: int = 3, group: list[str] | None = None) -> DataFrame:
