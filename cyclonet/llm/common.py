@@ -32,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: written to the shared folder and read back, so that a lost executor costs no recomputation."""
+def materialize(df: DataFrame, shrink: int = 1) -> DataFrame:
+    """Cuts the lineage: written to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    shrink: for tables that are a small part of the input, into that many times fewer files than shuffle partitions.
+    """
     spark = df.sparkSession
+    if shrink > 1:
+        df = df.coalesce(max(2, partitions(spark) // shrink))
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
