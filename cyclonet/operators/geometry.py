@@ -152,3 +152,31 @@ def order_null(df: DataFrame, by: list[str], order: str, x: str, y: str, n: int,
 
     r = replicates(df.select(*by, order, x, y), n).withColumn("_u", draw(seed, "rep", *by, order))
     return steps(r, ["rep", *by], "_u", x, y).groupBy("rep", *by).agg(F.sum("area").alias("signed_area"))
+
+
+def readout(df: DataFrame, by: list[str], x: str, y: str, target: str) -> DataFrame:
+    """c1, c2: coefficients of the linear readout of the target from two columns per key (with intercept), closed form."""
+    out = df.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL AND {target} IS NOT NULL").groupBy(*by).agg(
+        F.var_pop(x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.var_pop(y).alias("syy"), F.covar_pop(x, target).alias("xt"), F.covar_pop(y, target).alias("yt")
+    )
+    det = F.col("sxx") * F.col("syy") - F.col("sxy") ** 2
+    c = lambda v: F.when(det > 1e-12, v / det)
+    return out.select(*by, c(F.col("syy") * F.col("xt") - F.col("sxy") * F.col("yt")).alias("c1"), c(F.col("sxx") * F.col("yt") - F.col("sxy") * F.col("xt")).alias("c2"))
+
+
+def observability(maps: DataFrame, readouts: DataFrame, by: list[str]) -> DataFrame:
+    """Direction A'c that the readout c sees one step later, its gain |A'c| / |c| and the angle between both in degrees."""
+    out = maps.join(readouts, by)
+    out = out.withColumns({"d1": F.col("a11") * F.col("c1") + F.col("a21") * F.col("c2"), "d2": F.col("a12") * F.col("c1") + F.col("a22") * F.col("c2")})
+    norm, seen = F.sqrt(F.col("c1") ** 2 + F.col("c2") ** 2), F.sqrt(F.col("d1") ** 2 + F.col("d2") ** 2)
+    dot = (F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2")) / F.when((norm > 0) & (seen > 0), norm * seen)
+    return out.select(*by, "c1", "c2", "d1", "d2", F.when(norm > 0, seen / norm).alias("gain"), F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))).alias("angle"))
+
+
+def gradient_angle(samples: DataFrame, by: list[str], x: str, y: str, first: str, second: str) -> DataFrame:
+    """Angle in degrees between the readouts of two targets for each key (a replicate, say)."""
+    a = readout(samples, by, x, y, first)
+    b = readout(samples, by, x, y, second).withColumnsRenamed({"c1": "e1", "c2": "e2"})
+    n = F.sqrt(F.col("c1") ** 2 + F.col("c2") ** 2) * F.sqrt(F.col("e1") ** 2 + F.col("e2") ** 2)
+    dot = (F.col("c1") * F.col("e1") + F.col("c2") * F.col("e2")) / F.when(n > 0, n)
+    return a.join(b, by).select(*by, F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))).alias("angle"))

@@ -151,3 +151,22 @@ def _area_modes(s, d):
         part = geo.path(df, G, "cycle", x, y).select(F.lit(name).alias("scaling"), "regime_id", "signed_area", "net")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _observability(s, d):
+    c = geo.map_coordinates(panel(s, d), G, "cycle", "x", "w")
+    return geo.observability(geo.map_fit(c, G), geo.readout(c, G, "u", "v", "y"), G)
+
+
+def _gradient_angle(s, d):
+    """Bootstrap of the angle between the readouts of two columns: median and central 95 %."""
+    boot = nul.row_bootstrap(_z(s, d).withColumn("n", F.col("n").cast("double")), G, "cycle", ["x_z", "y_z", "w_z", "n"], 50)
+    q = lambda v: F.expr(f"percentile(angle, {v})")
+    return geo.gradient_angle(boot, ["rep"], "x_z", "y_z", "w_z", "n").agg(q(0.5).alias("median"), q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+register("map_observability", _observability, "regime_id", "gain angle c1 c2")
+register("geo_gradient_angle", _gradient_angle, "", "median low high")
+register("map_readout", lambda s, d: geo.readout(panel(s, d).withColumns({"x": F.col("x") / 1e6, "y": F.col("y") / 1e5}), G, "x", "y", "w"), "regime_id", "c1 c2", PANEL, """
+  SELECT regime_id, (syy * xt - sxy * yt) / (sxx * syy - sxy * sxy) AS c1, (sxx * yt - sxy * xt) / (sxx * syy - sxy * sxy) AS c2
+  FROM (SELECT regime_id, var_pop(x / 1e6) AS sxx, covar_pop(x / 1e6, y / 1e5) AS sxy, var_pop(y / 1e5) AS syy, covar_pop(x / 1e6, w) AS xt, covar_pop(y / 1e5, w) AS yt FROM panel GROUP BY 1)""")
