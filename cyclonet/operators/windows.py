@@ -14,22 +14,29 @@ def over(by: list[str]):
     return Window.partitionBy(*(by or [F.lit(0)]))
 
 
+def with_stats(df: DataFrame, by: list[str], stats: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of each row's group: over a window, or, without groups, from one aggregated row joined to all."""
+    if by:
+        return df.withColumns({k: v.over(over(by)) for k, v in stats.items()})
+    return df.crossJoin(F.broadcast(df.agg(*(v.alias(k) for k, v in stats.items()))))
+
+
 def center(df: DataFrame, by: list[str], cols: list[str], suffix: str = "_wc", before: bool = True) -> DataFrame:
     """Adds col minus its group mean; with `before`, rows with a non-finite column are dropped first."""
     if before:
         df = df.filter(reduce(lambda a, b: a & b, map(is_finite, cols)))
-    return df.withColumns({c + suffix: F.col(c) - F.avg(c).over(over(by)) for c in cols})
+    means = {f"_m_{c}": F.avg(c) for c in cols}
+    return with_stats(df, by, means).withColumns({c + suffix: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*means)
 
 
 def zscore(df: DataFrame, by: list[str], cols: list[str], ddof: int = 0, suffix: str = "_z") -> DataFrame:
     """Group z-scores. ddof 0: population sd, a zero sd gives 0; ddof 1: sample sd, a zero or missing sd gives null."""
-    w = over(by)
+    stats = {f"_m_{c}": F.avg(c) for c in cols} | {f"_s_{c}": (F.stddev_pop if ddof == 0 else F.stddev_samp)(c) for c in cols}
     out = {}
     for c in cols:
-        sd = F.stddev_pop(c).over(w) if ddof == 0 else F.stddev_samp(c).over(w)
-        z = F.when(sd > 0, (F.col(c) - F.avg(c).over(w)) / sd)
+        z = F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
         out[c + suffix] = z.otherwise(0.0) if ddof == 0 else z
-    return df.withColumns(out)
+    return with_stats(df, by, stats).withColumns(out).drop(*stats)
 
 
 def pooled_z(df: DataFrame, by: list[str], cols: list[str], suffix: str = "_pz") -> DataFrame:
@@ -58,13 +65,13 @@ def robust_z(df: DataFrame, by: list[str], col: str, scale: str = "iqr", suffix:
 
 def minmax(df: DataFrame, by: list[str], cols: list[str], invert: bool = False, suffix: str = "_mm") -> DataFrame:
     """Scaled to [0, 1] within the group, a constant to 0; optionally 1 minus that."""
-    w = over(by)
+    stats = {f"_lo_{c}": F.min(c) for c in cols} | {f"_hi_{c}": F.max(c) for c in cols}
     out = {}
     for c in cols:
-        span = F.max(c).over(w) - F.min(c).over(w)
-        v = F.when(span > 0, (F.col(c) - F.min(c).over(w)) / span).otherwise(0.0)
+        low, high = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        v = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
         out[c + suffix] = 1 - v if invert else v
-    return df.withColumns(out)
+    return with_stats(df, by, stats).withColumns(out).drop(*stats)
 
 
 def average_rank(by: list[str], col: str) -> Column:
