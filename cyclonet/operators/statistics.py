@@ -185,7 +185,7 @@ def threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     c = counts.withColumns({"lp": F.sum("p").over(below), "lq": F.sum("q").over(below), "prev": F.lag("s").over(w)}).filter("prev IS NOT NULL").crossJoin(F.broadcast(tot))
     c = c.withColumns({"cut": (F.col("s") + F.col("prev")) / 2, "sensitivity": 1 - F.col("lp") / F.col("tp"), "specificity": F.col("lq") / F.col("tq")})
     c = c.withColumn("balanced", (F.col("sensitivity") + F.col("specificity")) / 2)
-    best = c.agg(F.min(F.struct((-F.col("balanced")).alias("b"), "cut", "sensitivity", "specificity")).alias("m"))
+    best = c.agg(F.min(F.struct((-F.round("balanced", 12)).alias("b"), "cut", "sensitivity", "specificity")).alias("m"))
     return best.select(F.col("m.cut").alias("cut"), F.col("m.sensitivity").alias("sensitivity"), F.col("m.specificity").alias("specificity"), (-F.col("m.b")).alias("balanced_accuracy"))
 
 
