@@ -26,7 +26,7 @@ from .words import inside, mix, sliding, split, windows
 
 SKETCH_ROWS = 2
 BLOCK_BITS = 16
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def gram_size(size: int) -> int:

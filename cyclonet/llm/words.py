@@ -14,7 +14,7 @@ import pyarrow as pa
 #: An odd base; its inverse modulo 2**64 moves a prefix sum to the start of a word or window.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
