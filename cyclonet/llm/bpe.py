@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BASE, BASE_INV, mix, powers
+from .words import BASE, BASE_INV, mix, powers, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -293,17 +293,3 @@ def encode_texts(docs: DataFrame, keep: list[str], path: str | None = None) -> D
     fields = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(names, keep, strict=True)]
     out = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), "text").mapInArrow(run, ", ".join([*fields, "ids binary, decoded string"]))
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, names, strict=True)), "ids", "decoded")
-
-
-def slices(b: pa.RecordBatch, column: int = -1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `size` bytes of text each."""
-    texts = b.column(b.num_columns + column if column < 0 else column)
-    n = b.num_rows
-    if not n:
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + n + 1]
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, "right")) - 1)
-        yield b.slice(at, to - at)
-        at = to

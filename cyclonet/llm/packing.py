@@ -17,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, default_path, encode_batch, slices
+from .bpe import codec, default_path, encode_batch
 from .common import materialize
+from .words import slices
 
 FAN_IN = 8
 END_ID = 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, row_key, shield
-from .words import inside, mix, sliding, split, windows
+from .words import inside, mix, slices, sliding, split, windows
 
 SKETCH_ROWS = 2
 BLOCK_BITS = 16
@@ -252,10 +252,11 @@ def remove_repeats(docs: DataFrame, size: int = 35, width_bits: int = 26) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [kept_words(t or b"", r, size) for t, r in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True)]
-            n, removed, text = zip(*got, strict=True) if got else ((), (), ())
-            extra = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *extra], names=[*ids, "n_words", "n_removed", "_kept"])
+            for part in slices(b, len(keep)):
+                got = [kept_words(t or b"", r, size) for t, r in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True)]
+                n, removed, text = zip(*got, strict=True)
+                extra = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *extra], names=[*ids, "n_words", "n_removed", "_kept"])
 
     out = joined.mapInArrow(cut, ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(ids, fields, strict=True)), "n_words long, n_removed long, _kept binary"]))
     # The words' bytes are those of valid text, cut at ASCII only.

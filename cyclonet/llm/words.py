@@ -134,3 +134,17 @@ def sliding(x: np.ndarray, size: int, op) -> np.ndarray:
     if width < size:
         x = op(x[: len(x) - (size - width)], x[size - width :])
     return x
+
+
+def slices(b: pa.RecordBatch, column: int = -1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `size` bytes of text each."""
+    texts = b.column(b.num_columns + column if column < 0 else column)
+    n = b.num_rows
+    if not n:
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + n + 1]
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + size, "right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
