@@ -27,7 +27,7 @@ from .words import BASE, BASE_INV, mix, powers, slices
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_CHARS = 2 << 20
-CACHE = 600_000  # pre-tokens kept by a worker
+CACHE = 150_000  # pre-tokens kept by a worker
 
 
 def default_path() -> str:
