@@ -11,8 +11,11 @@ one's sample. A band is one bin number over all passes.
 
 Candidates. Equal texts are one node. In each band's buckets every node meets one pivot, and pairs are verified by the
 exact weighted Jaccard similarity. A pivot has then met its whole bucket and leaves it; buckets that still hold several
-components get another one, and so on until none is left or two rounds find no link. No bucket is ever expanded into
-pairs, whatever its size.
+components get another one. Where pivots link little any more, each bucket that still holds several components is split
+by the shingles of its texts' prefixes: with shingles in one order, rarest first, two texts of the least similarity
+share one among those from which on a text still has that share of its weight. The parts take pivots, twice as many
+each round, until none holds several components, so every pair of a bucket is linked, tested or ruled out by its
+weights.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ SIZE = 5
 PASSES, BINS = 4, 16
 STRENGTH = 0.5
 DF_ROWS, DF_BITS, DF_BLOCK = 2, 18, 12
-#: The rounds end when this many in a row link at most this share of the pairs they test.
+#: Buckets are split by prefixes when this many rounds in a row link at most this share of the pairs they test.
 QUIET_ROUNDS, QUIET_SHARE = 2, 0.01
+PIVOTS = 16  # of a part in the first round after the split
+SLACK = 1 - 1e-6  # for sums of weights in another order
 SHRINK = 16  # links and pairs are a small part of the input
 
 
@@ -209,6 +214,70 @@ def verify(pairs: DataFrame, texts: DataFrame, tables: Broadcast, least: float)
     return joined.select("node", "pivot", "_a", "_b").mapInArrow(run, "node string, pivot string")
 
 
+def prefixes(texts: DataFrame, tables: Broadcast, least: float) -> DataFrame:
+    """node, its weight, and the shingles one of which every text that similar has in its own prefix, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in split(b.column(1)):
+                owner, value, count = shingles(w)
+                idf = weights(value, np.ones(len(value), np.int64), tables.value)
+                order = np.lexsort((value, -idf, owner))
+                owner, value, weight = owner[order], value[order], (count * idf)[order]
+                total = np.bincount(owner, weight, minlength=w.docs)
+                upto = np.append(0.0, np.cumsum(weight))
+                before = upto[:-1] - upto[np.searchsorted(owner, owner)]
+                keep = total[owner] - before >= least * SLACK * total[owner]
+                at = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=w.docs)))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value[keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, w.docs), pa.array(total), lists], names=["node", "size", "prefix"])
+
+    return texts.select("node", "text").mapInArrow(run, "node string, size double, prefix array<bigint>")
+
+
+def mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that hold several components, with their labels."""
+    named = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("bucket")
+    return named.join(several, "bucket").select(*members.columns, "label")
+
+
+def settle(members: DataFrame, links: DataFrame | None, labels: DataFrame | None, texts: DataFrame, tables: Broadcast, least: float) -> DataFrame | None:
+    """links with all that the buckets' members still lack, so that each similar pair of a bucket is in one component.
+
+    Parts of up to `pivots` members are tested pair by pair; in larger ones each member meets that many pivots, which
+    then leave. The pairs tested grow with a part's size only for pairs that weights and prefixes cannot tell apart.
+    """
+    members = materialize(mixed(members, labels))
+    if members.isEmpty():
+        return links
+    cut = materialize(prefixes(texts.join(members.select("node").distinct(), "node", "left_semi"), tables, least))
+    parts = members.drop("label").join(cut, "node").withColumn("_s", F.explode("prefix"))
+    parts = parts.select(F.xxhash64("bucket", "_s").alias("bucket"), "node", "score", "size")
+    pivots = PIVOTS
+    while True:
+        open_ = materialize(mixed(parts, labels))
+        if open_.isEmpty():
+            return links
+        sizes = open_.groupBy("bucket").agg(F.count("*").alias("_n"))
+        code = F.xxhash64("node")
+        dealt = open_.join(sizes, "bucket").withColumn("_d", F.when(F.col("_n") <= pivots, code).otherwise(F.pmod(code, F.lit(pivots))))
+        rank = F.struct(-F.col("score"), code)
+        chosen = dealt.groupBy("bucket", "_d").agg(F.min_by(F.struct("node", "label", "size"), rank).alias("_p"))
+        chosen = materialize(chosen.select("bucket", F.col("_p.node").alias("pivot"), F.col("_p.label").alias("_pl"), F.col("_p.size").alias("_ps")))
+        own = chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("_own"))
+        marked = materialize(open_.join(own, ["bucket", "node"], "left").withColumn("_own", F.coalesce("_own", F.lit(False))))
+        alike = F.least("size", "_ps") >= least * SLACK * F.greatest("size", "_ps")
+        once = (F.col("node") < F.col("pivot")) | ~F.col("_own")
+        pairs = marked.join(chosen, "bucket").filter((F.col("node") != F.col("pivot")) & once & (F.col("label") != F.col("_pl")) & alike)
+        found = materialize(verify(pairs.select("node", "pivot").distinct(), texts, tables, least), SHRINK)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        parts = marked.filter(~F.col("_own")).select("bucket", "node", "score", "size")
+        pivots *= 2
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node that has a link; the label is the least node of the component.
 
@@ -251,18 +320,11 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     texts = materialize(texts.join(met, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
     members = members.select("bucket", "node").join(met.select("node", "score"), "node")
     links = labels = None
-    late = False
     quiet = rounds = 0
     while quiet < QUIET_ROUNDS:
-        if labels is None:
-            open_ = members.withColumn("label", F.col("node"))
-        else:
-            open_ = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if rounds:
-            mixed = open_.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("bucket")
-            open_ = materialize(open_.join(mixed, "bucket").select("bucket", "node", "score", "label"), SHRINK)
-            if open_.isEmpty():
-                break
+        open_ = members.withColumn("label", F.col("node")) if not rounds else materialize(mixed(members, labels), SHRINK)
+        if rounds and open_.isEmpty():
+            break
         rank = F.struct(-F.col("score"), F.xxhash64("node"))
         pivots = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), rank).alias("_p"))
         met = open_.join(pivots, "bucket").filter(F.col("node") != F.col("_p.node"))
@@ -272,15 +334,15 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         members = met.select("bucket", "node", "score")  # the pivot has met its whole bucket
         rounds += 1
         n_found = found.count()
-        few = n_found <= QUIET_SHARE * pairs.count()
-        quiet = quiet + 1 if few else 0
+        quiet = quiet + 1 if n_found <= QUIET_SHARE * pairs.count() else 0
         if n_found:
             links = found if links is None else links.union(found)
-            # A few links more hardly change which pairs are left to test; the labels take them in at the end.
-            late = few and labels is not None
-            labels = labels if late else components(links)
-    if late:
-        labels = components(links)
+            labels = components(links)
+    if quiet == QUIET_ROUNDS:
+        known = links
+        links = settle(members, links, labels, texts, tables, least)
+        if links is not known:
+            labels = components(links)
     named = signed.select("doc_id", "node")
     if labels is None:
         named = named.withColumn("label", F.col("node"))

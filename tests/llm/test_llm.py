@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,33 @@ def test_classes_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [root(i) for i in range(len(texts))]
 
 
+def test_pairs_in_buckets_of_unlike_texts_are_linked(spark):
+    """Texts of one template at 0.75, in pairs a little over 0.8: nearly all that meet in a bucket are unlike."""
+    base = words(1, 150)
+    texts = [f"{base} " + " ".join([*(f"s{k}x{i}" for i in range(5)), *(f"t{k}x{j}x{i}" for i in range(11))]) for k in range(250) for j in range(2)]
+    docs = make(spark, texts)
+    counts, n = near_dedup.frequency_sketch(docs)
+    tables = near_dedup.weight_tables(counts, n)
+    vectors = near_dedup.vectors(pa.array(texts), tables)
+    rows = near_dedup.sign(docs, spark.sparkContext.broadcast(tables)).collect()
+    bands = {r.doc_id: np.frombuffer(r.bands, np.uint64) for r in rows}
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and near_dedup.similarity(vectors[i], vectors[j]) >= 0.8 and root(i) != root(j):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = [root(i) for i in range(len(texts))]
+    assert 250 <= len(set(want)) <= 300
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_one_of_each_class_stays(spark):
     docs = make(spark, [words(1, 100), words(1, 100), words(2, 100), None])
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [0, 2, 3]
