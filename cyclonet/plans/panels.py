@@ -45,7 +45,10 @@ register("net_components", lambda s, d: net.components(_part(s, d), STATE), "run
 register("net_beta1", lambda s, d: net.beta1(_part(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PART, """
   SELECT l.run, l.cycle, l.phase, e - n + c AS loops, (e - n + c) / n::DOUBLE AS loops_per_node, (e - n + c) / e::DOUBLE AS loops_per_edge FROM (SELECT run, cycle, phase, count(*) AS n, count(DISTINCT component) AS c FROM label GROUP BY 1, 2, 3) l
   JOIN (SELECT run, cycle, phase, count(*) AS e FROM part GROUP BY 1, 2, 3) p ON l.run = p.run AND l.cycle = p.cycle AND l.phase = p.phase""")
-register("net_spanning", lambda s, d: net.spanning(_part(s, d), STATE, fr.boundary_flags(nodes(s, d).join(_part(s, d).select(*STATE).distinct(), STATE), STATE)), "run cycle phase spanning_components", "span")
+# The SQL of the two above holds a part of the states; these run over all contacts.
+register("net_components_all", lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share")
+register("net_beta1_all", lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge")
+register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, fr.boundary_flags(nodes(s, d), STATE)), "run cycle phase spanning_components", "span")
 register("net_kcore", lambda s, d: net.kcore_stats(strong(s, d), STATE), "run cycle phase core_max", "core_mean core4_share core5_share")
 register("net_triangles", lambda s, d: net.triangles(_web(s, d), ["run", "cycle"]), "run cycle triangles wedges", "transitivity", CONTACTS + """,
   web AS (SELECT DISTINCT run, cycle, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT run, cycle, id1 % 60 AS a, id2 % 47 AS b FROM contacts) WHERE a <> b)""", """
@@ -67,8 +70,8 @@ register("topo_loops", lambda s, d: net.percolation(contacts(s, d), STATE), "run
 register("topo_spanning", lambda s, d: net.spanning_percolation(contacts(s, d), fr.boundary_flags(nodes(s, d), STATE), STATE), "run cycle phase", "span_fraction")
 register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share giant_share value_share")
 register("topo_enrichment", lambda s, d: net.loop_enrichment(net.filtration_edges(contacts(s, d), STATE), STATE), "run cycle phase", "loop_fraction loop_share enrichment log_enrichment")
-register("topo_force_shuffle_null", lambda s, d: net.force_shuffle_null(contacts(s, d).filter("cycle <= 2"), STATE, 5), "run cycle phase rep loop_births", "loop_value_share")
-register("topo_order_null", lambda s, d: net.order_null(contacts(s, d).filter("cycle <= 2"), STATE, 5), "run cycle phase rep loops", "loop_area")
+register("topo_force_shuffle_null", lambda s, d: net.force_shuffle_null(contacts(s, d), STATE, 24), "run cycle phase rep loop_births", "loop_value_share")
+register("topo_order_null", lambda s, d: net.order_null(contacts(s, d), STATE, 25), "run cycle phase rep loops", "loop_area")
 register("topo_spatial", lambda s, d: _spatial(s, d), "run cycle phase", "loop_boundary_share loop_z loop_r")
 
 

@@ -58,3 +58,45 @@ def test_nulls_keep_the_number_of_loops(edges):
     runs = [{(r["state"], r["rep"]): (r["loops"], r["loop_area"]) for r in net.order_null(edges, ["state"], 4).collect()} for _ in range(2)]
     assert runs[0] == runs[1]
     assert {v[0] for k, v in runs[0].items() if k[0] == "k4"} == {3}
+
+
+def test_queries_take_all_states(spark):
+    from cyclonet import catalog
+    from cyclonet.plans.views import contacts
+
+    sf, keys = "/root/testdata/sf0.001", ("run", "cycle", "phase")
+    edges = {}
+    for r in contacts(spark, sf).collect():
+        edges.setdefault(tuple(r[k] for k in keys), []).append((r["id1"], r["id2"]))
+    want = {}
+    for state, es in edges.items():
+        label = {n: n for e in es for n in e}
+        for a, b in es:
+            old, new = label[a], label[b]
+            label = {n: new if c == old else c for n, c in label.items()}
+        want[state] = (len(label), len(set(label.values())), len(es) - len(label) + len(set(label.values())))
+    rows = {n: catalog.QUERIES[n](spark, sf).collect() for n in ("net_components_all", "net_beta1_all", "net_spanning", "topo_force_shuffle_null", "topo_order_null")}
+    state = lambda r: tuple(r[k] for k in keys)
+    assert {state(r): (r["nodes"], r["components"]) for r in rows["net_components_all"]} == {k: v[:2] for k, v in want.items()}
+    assert {state(r): r["loops"] for r in rows["net_beta1_all"]} == {k: v[2] for k, v in want.items()}
+    assert {state(r) for r in rows["net_spanning"]} == set(want)
+    for name, loops, n in (("topo_force_shuffle_null", "loop_births", 24), ("topo_order_null", "loops", 25)):
+        assert {(state(r), r["rep"], r[loops]) for r in rows[name]} == {(k, rep, v[2]) for k, v in want.items() for rep in range(1, n + 1)}
+
+
+def test_exact_permutation_takes_all_cycles(spark):
+    import itertools
+
+    import numpy as np
+
+    from cyclonet import catalog
+    from cyclonet.plans.views import panel
+
+    sf = "/root/testdata/sf0.001"
+    p = panel(spark, sf).toPandas()
+    means = p.groupby("regime_id")[["x", "w"]].mean().rank()
+    rho = lambda y: np.corrcoef(means["x"], y)[0, 1]
+    every = [abs(rho(list(y))) for y in itertools.permutations(means["w"])]
+    (r,) = catalog.QUERIES["st_exact_perm"](spark, sf).collect()
+    assert r["n"] == p["regime_id"].nunique()
+    assert (r["rho"], r["p"]) == (pytest.approx(rho(means["w"]), abs=1e-6), pytest.approx(np.mean([e >= abs(rho(means["w"])) - 1e-9 for e in every]), abs=1e-6))
