@@ -74,6 +74,11 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataF
     return joined.select(*df.columns, *((F.col(f"_l_{new}") + F.col(f"_s_{new}")).alias(new) for new in amount))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def long_array(values: list[int]) -> Column:
     """A literal array, folded to a constant by the optimizer; one call instead of one for each value."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
