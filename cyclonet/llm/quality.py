@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shield
@@ -100,10 +101,10 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def pick_cutoff(n: int, over: list[int], risk: float, level: float) -> int:
-    """Index of the strictest cutoff that the bound allows, -1 for none.
+    """Index of the last step of a path that the bound allows, -1 for none.
 
-    Fixed-sequence test: from the laxest cutoff on, "the false-rejection rate is above `risk`" has to be refuted at
-    `level`, and the first cutoff that fails ends the walk, so the cutoffs of a rule cost no further correction.
+    Fixed-sequence test: from the laxest step on, "the false-rejection rate is above `risk`" has to be refuted at
+    `level`, and the first step that fails ends the walk, so the steps cost no further correction.
     """
     best = -1
     for i, k in enumerate(over):
@@ -114,37 +115,70 @@ def pick_cutoff(n: int, over: list[int], risk: float, level: float) -> int:
     return best
 
 
+def first_step() -> Column:
+    """Place on the path of the first step whose cutoff a document is over; null: none.
+
+    The path is set before any label is seen: the rules in the order of RULES, each through GRID from its laxest cutoff
+    on. A step holds its own cutoff, the laxer ones before it and the strictest one of every rule before.
+    """
+    steps = []
+    for j, r in enumerate(RULES):
+        passed = sum((F.col(r) <= c).cast("int") for c in GRID)
+        steps.append(F.when(passed < len(GRID), passed + j * len(GRID)))
+    return F.least(*steps)
+
+
+def pick_step(good: list[int], bad: list[int], risk: float, level: float) -> int:
+    """The step to use, -1 for none, from the documents that each step is the first to reject (last entry: none does).
+
+    All steps up to the one that `pick_cutoff` names hold their bound at once, so which of them is used is free: the
+    one that rejects the greatest share of bad less good documents, the earliest of equals.
+    """
+    over = list(itertools.accumulate(good[:-1]))
+    last = pick_cutoff(sum(good), over, risk, level)
+    gains = [b / max(1, sum(bad)) - g / max(1, sum(good)) for b, g in zip(itertools.accumulate(bad[:-1]), over, strict=True)][: last + 1]
+    return gains.index(max(gains)) if gains and max(gains) > 0 else -1
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """One row a stratum: a cutoff for each rule (null: the rule rejects nothing there), with n_good, its labelled good documents.
+    """One row a stratum with labels: a cutoff for each rule (null: the rule rejects nothing there), n_good and pooled.
 
     With probability 1 - error over the labelled documents, in every stratum at once, all rules together reject at most
-    a share `risk` of good documents: each rule gets risk / rules, each (stratum, rule) the level
-    error / (strata * rules) (Bonferroni), and an exact binomial test decides along GRID. All labelled rows count.
+    a share `risk` of good documents. Bonferroni shares the error among the strata; within one, an exact binomial test
+    of the rejections of all rules so far walks the path of `first_step` until a step fails (a fixed-sequence test, so
+    the steps need no further correction). The path and the rules' ratios depend on no label, so all labelled rows are
+    the holdout. A stratum with too few good documents for any step (217 of four strata) shares its cutoffs with the
+    others like it; the bound is then that of their union. A document labelled more than once is good if any label
+    says so. Null stratum: counts as empty. No labels: no rows.
     """
-    good = labels.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_good")).filter("_good = 1")
-    held = measured.join(good, F.col("doc_id") == F.col("_label_id"), "left_semi").filter(~F.col("base_failed"))
-    over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    counts = held.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n_good"), *over)
-    counts = materialize(counts)
-    strata = max(1, counts.count())
-    level, share = error / (strata * len(RULES)), risk / len(RULES)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = f[["stratum", "n_good"]].copy()
-            for r in RULES:
-                picks = [pick_cutoff(int(row["n_good"]), [int(row[f"{r}_{i}"]) for i in range(len(GRID))], share, level) for _, row in f.iterrows()]
-                out[f"max_{r}"] = [GRID[i] if i >= 0 else None for i in picks]
-                out[f"max_{r}"] = out[f"max_{r}"].astype("float64")
-            yield out
-
-    chosen = counts.mapInPandas(run, "stratum string, n_good long, " + ", ".join(f"max_{r} double" for r in RULES))
-    return chosen.withColumns({f"max_{r}": F.when(~F.isnan(f"max_{r}"), F.col(f"max_{r}")) for r in RULES})
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg((F.max("quality") == 1).alias("good"))
+    held = measured.filter(~F.col("base_failed")).join(marks, F.col("doc_id") == F.col("_label_id"))
+    own = F.coalesce(F.col(stratum), F.lit("")).alias("stratum")
+    found = materialize(held.groupBy(own, "good", first_step().alias("step")).agg(F.count("*").alias("n")))
+    sizes = materialize(found.groupBy("stratum").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("n_good")))
+    level = error / max(1, sizes.count())
+    fewest = math.ceil(math.log(level) / math.log1p(-risk))
+    sizes = sizes.withColumn("pooled", F.col("n_good") < fewest).withColumn("_pool", F.when(~F.col("pooled"), F.col("stratum")))
+    none = len(RULES) * len(GRID)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        counts = {g: [0] * (none + 1) for g in (True, False)}
+        for g, step, n in zip(f["good"], f["step"], f["n"], strict=True):
+            counts[bool(g)][none if pd.isna(step) else int(step)] += int(n)
+        rule, place = divmod(pick_step(counts[True], counts[False], risk, level), len(GRID))
+        limits = [GRID[-1] if j < rule else GRID[place] if j == rule else None for j in range(len(RULES))]
+        return pd.DataFrame({"_pool": [f["_pool"].iloc[0]], **{f"max_{r}": pd.Series([v], dtype="float64") for r, v in zip(RULES, limits, strict=True)}})
+
+    # At most 2 * (steps + 1) rows a stratum; the pooled ones are added up before they meet.
+    rows = found.join(sizes, "stratum").groupBy("_pool", "good", "step").agg(F.sum("n").alias("n"))
+    chosen = rows.groupBy("_pool").applyInPandas(run, "_pool string, " + ", ".join(f"max_{r} double" for r in RULES))
+    out = sizes.join(chosen, sizes["_pool"].eqNullSafe(chosen["_pool"])).drop("_pool")
+    return out.withColumns({f"max_{r}": F.when(~F.isnan(f"max_{r}"), F.col(f"max_{r}")) for r in RULES})
 
 
 def verdict(measured: DataFrame, limits: DataFrame, stratum: str) -> DataFrame:
     """Adds kept: not base_failed, and over no cutoff of its stratum (a stratum without labels has none)."""
-    joined = measured.join(limits.withColumnRenamed("stratum", "_stratum").drop("n_good"), F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
+    joined = measured.join(limits.withColumnRenamed("stratum", "_stratum").drop("n_good", "pooled"), F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
     over = F.lit(False)
     for r in RULES:
         over = over | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
@@ -161,7 +195,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    Counts are taken twice, for the cutoffs and for the verdicts: to keep them between the two would shuffle the texts.
+    Null or blank text: rejected. Repeated rows: judged alike, each keeps its row. Clashing columns come back as they
+    were. Empty table: no rows.
+    """
     docs, restore = shield(docs, ("doc_id", "lang", "text"))
     limits = materialize(cutoffs(materialize(measure(docs, ["doc_id", "lang"])), labels, "lang"))
     return restore(verdict(measure(docs, docs.columns), limits, "lang").filter("kept"))
