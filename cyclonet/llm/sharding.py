@@ -68,8 +68,9 @@ def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, group: Colum
 
     Rows are ordered by the curve through `dims` (levels, see hash_level and log_level), then `group`, then `tie`, and
     the order is cut where the running size passes a multiple of total/shards. Rows of one group (equal texts) take the
-    least curve position of the group and so lie together; a group of at most `whole` of a shard's size is not cut, a
-    larger one may be. A shard thus differs from the mean by at most the largest row or `whole` of the mean.
+    least curve position of the group and so lie together. A border never cuts a group that is no larger than the
+    largest row or than `whole` of a shard: even a text by itself may put a shard that far from the mean, and no shard
+    is further from it. Only a border that falls into a larger group (to keep that whole would break the law) cuts it.
     Empty table: no rows. Nulls: a null name counts as empty, a null text has size 1. Repeated rows keep a slot each.
     """
     placed = with_hilbert_index(df.select("*", size.alias("_size"), group.alias("_group")), "_at", dims, bits)
@@ -78,8 +79,8 @@ def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, group: Colum
     placed = placed.drop("_at").join(groups, "_group")
     order = ["_curve", "_group", *tie]
     summed = materialize(running_sums(placed, order, {"_before": "_size", "_index": "1"}))
-    total = summed.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total"))
-    whole_groups = F.col("_bytes") * F.lit(shards) <= F.col("_total") * F.lit(whole)
+    total = summed.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total"), F.max("_size").alias("_largest"))
+    whole_groups = (F.col("_bytes") * F.lit(shards) <= F.col("_total") * F.lit(whole)) | (F.col("_bytes") <= F.col("_largest"))
     first = summed.groupBy("_group").agg(F.min("_before").alias("_group_before"))
     middle = F.when(whole_groups, F.col("_group_before") + F.col("_bytes") / 2).otherwise(F.col("_before") + F.col("_size") / 2)
     cut = F.least(F.floor(middle * F.lit(shards) / F.col("_total")), F.lit(shards - 1)).cast("int")
@@ -90,7 +91,10 @@ def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, group: Colum
 
 
 def document_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """`documents` without their texts, sharded over language, source and size of the text."""
+    """`documents` without their texts, sharded over language, source and size of the text.
+
+    Null text: size 1. Null lang or source: counts as empty. Repeated rows: a slot each. Empty table: no rows.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select("doc_id", "lang", "source", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("_text"))
     dims = [hash_level(F.col("lang"), 5), hash_level(F.col("source"), 5), log_level(F.col("size"), 5, 1.5)]
