@@ -2,8 +2,10 @@
 
 Each class has a model of a letter after the ORDER - 1 letters before it within its word; where a class lacks an
 expression, it backs off to continuation counts that both classes share, so rare expressions weigh by their context
-alone. A text is judged by the log-likelihood ratio of the classes, normalised by its length, and by the ratio of its
-most toxic word; a logistic curve, fitted on labelled rows that the models did not see, turns the two into a score.
+alone. A word counts once a text, so that a text repeating a word is no more evidence than one that has it.
+Texts are judged by log-likelihood ratios of the classes, normalised by length in letters: that of the whole text and
+that of its most toxic run of RUN words, which a long text does not dilute. A logistic curve, fitted on labelled rows
+that the models did not see, turns the two into a score.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,8 @@ ORDER = 5
 DISCOUNT = 0.75
 FLUSH_WORDS = 300_000
 KEPT_WORDS = 500_000  # word ratios that a worker keeps
-MODEL_ROWS = 6_000_000  # expressions that may be broadcast; beyond, rarer ones fall to their backoff
+RUN = 2
+MODEL_ROWS = 6_000_000  # expressions and contexts that may be broadcast; beyond, words are joined to them
 LABEL_ROWS = 1_000_000  # labels that may be broadcast; beyond, they are joined by a shuffle
 FIT_ROWS = 100_000  # labelled rows for the logistic curve: those of least id hash
 
@@ -37,10 +41,16 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def grams_of(word: str) -> list[str]:
+    s = " " * (ORDER - 1) + word + " "
+    return [s[k : k + ORDER] for k in range(len(s) - ORDER + 1)]
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """gram, c0, c1: how often each run of ORDER letters occurs in words of ordinary and toxic texts, over all rows.
+    """gram, c0, c1: how often each run of ORDER letters occurs in ordinary and toxic texts' words, over all rows.
 
-    Words stand between ORDER - 1 blanks and one. A task counts words first and their letters once for each word.
+    Words count once a text and stand between ORDER - 1 blanks and one. A task counts words first and their letters
+    once for each word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,16 +60,15 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             grams = (Counter(), Counter())
             for words, to in zip(held, grams, strict=True):
                 for w, n in words.items():
-                    s = " " * (ORDER - 1) + w + " "
-                    for k in range(len(s) - ORDER + 1):
-                        to[s[k : k + ORDER]] += n
+                    for g in grams_of(w):
+                        to[g] += n
                 words.clear()
             keys = list(grams[0].keys() | grams[1].keys())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([g[k] for k in keys], pa.int64()) for g in grams)], names=["gram", "c0", "c1"])
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[toxic].update(_words.findall((text or "").lower()))
+                held[toxic].update(set(_words.findall((text or "").lower())))
                 if len(held[0]) + len(held[1]) > FLUSH_WORDS:
                     yield out()
         if held[0] or held[1]:
@@ -109,8 +118,7 @@ class Model:
     """Sorted hashes of expressions and contexts with their ratios."""
 
     def __init__(self, grams: pa.Table, contexts: pa.Table):
-        self.parts = [self._sorted(t, size) for t, size in ((grams, ORDER), (contexts, ORDER - 1))]
-        self.kept: dict[str, float] = {}
+        self.__setstate__([self._sorted(t, size) for t, size in ((grams, ORDER), (contexts, ORDER - 1))])
 
     @staticmethod
     def _sorted(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +131,9 @@ class Model:
         return self.parts
 
     def __setstate__(self, parts):
-        self.parts, self.kept = parts, {}
+        self.parts = parts
+        self.ids: dict[str, int] = {}
+        self.ratio, self.letters = np.zeros(0), np.zeros(0)
 
     def _look(self, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, ratio = self.parts[part]
@@ -133,35 +143,54 @@ class Model:
         return have[at] == keys, ratio[at]
 
     def learn(self, words: list[str]) -> None:
-        """Puts the words' ratios into `kept`: the sum over their letters."""
+        """Keeps the words' ratios: the sums over their letters."""
         joined = "".join(" " * (ORDER - 1) + w + " " for w in words)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        first = np.cumsum([0, *(len(w) + ORDER for w in words)])
+        letters = np.array([len(w) + 1 for w in words])
+        first = np.cumsum(letters + ORDER - 1) - (letters + ORDER - 1)
         seen, ratio = self._look(0, window_hashes(points, ORDER))
         known, backed = self._look(1, window_hashes(points, ORDER - 1)[: len(seen)])
         each = np.where(seen, ratio, np.where(known, backed, np.float32(0))).astype(np.float64)
-        sums = np.append(0.0, np.cumsum(each))
-        for w, a, b in zip(words, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            self.kept[w] = float(sums[min(b - ORDER + 1, len(each))] - sums[a])
+        own = np.repeat(first, letters) + np.arange(letters.sum()) - np.repeat(np.cumsum(letters) - letters, letters)
+        self.ids.update(zip(words, range(len(self.ratio), len(self.ratio) + len(words)), strict=True))
+        self.ratio = np.concatenate([self.ratio, np.add.reduceat(each[own], np.cumsum(letters) - letters)])
+        self.letters = np.concatenate([self.letters, letters.astype(np.float64)])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """[texts, 2]: ratio a letter, and the greatest ratio of a word; zeros for texts without words."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        """[texts, 2]: ratio a letter of the text and of its most toxic run; zeros for texts without words."""
+        if len(self.ids) > KEPT_WORDS:
+            self.__setstate__(self.parts)
         cut = [_words.findall((t or "").lower()) for t in texts]
-        new = set().union(*cut) - self.kept.keys()
+        new = set().union(*cut) - self.ids.keys()
         if new:
             self.learn(sorted(new))
-        out = np.zeros((len(texts), 2))
-        for i, words in enumerate(cut):
-            if words:
-                values = list(map(self.kept.__getitem__, words))
-                out[i] = sum(values) / (len(words) + sum(map(len, words))), max(0.0, max(values))
+        flat = np.fromiter((self.ids[w] for words in cut for w in words), np.int64)
+        return run_features(self.ratio[flat], self.letters[flat], np.array([len(words) for words in cut]))
+
+
+def run_features(ratio: np.ndarray, letters: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Model.features from the ratio and the letters (one more than it has) of each word and the words of each text."""
+    out = np.zeros((len(words), 2))
+    full = np.flatnonzero(words)
+    if not len(full):
         return out
+    first = (np.cumsum(words) - words)[full]
+    end = np.repeat(first + words[full], words[full])
+    at = np.arange(len(ratio))
+    sums, size = ratio.copy(), letters.copy()
+    for j in range(1, RUN):
+        inside = at + j < end
+        there = np.minimum(at + j, len(at) - 1)
+        sums += np.where(inside, ratio[there], 0.0)
+        size += np.where(inside, letters[there], 0.0)
+    cut = (at + RUN > end) & (at != np.repeat(first, words[full]))  # a run that the text's end cuts, but for a short text
+    out[full, 0] = np.add.reduceat(ratio, first) / np.add.reduceat(letters, first)
+    out[full, 1] = np.maximum.reduceat(np.where(cut, -np.inf, sums / size), first)
+    return out
 
 
 def featured(docs: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with mean_ratio and top_ratio of each whole text."""
+    """The columns `keep` of docs with mean_ratio and top_ratio (that of a run) of each whole text."""
     names = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +204,55 @@ def featured(docs: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, names, strict=True)), "mean_ratio", "top_ratio")
 
 
+def word_ratios(docs: DataFrame, seen: DataFrame, contexts: DataFrame) -> DataFrame:
+    """word, ratio for each word of the texts, by joins: words are distinct before their letters meet the expressions."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = set().union(*(_words.findall((t or "").lower()) for t in b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["word"])
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(w, g) for w in b.column(0).to_pylist() for g in grams_of(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))], names=["word", "gram"])
+
+    each = docs.select("text").mapInArrow(words, "word string").distinct().mapInArrow(letters, "word string, gram string")
+    each = each.join(seen.withColumnRenamed("ratio", "_seen"), "gram", "left").withColumn("h", F.substring("gram", 1, ORDER - 1))
+    each = each.join(contexts.withColumnRenamed("ratio", "_backed"), "h", "left")
+    return each.groupBy("word").agg(F.sum(F.coalesce("_seen", "_backed", F.lit(0.0))).alias("ratio"))
+
+
+def featured_by_join(docs: DataFrame, ratios: DataFrame, keep: list[str]) -> DataFrame:
+    """`featured` where the model is too large to broadcast: each text's distinct words are joined to their ratios.
+
+    The large side of that join is the texts' words, which Spark splits where a word is in most texts; a text's words
+    meet again in one group, as large as the text.
+    """
+    names = [f"_k{i}" for i in range(len(keep))]
+    keyed = materialize(docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), "text").withColumn("_row", F.expr("uuid()")))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at: dict[str, list[int]] = {}
+                for i, w in enumerate(_words.findall((text or "").lower())):
+                    at.setdefault(w, []).append(i)
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(at)), pa.array(list(at)), pa.array([len(w) + 1 for w in at], pa.int32()), pa.array(list(at.values()), pa.list_(pa.int32()))], names=["_row", "word", "letters", "at"])
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        n = np.array([len(x) for x in f["at"]])
+        order = np.argsort(np.concatenate(list(f["at"])))
+        got = run_features(np.repeat(f["ratio"].to_numpy(), n)[order], np.repeat(f["letters"].to_numpy().astype(np.float64), n)[order], np.array([n.sum()]))
+        return pd.DataFrame({"_row": [f["_row"].iloc[0]], "mean_ratio": got[:, 0], "top_ratio": got[:, 1]})
+
+    words = keyed.select("_row", "text").mapInArrow(places, "_row string, word string, letters int, at array<int>").join(ratios, "word")
+    got = words.select("_row", "letters", "at", "ratio").groupBy("_row").applyInPandas(gather, "_row string, mean_ratio double, top_ratio double")
+    out = keyed.drop("text").join(got, "_row", "left").fillna(0.0, ["mean_ratio", "top_ratio"])
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, names, strict=True)), "mean_ratio", "top_ratio")
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, spread and weights (the constant last) of a logistic curve, by Newton steps with a small ridge.
 
@@ -211,15 +289,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
         marks = F.broadcast(marks)
     known = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"))
     grams = materialize(gram_counts(known.filter(remainder() < 2)))
-    least = 1
-    while grams.filter(F.col("c0") + F.col("c1") >= least).count() > MODEL_ROWS:
-        least *= 2
-    seen, contexts = ratios(grams.filter(F.col("c0") + F.col("c1") >= least))
-    model = spark.sparkContext.broadcast(Model(seen.toArrow(), contexts.toArrow()))
-    fit = featured(known.filter(remainder() == 3), model, ["doc_id", "toxic"])
+    seen, contexts = (materialize(t) for t in ratios(grams))
+    if seen.count() + contexts.count() <= MODEL_ROWS:
+        model = spark.sparkContext.broadcast(Model(seen.toArrow(), contexts.toArrow()))
+        look = lambda df, keep: featured(df, model, keep)
+    else:
+        by_word = materialize(word_ratios(docs, seen, contexts))
+        look = lambda df, keep: featured_by_join(df, by_word, keep)
+    fit = look(known.filter(remainder() == 3), ["doc_id", "toxic"])
     rows = fit.orderBy(F.xxhash64("doc_id"), "mean_ratio").limit(FIT_ROWS).select("mean_ratio", "top_ratio", "toxic").toArrow()
     x = np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()], 1).reshape(-1, 2)
     mean, spread, w = fit_curve(x, rows.column(2).to_numpy().astype(np.float64))
     z = F.lit(float(w[-1])) + sum((F.col(c) - float(m)) * float(k / s) for c, m, s, k in zip(("mean_ratio", "top_ratio"), mean, spread, w, strict=False))
-    out = featured(docs, model, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-z)))
+    out = look(docs, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
