@@ -11,11 +11,10 @@ one's sample. A band is one bin number over all passes.
 
 Candidates. Equal texts are one node. In each band's buckets every node meets one pivot, and pairs are verified by the
 exact weighted Jaccard similarity. A pivot has then met its whole bucket and leaves it; buckets that still hold several
-components get another one. Where pivots link little any more, each bucket that still holds several components is split
-by the shingles of its texts' prefixes: with shingles in one order, rarest first, two texts of the least similarity
-share one among those from which on a text still has that share of its weight. The parts take pivots, twice as many
-each round, until none holds several components, so every pair of a bucket is linked, tested or ruled out by its
-weights.
+components get another one. Where pivots link little any more, all pairs of the buckets that still hold several
+components are compared in blocks: a bucket is dealt into chunks of bounded size, each two chunks meet in one group,
+and that group adds up the common weights of its texts shingle by shingle and returns only links between components.
+So every two texts that share a band are linked, compared, or in one component already.
 """
 
 from __future__ import annotations
@@ -36,10 +35,10 @@ SIZE = 5
 PASSES, BINS = 4, 16
 STRENGTH = 0.5
 DF_ROWS, DF_BITS, DF_BLOCK = 2, 18, 12
-#: Buckets are split by prefixes when this many rounds in a row link at most this share of the pairs they test.
+#: Buckets are compared in blocks when this many rounds in a row link at most this share of the pairs they test.
 QUIET_ROUNDS, QUIET_SHARE = 2, 0.01
-PIVOTS = 16  # of a part in the first round after the split
-SLACK = 1 - 1e-6  # for sums of weights in another order
+CHUNK, CHUNK_TEXT = 512, 8 << 20  # texts of a chunk, and their bytes (a longer text is a chunk by itself)
+FEW, DENSE = 256, 1024
 SHRINK = 16  # links and pairs are a small part of the input
 
 
@@ -214,25 +213,52 @@ def verify(pairs: DataFrame, texts: DataFrame, tables: Broadcast, least: float)
     return joined.select("node", "pivot", "_a", "_b").mapInArrow(run, "node string, pivot string")
 
 
-def prefixes(texts: DataFrame, tables: Broadcast, least: float) -> DataFrame:
-    """node, its weight, and the shingles one of which every text that similar has in its own prefix, too."""
+def leveled(texts: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature and weight, ordered by feature: a shingle that a text has c times gives it c features of one
+    weight each, so the weight that two texts have in common is that of their common features."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for w in split(texts):
+        owner, value, count = shingles(w)
+        at = np.repeat(np.arange(len(value)), count)
+        level = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        idf = weights(value, np.ones(len(value), np.int64), tables)
+        feature = np.where(level == 0, value[at], mix(value[at] + mix(level.astype(np.uint64), 90), 91))
+        out.append((owner[at] + w.row, feature, idf[at]))
+    owner, feature, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(feature, kind="stable")
+    return owner[order], feature[order], weight[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for w in split(b.column(1)):
-                owner, value, count = shingles(w)
-                idf = weights(value, np.ones(len(value), np.int64), tables.value)
-                order = np.lexsort((value, -idf, owner))
-                owner, value, weight = owner[order], value[order], (count * idf)[order]
-                total = np.bincount(owner, weight, minlength=w.docs)
-                upto = np.append(0.0, np.cumsum(weight))
-                before = upto[:-1] - upto[np.searchsorted(owner, owner)]
-                keep = total[owner] - before >= least * SLACK * total[owner]
-                at = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=w.docs)))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.row, w.docs), pa.array(total), lists], names=["node", "size", "prefix"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, size double, prefix array<bigint>")
+def common_weights(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], m: int, n: int) -> np.ndarray:
+    """[m, n]: the weight of the features that each two texts of `leveled` a and b share.
+
+    Features of many pairs go through a product of matrices, DENSE at a time, the others pair by pair.
+    """
+    (ia, va, wa), (ib, vb, _) = a, b
+    both = np.intersect1d(va, vb)
+    at, bt = np.searchsorted(va, both), np.searchsorted(vb, both)
+    na, nb = np.searchsorted(va, both, "right") - at, np.searchsorted(vb, both, "right") - bt
+    out = np.zeros((m, n))
+    many = np.flatnonzero(na * nb > FEW)
+    for k in range(0, len(many), DENSE):
+        own = many[k : k + DENSE]
+        sides = []
+        for i, start, size, rows in ((ia, at[own], na[own], m), (ib, bt[own], nb[own], n)):
+            column = np.repeat(np.arange(len(own)), size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+            side = np.zeros((rows, len(own)))
+            side[i[place], column] = 1.0
+            sides.append(side)
+        out += (sides[0] * wa[at[own]]) @ sides[1].T
+    few = np.flatnonzero(na * nb <= FEW)
+    for k in range(0, len(few), 1 << 14):
+        own = few[k : k + (1 << 14)]
+        pairs = na[own] * nb[own]
+        which = np.repeat(own, pairs)
+        nth = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        p, q = at[which] + nth // nb[which], bt[which] + nth % nb[which]
+        out += np.bincount(ia[p] * n + ib[q], wa[p], m * n).reshape(m, n)
+    return out
 
 
 def mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -242,40 +268,46 @@ def mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(several, "bucket").select(*members.columns, "label")
 
 
-def settle(members: DataFrame, links: DataFrame | None, labels: DataFrame | None, texts: DataFrame, tables: Broadcast, least: float) -> DataFrame | None:
-    """links with all that the buckets' members still lack, so that each similar pair of a bucket is in one component.
+def settle(members: DataFrame, labels: DataFrame | None, texts: DataFrame, tables: Broadcast, least: float) -> DataFrame | None:
+    """The links (node, pivot) that the buckets' components still lack, from all pairs of each bucket; None: no bucket is mixed.
 
-    Parts of up to `pivots` members are tested pair by pair; in larger ones each member meets that many pivots, which
-    then leave. The pairs tested grow with a part's size only for pairs that weights and prefixes cannot tell apart.
+    Texts go to the group of each two chunks of their bucket, so a bucket of n texts sends n / CHUNK copies of each, and
+    no group holds more than two chunks. Of a group's links only those come out that join two components.
     """
-    members = materialize(mixed(members, labels))
-    if members.isEmpty():
-        return links
-    cut = materialize(prefixes(texts.join(members.select("node").distinct(), "node", "left_semi"), tables, least))
-    parts = members.drop("label").join(cut, "node").withColumn("_s", F.explode("prefix"))
-    parts = parts.select(F.xxhash64("bucket", "_s").alias("bucket"), "node", "score", "size")
-    pivots = PIVOTS
-    while True:
-        open_ = materialize(mixed(parts, labels))
-        if open_.isEmpty():
-            return links
-        sizes = open_.groupBy("bucket").agg(F.count("*").alias("_n"))
-        code = F.xxhash64("node")
-        dealt = open_.join(sizes, "bucket").withColumn("_d", F.when(F.col("_n") <= pivots, code).otherwise(F.pmod(code, F.lit(pivots))))
-        rank = F.struct(-F.col("score"), code)
-        chosen = dealt.groupBy("bucket", "_d").agg(F.min_by(F.struct("node", "label", "size"), rank).alias("_p"))
-        chosen = materialize(chosen.select("bucket", F.col("_p.node").alias("pivot"), F.col("_p.label").alias("_pl"), F.col("_p.size").alias("_ps")))
-        own = chosen.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("_own"))
-        marked = materialize(open_.join(own, ["bucket", "node"], "left").withColumn("_own", F.coalesce("_own", F.lit(False))))
-        alike = F.least("size", "_ps") >= least * SLACK * F.greatest("size", "_ps")
-        once = (F.col("node") < F.col("pivot")) | ~F.col("_own")
-        pairs = marked.join(chosen, "bucket").filter((F.col("node") != F.col("pivot")) & once & (F.col("label") != F.col("_pl")) & alike)
-        found = materialize(verify(pairs.select("node", "pivot").distinct(), texts, tables, least), SHRINK)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        parts = marked.filter(~F.col("_own")).select("bucket", "node", "score", "size")
-        pivots *= 2
+    open_ = materialize(mixed(members, labels), SHRINK)
+    if open_.isEmpty():
+        return None
+    sized = open_.join(texts.select("node", F.octet_length("text").alias("_b")), "node")
+    chunks = F.greatest(F.ceil(F.count("*") / F.lit(CHUNK)), F.ceil(F.sum("_b") / F.lit(CHUNK_TEXT)), F.lit(1)).cast("int")
+    dealt = open_.join(sized.groupBy("bucket").agg(chunks.alias("_n")), "bucket")
+    dealt = dealt.withColumn("_k", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("bucket", "node", "label", "_k", F.least("_k", "_o").alias("_i"), F.greatest("_k", "_o").alias("_j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, k = t["_i"][0].as_py(), t["_j"][0].as_py(), t["_k"].to_numpy()
+        own, other = np.flatnonzero(k == i), np.flatnonzero(k == j)
+        node, label = t["node"].to_pylist(), t["label"].to_pylist()
+        links: list[tuple[str, str]] = []
+        if len(own) and len(other):
+            texts = t["text"].combine_chunks()
+            a = leveled(texts.take(pa.array(own)), tables.value)
+            b = a if i == j else leveled(texts.take(pa.array(other)), tables.value)
+            common = common_weights(a, b, len(own), len(other))
+            size = [np.bincount(x[0], x[2], n) for x, n in ((a, len(own)), (b, len(other)))]
+            root: dict[str, str] = {}
+            for x, y in zip(*np.nonzero(common >= least * (size[0][:, None] + size[1][None, :] - common)), strict=True):
+                p, q = label[own[x]], label[other[y]]
+                while p in root:
+                    p = root[p]
+                while q in root:
+                    q = root[q]
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    links.append((node[own[x]], node[other[y]]))
+        return pa.table({"node": pa.array([x for x, _ in links], pa.string()), "pivot": pa.array([y for _, y in links], pa.string())})
+
+    met = dealt.join(texts.select("node", "text"), "node").groupBy("bucket", "_i", "_j")
+    return materialize(met.applyInArrow(compare, "node string, pivot string"), SHRINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,10 +371,9 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
             links = found if links is None else links.union(found)
             labels = components(links)
     if quiet == QUIET_ROUNDS:
-        known = links
-        links = settle(members, links, labels, texts, tables, least)
-        if links is not known:
-            labels = components(links)
+        found = settle(members, labels, texts, tables, least)
+        if found is not None and not found.isEmpty():
+            labels = components(found if links is None else links.union(found))
     named = signed.select("doc_id", "node")
     if labels is None:
         named = named.withColumn("label", F.col("node"))
