@@ -257,12 +257,61 @@ def test_fixed_text_and_main_element_without_article(spark):
     assert all("Welcome" not in r.text and r.text.count("\n") == 1 for r in got)
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_equal_what_their_articles_were_made_from(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [words(i * 20 + k, r.randint(1, 60)) for k in range(r.randint(1, 9))]
+        inner = "".join(r.choice(["<p>{}</p>", "<p><b>{}</b>", "<ul><li>{}</ul>", "<blockquote>{}</blockquote>", "<div>{}</div>"]).format(x.replace(" ", " &#32;\n")) for x in blocks[1:])
+        menu = "".join(f"<li><a href=/{k}>{words(i + k, 2)}</a>" for k in range(r.randint(1, 6)))
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><body class='{r.choice(['has-sidebar', 'home'])}'><ul>{menu}</ul><article class='post comments-open'><h1>{blocks[0]}</h1>{inner}</article><aside>{words(i, 40)}</aside><div class='site-footer'>{words(i, 30)}</div></body></html>"))
+        want[i] = "\n".join(blocks)
+    assert extracted(spark, rows) == want
+
+
+def test_the_wrapper_decides_and_not_the_page(spark):
+    """A short text beside a long one of the page's own: its host's other pages tell which is the article."""
+    page = "<body><div id=top><p>{}</p></div><div id=content><p>{}</p><p>end of it</p></div></body>"
+    pages = [page.format(words(i, 8), words(100 + i, 80)) for i in range(9)] + [page.format(words(10, 60), "short")]
+    got = extracted(spark, [(i, "http://a.example/", p) for i, p in enumerate(pages)])
+    assert got[9] == "short\nend of it"
+    assert wrappers.main_text(pages[9], None) == words(10, 60)
+
+
+def test_nothing_else_is_dropped(spark):
+    rows = [(i, "http://a.example/", f"<body><article><h2>News</h2><p>{words(i, 30)}</p><div class=comments-open>still {i}</div></article></body>") for i in range(8)]
+    rows += [(20, "http://b.example/", "<body class='has-sidebar'><article><p>Hello")]
+    rows += [(30 + i, "http://c.example/", f"<body><p>{'this stands on every page and is long ' * 9}</p><div><p>{words(i, 90)}</p></div></body>") for i in range(8)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"News\n{words(i, 30)}\nstill {i}" for i in range(8)) and got[20] == "Hello"
+    assert all(got[30 + i] == words(i, 90) for i in range(8))
+
+
+def test_long_deep_and_awkward_pages(spark):
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    long = "<body><article>" + "".join(f"<h2>s{i}</h2><p>{words(i, 10)}</p>{'<ul><li>x</ul>' if i % 3 else ''}" for i in range(4000)) + "</article></body>"
+    rows = [(1, "http://a.example/", deep), (2, "http://a.example/", long), (2, "http://a.example/", long), (3, None, None), (4, None, "</p></div><b>x y")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "told", "text", "wrapper", "_g")})
+    out = wrappers.extract(d)
+    got = out.collect()
+    assert out.columns == ["page_id", "url", "text"] and len(got) == 5
+    by = {g.page_id: g.text for g in got}
+    assert by[1] == "deep" and by[3] == "" and by[4] == "x\ny"
+    assert by[2].count("\n") == 4000 * 2 + sum(1 for i in range(4000) if i % 3) - 1
+    assert wrappers.extract(d.limit(0)).collect() == []
+
+
 def test_wrapper_alignment():
-    one, two = (wrappers.wrapper_of(wrappers.parse(f"<ul>{'<li>a' * n}</ul><p>x</p>{more}")) for n, more in ((2, ""), (4, "<h2>y</h2>")))
-    both = wrappers.align(one, two)
-    assert both["pages"] == 2
-    shapes = [wrappers.shape(x) for x in both["items"]]
-    assert any(s.startswith("r(<li") for s in shapes) and any(s.startswith("o(") for s in shapes)
+    one, two = (wrappers.parse(f"<ul>{'<li>a' * n}</ul><p>x</p>{more}<dl>{'<dt>k<dd>v' * n}</dl>")[0] for n, more in ((2, ""), (4, "<h2>y</h2>")))
+    w = wrappers.both(one, two)
+    by = {k.key: k for k in w.kids}
+    assert [k.key for k in w.kids] == ["ul", "p", "h2", "dl"] and (w.pages, by["h2"].pages) == (2, 1)
+    assert [(k.key, k.repeated) for k in by["ul"].kids] == [("li", True)] and [(k.key, k.repeated) for k in by["dl"].kids] == [("dt", True), ("dd", True)]
+    assert by["p"].kids[0].fixed and not wrappers.both(w, wrappers.parse("<p>z</p>")[0]).kids[1].kids[0].fixed
 
 
 # 8. Sharding
