@@ -300,7 +300,7 @@ def test_long_deep_and_awkward_pages(spark):
     got = out.collect()
     assert out.columns == ["page_id", "url", "text"] and len(got) == 5
     by = {g.page_id: g.text for g in got}
-    assert by[1] == "deep" and by[3] == "" and by[4] == "x\ny"
+    assert by[1] == "deep" and by[3] == "" and by[4] == "x y"
     assert by[2].count("\n") == 4000 * 2 + sum(1 for i in range(4000) if i % 3) - 1
     assert wrappers.extract(d.limit(0)).collect() == []
 
