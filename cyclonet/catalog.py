@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extras, frames, panels, streams, summaries  # noqa: F401  (they register their queries)
+from .plans import additions, extras, frames, panels, streams, summaries  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "jon_phase_delta"

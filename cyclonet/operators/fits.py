@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -12,91 +13,145 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_finite
+from ..shared import materialize
 from .statistics import gram_matrix, solve_gram
 
 
-def _folds(df: DataFrame, group: str, features: list[str], target: str) -> tuple[DataFrame, list]:
-    """Rows with every fold they train (the groups other than their own), and the groups; for panels of few groups."""
-    d = df.select(group, *(F.col(c).cast("double").alias(c) for c in [*features, target])).filter(reduce(lambda a, b: a & b, [is_finite(c) for c in [*features, target]]))
-    groups = sorted(r[0] for r in d.select(group).distinct().collect())
-    out = d.withColumn("_fold", F.explode(F.array(*(F.lit(g) for g in groups)))).filter(F.col(group) != F.col("_fold"))
-    return out, groups
+MOST_FOLDS = 10_000  # groups whose coefficients are held on the driver and broadcast
 
 
-def _linear(features: list[str], coef: dict, fold: str = "_fold") -> Column:
-    """Each row's linear predictor by its fold's coefficients (at most as many branches as folds)."""
-    out = F.lit(None).cast("double")
-    for k, w in coef.items():
-        z = F.lit(float(w[0])) + reduce(lambda a, b: a + b, [F.col(c) * float(v) for c, v in zip(features, w[1:], strict=True)], F.lit(0.0))
-        out = F.when(F.col(fold) == F.lit(k), z).otherwise(out)
-    return out
+def _clean(df: DataFrame, group: str, features: list[str], target: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list]:
+    """The finite rows, written once for all rounds, and their groups; too many groups are an error."""
+    d = df.select(group, *keep, *(F.col(c).cast("double").alias(c) for c in [*features, target])).filter(reduce(lambda a, b: a & b, [is_finite(c) for c in [*features, target]]))
+    d = materialize(d)
+    groups = sorted(r[0] for r in d.select(group).distinct().limit(MOST_FOLDS + 1).collect())
+    if len(groups) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} groups")
+    return d, groups
 
 
-def _weighted(df: DataFrame, by: str, features: list[str], target: Column, weight: Column) -> dict:
+def _table(df: DataFrame, group: str, coef: dict, more: dict | None = None) -> DataFrame:
+    """_fold, _w (its coefficients) and _s (a number of its own), to be broadcast: as many rows as folds."""
+    kind = df.schema[group].dataType.simpleString()
+    rows = [(k, [float(v) for v in w], float((more or {}).get(k, 1.0))) for k, w in coef.items()]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, f"_fold {kind}, _w array<double>, _s double"))
+
+
+def _linear(features: list[str]) -> Column:
+    """Each row's linear predictor by the coefficients beside it."""
+    return reduce(lambda a, b: a + b, [F.get("_w", F.lit(0)), *(F.col(c) * F.get("_w", F.lit(i)) for i, c in enumerate(features, 1))])
+
+
+def _weighted(df: DataFrame, features: list[str], target: Column, weight: Column) -> dict:
     cols = [F.lit(1.0), *(F.col(c) for c in features), target]
     agg = [F.sum(weight * cols[i] * cols[j]).alias(f"g_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    return {r[by]: gram_matrix(r, len(cols)) for r in df.groupBy(by).agg(*agg).collect()}  # one row a fold
+    return {r["_fold"]: gram_matrix(r, len(cols)) for r in df.groupBy("_fold").agg(*agg).collect()}  # one row a fold
 
 
-def _held_out(df: DataFrame, group: str, features: list[str], coef: dict) -> DataFrame:
-    return df.withColumn("predicted", _linear(features, coef, group))
+def _held_out(df: DataFrame, group: str, features: list[str], coef: dict, link: Callable[[Column], Column] = lambda z: z) -> DataFrame:
+    out = df.join(_table(df, group, coef), F.col(group) == F.col("_fold"), "left")
+    return out.withColumn("predicted", link(_linear(features))).drop("_fold", "_w", "_s")
 
 
 def logo_huber(df: DataFrame, group: str, features: list[str], target: str, epsilon: float = 1.35, rounds: int = 20) -> DataFrame:
     """Leave-one-group-out Huber regression by reweighting; the scale is the median absolute residual / 0.6745.
 
-    Adds predicted, the held-out prediction, to the rows.
+    Adds predicted, the held-out prediction, to the rows. A row meets the coefficients of every fold but its own's.
     """
-    data, groups = _folds(df, group, features, target)
-    coef = {k: solve_gram(g) for k, g in _weighted(data, "_fold", features, F.col(target), F.lit(1.0)).items()}
+    data, groups = _clean(df, group, features, target)
+    folds = lambda coef, more=None: data.join(_table(data, group, coef, more), F.col(group) != F.col("_fold"))
+    coef = {k: np.zeros(len(features) + 1) for k in groups}
+    coef = {k: solve_gram(g) for k, g in _weighted(folds(coef), features, F.col(target), F.lit(1.0)).items()}
     for _ in range(rounds):
-        res = data.withColumn("_e", F.abs(F.col(target) - _linear(features, coef)))
-        scale = {r["_fold"]: max(r["s"], 1e-12) for r in res.groupBy("_fold").agg((F.expr("percentile(_e, 0.5)") / 0.6745).alias("s")).collect()}
-        s = reduce(lambda acc, k: F.when(F.col("_fold") == F.lit(k), scale[k]).otherwise(acc), groups, F.lit(1.0))
-        new = {k: solve_gram(g) for k, g in _weighted(res, "_fold", features, F.col(target), F.least(F.lit(1.0), epsilon * s / F.greatest(F.col("_e"), F.lit(1e-12)))).items()}
-        moved = max(float(np.abs(new[k] - coef[k]).max()) for k in new)
+        error = F.abs(F.col(target) - _linear(features))
+        scale = {r["_fold"]: max(r["s"], 1e-12) for r in folds(coef).withColumn("_e", error).groupBy("_fold").agg((F.expr("percentile(_e, 0.5)") / 0.6745).alias("s")).collect()}
+        new = {k: solve_gram(g) for k, g in _weighted(folds(coef, scale), features, F.col(target), F.least(F.lit(1.0), epsilon * F.col("_s") / F.greatest(error, F.lit(1e-12)))).items()}
+        moved = max((float(np.abs(new[k] - coef[k]).max()) for k in new), default=0.0)
         coef = new
         if moved < 1e-8:
             break
     return _held_out(df, group, features, coef)
 
 
+def _newton(rows: Callable[[dict], DataFrame], groups: list, features: list[str], label: str, weight: Column, penalty: np.ndarray, rounds: int) -> dict:
+    """Coefficients of a penalised logistic regression for each fold of rows(coefficients); one aggregation a round."""
+    coef = {k: np.zeros(len(penalty)) for k in groups}
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-_linear(features)))
+        # The last column is the working residual, so that one Gram matrix holds the Hessian and the gradient.
+        sums = _weighted(rows(coef).withColumn("_p", p).withColumn("_v", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-12))), features, (F.col(label) - F.col("_p")) / F.col("_v"), weight * F.col("_v"))
+        step = {k: np.linalg.solve(g[:-1, :-1] + penalty + 1e-9 * np.eye(len(penalty)), g[:-1, -1] - penalty @ coef[k]) for k, g in sums.items()}
+        coef = {k: coef[k] + step[k] for k in step}
+        if max((float(np.abs(s).max()) for s in step.values()), default=0.0) < 1e-9:
+            break
+    return coef
+
+
 def logo_logistic(df: DataFrame, group: str, features: list[str], label: str, ridge: float = 1.0, balanced: bool = False, rounds: int = 25) -> DataFrame:
     """Leave-one-group-out logistic regression by Newton steps; adds predicted, the held-out probability."""
-    data, groups = _folds(df, group, features, label)
+    data, groups = _clean(df, group, features, label)
     size = len(features) + 1
-    coef = {k: np.zeros(size) for k in groups}
-    share = {r["_fold"]: r["p"] for r in data.groupBy("_fold").agg(F.avg(label).alias("p")).collect()} if balanced else {}
-    w0 = reduce(lambda acc, k: F.when(F.col("_fold") == F.lit(k), F.when(F.col(label) > 0, 0.5 / max(share[k], 1e-9)).otherwise(0.5 / max(1 - share[k], 1e-9))).otherwise(acc), share, F.lit(1.0))
-    penalty = np.diag([0.0, *[ridge] * (size - 1)])
-    for _ in range(rounds):
-        p = 1 / (1 + F.exp(-_linear(features, coef)))
-        d = data.withColumn("_p", p)
-        hess = _weighted(d, "_fold", features, F.lit(0.0), w0 * F.col("_p") * (1 - F.col("_p")))
-        cols = [F.lit(1.0), *(F.col(c) for c in features)]
-        grad = {r["_fold"]: np.array([r[f"d{i}"] for i in range(size)]) for r in d.groupBy("_fold").agg(*(F.sum(w0 * (F.col(label) - F.col("_p")) * c).alias(f"d{i}") for i, c in enumerate(cols))).collect()}
-        step = {k: np.linalg.solve(hess[k][:-1, :-1] + penalty + 1e-9 * np.eye(size), grad[k] - penalty @ coef[k]) for k in groups}
-        coef = {k: coef[k] + step[k] for k in groups}
-        if max(float(np.abs(s).max()) for s in step.values()) < 1e-9:
-            break
-    return df.withColumn("predicted", 1 / (1 + F.exp(-_linear(features, coef, group))))
+    share: dict = {}
+    if balanced:
+        own = {r[group]: (r["n"], r["s"]) for r in data.groupBy(group).agg(F.count("*").alias("n"), F.sum(label).alias("s")).collect()}
+        n, s = (sum(v[i] for v in own.values()) for i in (0, 1))
+        share = {k: (s - v[1]) / max(1, n - v[0]) for k, v in own.items()}
+    weight = F.when(F.col(label) > 0, 0.5 / F.greatest(F.col("_s"), F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - F.col("_s"), F.lit(1e-9))) if balanced else F.lit(1.0)
+    rows = lambda coef: data.join(_table(data, group, coef, share), F.col(group) != F.col("_fold"))
+    coef = _newton(rows, groups, features, label, weight, np.diag([0.0, *[ridge] * (size - 1)]), rounds)
+    return _held_out(df, group, features, coef, lambda z: 1 / (1 + F.exp(-z)))
+
+
+def forward_logistic(df: DataFrame, group: str, order: str, features: list[str], label: str, split: float, ridge: float = 1.0, rounds: int = 40, least: tuple[int, int] = (6, 3)) -> DataFrame:
+    """Rows after the split with predicted, the probability by a balanced logistic regression on the group's rows up to it.
+
+    Features are scaled by the early rows' mean and sd (a constant one to zero); the penalty takes in the intercept.
+    Groups with fewer than `least` rows on either side, or with one class among the early rows, are left out.
+    """
+    data, _ = _clean(df, group, features, label, (order,))
+    early = F.col(order) <= split
+    sums = [F.avg(F.when(early, F.col(c))).alias(f"_m_{c}") for c in features] + [F.stddev_pop(F.when(early, F.col(c))).alias(f"_d_{c}") for c in features]
+    stats = data.groupBy(F.col(group).alias("_g")).agg(F.count(F.when(early, 1)).alias("_n0"), F.count(F.when(~early, 1)).alias("_n1"), F.avg(F.when(early, F.col(label))).alias("_share"), *sums)
+    stats = stats.filter((F.col("_n0") >= least[0]) & (F.col("_n1") >= least[1]) & (F.col("_share") > 0) & (F.col("_share") < 1))
+    scaled = data.join(F.broadcast(stats), F.col(group) == F.col("_g")).withColumns({c: F.when(F.col(f"_d_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).otherwise(F.lit(0.0)) for c in features})
+    scaled = materialize(scaled.select(group, order, label, "_share", *features))
+    groups = [r[0] for r in scaled.select(group).distinct().collect()]  # MOST_FOLDS at most
+    weight = F.when(F.col(label) > 0, 0.5 / F.col("_share")).otherwise(0.5 / (1 - F.col("_share")))
+    rows = lambda coef: scaled.filter(early).join(_table(scaled, group, coef), F.col(group) == F.col("_fold"))
+    coef = _newton(rows, groups, features, label, weight, np.diag([ridge] * (len(features) + 1)), rounds)
+    return _held_out(scaled.filter(~early), group, features, coef, lambda z: 1 / (1 + F.exp(-z))).drop("_share")
+
+
+def balanced_accuracy(predictions: DataFrame, by: list[str], label: str, predicted: str = "predicted", cut: float = 0.5) -> DataFrame:
+    """by, n and the mean of the two classes' shares that fall on their side of the cut (null: one class only)."""
+    yes = (F.col(predicted) >= cut).cast("double")
+    return predictions.groupBy(*by).agg(F.count("*").alias("n"), ((F.avg(F.when(F.col(label) > 0, yes)) + F.avg(F.when(F.col(label) <= 0, 1 - yes))) / 2).alias("balanced_accuracy"))
 
 
 def brier(df: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:
     return df.agg(F.avg((F.col(predicted) - F.col(label)) ** 2).alias("brier"), F.avg(((F.col(predicted) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
 
 
-def exact_permutation(df: DataFrame, by: list[str], x: str, y: str, most: int = 8) -> DataFrame:
-    """Exact two-sided p of the Spearman correlation over all orders, for groups of at most `most` rows; larger: null."""
+def exact_permutation(df: DataFrame, by: list[str], x: str, y: str, most: int = 8, draws: int = 10_000) -> DataFrame:
+    """Two-sided p of the Spearman correlation over all orders, for groups of at most `most` rows.
+
+    Larger groups: over `draws` random orders, seeded by the group's keys, the observed one counted in.
+    """
     types = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[x].rank().to_numpy(), f[y].rank().to_numpy()
         n, p, rho = len(f), None, None
-        if 3 <= n <= most and a.std() > 0 and b.std() > 0:
-            a, b = (a - a.mean()) / a.std(), (b - b.mean()) / b.std()
+        if n >= 3 and a.std() > 0 and b.std() > 0:
+            order = np.lexsort((b, a))  # the draws do not depend on the order of the rows
+            a, b = ((a - a.mean()) / a.std())[order], ((b - b.mean()) / b.std())[order]
             rho = float(a @ b / n)
-            every = np.array([a @ b[list(o)] for o in itertools.permutations(range(n))]) / n
+            if n <= most:
+                orders = (list(o) for o in itertools.permutations(range(n)))
+            else:
+                rng = np.random.default_rng(list("|".join(str(f[k].iloc[0]) for k in by).encode()))
+                orders = (range(n) if k == 0 else rng.permutation(n) for k in range(draws + 1))
+            every = np.array([a @ b[o] for o in orders]) / n
             p = float((np.abs(every) >= abs(rho) - 1e-12).mean())
         return pd.DataFrame([{k: f[k].iloc[0] for k in by} | {"n": n, "rho": rho, "p": p}]).astype({"rho": "float64", "p": "float64"})
 

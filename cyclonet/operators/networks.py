@@ -14,21 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 MARKS = (0.01, 0.05, 0.10)
 FRACTIONS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder; without one configured, the session's default is used."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cuts the lineage through the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -208,22 +204,43 @@ def per_state(contacts: DataFrame, keys: list[str], columns: list[str], schema:
     return contacts.select(*keys, *columns).groupBy(*keys).applyInPandas(run, f"{_types(contacts, keys)}, {schema}")
 
 
-def filtration_edges(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
-    """Each edge with its rank by descending value, its edge fraction, and whether it closes a loop at its insertion."""
+def _flagged(contacts: DataFrame, nodes: DataFrame, keys: list[str], sides: tuple[str, ...]) -> DataFrame:
+    """contacts with _f1 and _f2, the sides (bits) that either end is on; ends that nodes lacks are on none."""
+    bits = sum(F.when(F.col(c), 1 << i).otherwise(0) for i, c in enumerate(sides))
+    ends = nodes.select(*keys, "id", bits.cast("int").alias("_f"))
+    for k in "12":
+        contacts = contacts.join(ends.withColumnsRenamed({"id": f"id{k}", "_f": f"_f{k}"}), [*keys, f"id{k}"], "left").fillna(0, [f"_f{k}"])
+    return contacts
+
+
+def _marks(f: pd.DataFrame) -> dict:
+    return dict(zip(f["id1"], f["_f1"], strict=True)) | dict(zip(f["id2"], f["_f2"], strict=True))
+
+
+def filtration_edges(contacts: DataFrame, keys: list[str], value: str = "force", nodes: DataFrame | None = None, sides: tuple[str, ...] = ("bottom", "top")) -> DataFrame:
+    """Each edge with its rank by descending value, its edge fraction, and whether it closes a loop at its insertion.
+
+    With nodes, also touches_<side>: whether the tree that it joins or closes then has a node on that side.
+    """
+    flags = tuple(f"touches_{c}" for c in sides) if nodes is not None else ()
+    data = _flagged(contacts, nodes, keys, sides) if nodes is not None else contacts
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = run_filtration(f, descending(f, value))
+        out = run_filtration(f, descending(f, value), _marks(f) if flags else None)
         out["fraction"] = out["rank"] / len(out)
-        return out[[*keys, "id1", "id2", value, "rank", "fraction", "closes"]]
+        for i, c in enumerate(flags):
+            out[c] = (out["touch"].to_numpy() >> i & 1).astype(bool)
+        return out[[*keys, "id1", "id2", value, "rank", "fraction", "closes", *flags]]
 
-    return per_state(contacts, keys, ["id1", "id2", value], f"{_types(contacts, ['id1', 'id2', value])}, rank long, fraction double, closes boolean", run)
+    more = ", ".join(["rank long, fraction double, closes boolean", *(f"{c} boolean" for c in flags)])
+    return per_state(data, keys, ["id1", "id2", value, *(("_f1", "_f2") if flags else ())], f"{_types(contacts, ['id1', 'id2', value])}, {more}", run)
 
 
 def percolation_row(out: pd.DataFrame, value: str) -> dict:
     m, n = len(out), int(out["n_nodes"].iloc[0])
     v, closes, giant = out[value].to_numpy(), out["closes"].to_numpy(), out["giant"].to_numpy()
     total = v.sum()
-    row = {"contacts": m, "value_sum": total, "value_mean": v.mean(), "loop_births": int(closes.sum()), "loop_fraction": closes.mean(), "loop_value_share": v[closes].sum() / total if total else np.nan}
+    row = {"contacts": m, "value_sum": total, "value_mean": v.mean(), "value_p99": float(np.percentile(v, 99)), "loop_births": int(closes.sum()), "loop_fraction": closes.mean(), "loop_value_share": v[closes].sum() / total if total else np.nan}
     for p in MARKS:
         k = int(np.argmax(np.arange(1, m + 1) / m >= p))
         row |= {f"giant_top{round(100 * p)}": giant[k] / n, f"share_top{round(100 * p)}": v[: k + 1].sum() / total if total else np.nan}
@@ -232,7 +249,7 @@ def percolation_row(out: pd.DataFrame, value: str) -> dict:
     return row
 
 
-PERCOLATION = "contacts long, value_sum double, value_mean double, loop_births long, loop_fraction double, loop_value_share double, " + ", ".join(f"giant_top{round(100 * p)} double, share_top{round(100 * p)} double" for p in MARKS) + ", giant_half_fraction double"
+PERCOLATION = "contacts long, value_sum double, value_mean double, value_p99 double, loop_births long, loop_fraction double, loop_value_share double, " + ", ".join(f"giant_top{round(100 * p)} double, share_top{round(100 * p)} double" for p in MARKS) + ", giant_half_fraction double"
 
 
 def percolation(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
@@ -246,19 +263,13 @@ def percolation(contacts: DataFrame, keys: list[str], value: str = "force") -> D
 
 def spanning_percolation(contacts: DataFrame, nodes: DataFrame, keys: list[str], sides: tuple[str, str] = ("bottom", "top"), value: str = "force") -> DataFrame:
     """Edge fraction at which one tree first touches both sides (null: never); node flags join the edges beforehand."""
-    a, b = sides
-    ends = nodes.select(*keys, "id", (F.col(a).cast("int") + 2 * F.col(b).cast("int")).alias("_f"))
-    flagged = contacts
-    for k in "12":
-        flagged = flagged.join(ends.withColumnsRenamed({"id": f"id{k}", "_f": f"_f{k}"}), [*keys, f"id{k}"])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        marks = dict(zip(f["id1"], f["_f1"], strict=True)) | dict(zip(f["id2"], f["_f2"], strict=True))
-        out = run_filtration(f, descending(f, value), marks)
+        out = run_filtration(f, descending(f, value), _marks(f))
         hit = np.flatnonzero(out["touch"].to_numpy() == 3)
         return pd.DataFrame([{k: f[k].iloc[0] for k in keys} | {"span_fraction": (hit[0] + 1) / len(out) if len(hit) else None}]).astype({"span_fraction": "float64"})
 
-    return per_state(flagged, keys, ["id1", "id2", value, "_f1", "_f2"], "span_fraction double", run)
+    return per_state(_flagged(contacts, nodes, keys, sides), keys, ["id1", "id2", value, "_f1", "_f2"], "span_fraction double", run)
 
 
 def filtration_curve(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
@@ -283,32 +294,46 @@ def _rng(seed: int, f: pd.DataFrame, keys: list[str], rep: int) -> np.random.Gen
     return np.random.default_rng(list(text.encode()))
 
 
+def _with_replicates(contacts: DataFrame, keys: list[str], columns: list[str], n: int) -> DataFrame:
+    """A copy of each state's edges for every replicate: few large states spread over as many tasks as replicates."""
+    return contacts.select(*keys, *columns).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+
+
 def force_shuffle_null(contacts: DataFrame, keys: list[str], n: int, seed: int = 0, value: str = "force") -> DataFrame:
-    """rep and the percolation row of each state with its values permuted over its edges; edges are not copied per replicate."""
+    """rep and the percolation row of each state with its values permuted over its edges; a group is a state's replicate."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["id1", "id2"], ignore_index=True)
-        rows = []
-        for rep in range(1, n + 1):
-            g = f.assign(**{value: _rng(seed, f, keys, rep).permutation(f[value].to_numpy())})
-            rows.append({k: f[k].iloc[0] for k in keys} | {"rep": rep} | percolation_row(run_filtration(g, descending(g, value)), value))
-        return pd.DataFrame(rows)
+        g = f.assign(**{value: _rng(seed, f, keys, f["rep"].iloc[0]).permutation(f[value].to_numpy())})
+        return pd.DataFrame([{k: f[k].iloc[0] for k in [*keys, "rep"]} | percolation_row(run_filtration(g, descending(g, value)), value)])
+
+    return per_state(_with_replicates(contacts, keys, ["id1", "id2", value], n), [*keys, "rep"], ["id1", "id2", value], PERCOLATION, run)
+
 
-    return per_state(contacts, keys, ["id1", "id2", value], "rep long, " + PERCOLATION, run)
+def loop_area(closes: np.ndarray) -> float:
+    """Mean over the ranks of the share of edges so far that closed a loop."""
+    return float(np.mean(np.cumsum(closes) / np.arange(1, len(closes) + 1)))
 
 
 def order_null(contacts: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """rep and loop_area, the mean loop-birth rate over all ranks, for random edge orders of each state."""
+    """rep, loop_area and loops for random edge orders of each state; a group is a state's replicate."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["id1", "id2"], ignore_index=True)
-        rows = []
-        for rep in range(1, n + 1):
-            out = run_filtration(f, _rng(seed, f, keys, rep).permutation(len(f)))
-            rows.append({k: f[k].iloc[0] for k in keys} | {"rep": rep, "loop_area": float(np.mean(np.cumsum(out["closes"]) / out["rank"])), "loops": int(out["closes"].sum())})
-        return pd.DataFrame(rows)
+        closes = run_filtration(f, _rng(seed, f, keys, f["rep"].iloc[0]).permutation(len(f)))["closes"].to_numpy()
+        return pd.DataFrame([{k: f[k].iloc[0] for k in [*keys, "rep"]} | {"loop_area": loop_area(closes), "loops": int(closes.sum())}])
+
+    return per_state(_with_replicates(contacts, keys, ["id1", "id2"], n), [*keys, "rep"], ["id1", "id2"], "loop_area double, loops long", run)
+
+
+def loop_areas(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
+    """loop_area of each state in the order of its values."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        closes = run_filtration(f, descending(f, value))["closes"].to_numpy()
+        return pd.DataFrame([{k: f[k].iloc[0] for k in keys} | {"loop_area": loop_area(closes)}])
 
-    return per_state(contacts, keys, ["id1", "id2"], "rep long, loop_area double, loops long", run)
+    return per_state(contacts, keys, ["id1", "id2", value], "loop_area double", run)
 
 
 def loop_enrichment(edges: DataFrame, keys: list[str], value: str = "force") -> DataFrame:

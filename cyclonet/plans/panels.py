@@ -62,11 +62,11 @@ def _web(s, d):
 
 register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9), "run cycle phase edges nodes components largest")
 register("topo_cycle_edges", lambda s, d: net.filtration_edges(contacts(s, d), STATE).groupBy(*STATE).agg(F.count("*").alias("edges"), F.sum(F.col("closes").cast("long")).alias("loops"), F.min(F.when(F.col("closes"), F.col("rank"))).alias("first")), "run cycle phase edges loops first")
-register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase contacts", "value_sum value_mean share_top1 share_top5 share_top10", CONTACTS, """
-  SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, sum(force) FILTER (i - 1 < c1) / sum(force) AS share_top1, sum(force) FILTER (i - 1 < c5) / sum(force) AS share_top5, sum(force) FILTER (i - 1 < c10) / sum(force) AS share_top10
+register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase contacts", "value_sum value_mean value_p99 share_top1 share_top5 share_top10", CONTACTS, """
+  SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, quantile_cont(force, 0.99) AS value_p99, sum(force) FILTER (i - 1 < c1) / sum(force) AS share_top1, sum(force) FILTER (i - 1 < c5) / sum(force) AS share_top5, sum(force) FILTER (i - 1 < c10) / sum(force) AS share_top10
   FROM (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force DESC, id1, id2) AS i, ceil(n * 0.01::DOUBLE - 1e-9) AS c1, ceil(n * 0.05::DOUBLE - 1e-9) AS c5, ceil(n * 0.1::DOUBLE - 1e-9) AS c10
   FROM (SELECT *, count(*) OVER (PARTITION BY run, cycle, phase) AS n FROM contacts)) GROUP BY 1, 2, 3""")
-register("topo_loops", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase loop_births", "loop_fraction loop_value_share giant_top5 giant_half_fraction")
+register("topo_loops", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase loop_births", "loop_fraction loop_value_share giant_top1 giant_top5 giant_top10 giant_half_fraction")
 register("topo_spanning", lambda s, d: net.spanning_percolation(contacts(s, d), fr.boundary_flags(nodes(s, d), STATE), STATE), "run cycle phase", "span_fraction")
 register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share giant_share value_share")
 register("topo_enrichment", lambda s, d: net.loop_enrichment(net.filtration_edges(contacts(s, d), STATE), STATE), "run cycle phase", "loop_fraction loop_share enrichment log_enrichment")
@@ -115,7 +115,10 @@ register("st_mediation", lambda s, d: st.mediation(panel(s, d), "x", "y", "w"),
 register("st_r2_gain", lambda s, d: mod.r2_gain(win.zscore(panel(s, d), G, ["x", "y", "w"]), ["x_z"], "y_z", "w_z"), "", "r2_base r2_full gain", PANEL, f"""
   SELECT rxw * rxw AS r2_base, (rxw * rxw + ryw * ryw - 2 * rxw * ryw * rxy) / (1 - rxy * rxy) AS r2_full, (rxw * rxw + ryw * ryw - 2 * rxw * ryw * rxy) / (1 - rxy * rxy) - rxw * rxw AS gain
   FROM (SELECT corr(a, c) AS rxw, corr(b, c) AS ryw, corr(a, b) AS rxy FROM (SELECT (x - avg(x) OVER {_W}) / stddev_pop(x) OVER {_W} AS a, (y - avg(y) OVER {_W}) / stddev_pop(y) OVER {_W} AS b, (w - avg(w) OVER {_W}) / stddev_pop(w) OVER {_W} AS c FROM panel))""")
-register("st_shapley_r2", lambda s, d: st.shapley_r2(win.zscore(panel(s, d), G, ["x", "y", "w"]), ["x_z", "y_z"], "w_z"), "feature", "share r2")
+register("st_shapley_r2", lambda s, d: st.shapley_r2(win.zscore(panel(s, d), G, ["x", "y", "w"]), ["x_z", "y_z"], "w_z"), "feature", "share r2", PANEL, f"""
+  WITH r AS (SELECT rxw * rxw AS a, ryw * ryw AS b, (rxw * rxw + ryw * ryw - 2 * rxw * ryw * rxy) / (1 - rxy * rxy) AS ab FROM (SELECT corr(a, c) AS rxw, corr(b, c) AS ryw, corr(a, b) AS rxy
+  FROM (SELECT (x - avg(x) OVER {_W}) / stddev_pop(x) OVER {_W} AS a, (y - avg(y) OVER {_W}) / stddev_pop(y) OVER {_W} AS b, (w - avg(w) OVER {_W}) / stddev_pop(w) OVER {_W} AS c FROM panel)))
+  SELECT 'x_z' AS feature, (a + ab - b) / 2 AS share, ab AS r2 FROM r UNION ALL SELECT 'y_z', (b + ab - a) / 2, ab FROM r""")
 register("st_threshold", lambda s, d: st.threshold(win.rare_flag(panel(s, d), G, "w", 0.8), "x", "rare"), "", "cut sensitivity specificity balanced_accuracy", PANEL, """
   WITH r AS (SELECT p.x AS s, CAST(w >= q AS INT) AS l FROM panel p JOIN (SELECT regime_id, quantile_cont(w, 0.8) AS q FROM panel GROUP BY 1) t ON p.regime_id = t.regime_id), v AS (SELECT DISTINCT s FROM r), m AS (SELECT (s + lag(s) OVER (ORDER BY s)) / 2 AS cut FROM v),
   e AS (SELECT cut, sum(CAST(l = 1 AND s >= cut AS INT)) / sum(l)::DOUBLE AS sensitivity, sum(CAST(l = 0 AND s < cut AS INT)) / sum(1 - l)::DOUBLE AS specificity FROM m CROSS JOIN r WHERE cut IS NOT NULL GROUP BY 1)
@@ -163,7 +166,9 @@ def _logo(s, d):
     return mod.logo_linear(win.zscore(panel(s, d), G, ["x", "w"]), "regime_id", ["x_z"], "w_z")
 
 
-register("mod_predictions", lambda s, d: mod.pooled_r2(mod.predict_linear(win.zscore(panel(s, d), G, ["x", "w"]), _logo(s, d), "regime_id", ["x_z"]), "w_z", by=["regime_id"]), "regime_id n", "r2 rmse")
+register("mod_predictions", lambda s, d: mod.pooled_r2(mod.predict_linear(win.zscore(panel(s, d), G, ["x", "w"]), _logo(s, d), "regime_id", ["x_z"]), "w_z", by=["regime_id"]), "regime_id n", "r2 rmse", PANEL + f", z AS (SELECT regime_id, cycle, (x - avg(x) OVER {_W}) / stddev_pop(x) OVER {_W} AS x, (w - avg(w) OVER {_W}) / stddev_pop(w) OVER {_W} AS w FROM panel)", """
+  SELECT t.regime_id, count(*) AS n, 1 - avg((t.w - i - k * t.x) ** 2) / var_pop(t.w) AS r2, sqrt(avg((t.w - i - k * t.x) ** 2)) AS rmse FROM z t
+  JOIN (SELECT g.regime_id, regr_intercept(z.w, z.x) AS i, regr_slope(z.w, z.x) AS k FROM z JOIN (SELECT DISTINCT regime_id FROM z) g ON z.regime_id <> g.regime_id GROUP BY 1) f ON t.regime_id = f.regime_id GROUP BY 1""")
 register("mod_forward_linear", lambda s, d: mod.forward_linear(panel(s, d).withColumns({"x": F.col("x") / 1e6, "w": F.col("w") / 1e4}), G, "cycle", ["x"], "w", 18), "regime_id n_train n_test", "r2", PANEL, """
   SELECT t.regime_id, any_value(nt) AS n_train, count(*) AS n_test, 1 - sum((w / 1e4 - i - k * x / 1e6) ** 2) / sum((w / 1e4 - m) ** 2) AS r2 FROM panel t
   JOIN (SELECT regime_id, count(*) AS nt, regr_intercept(w / 1e4, x / 1e6) AS i, regr_slope(w / 1e4, x / 1e6) AS k, avg(w / 1e4) AS m FROM panel WHERE cycle <= 18 GROUP BY 1) f ON t.regime_id = f.regime_id WHERE cycle > 18 GROUP BY 1""")
@@ -200,7 +205,9 @@ register("map_coords", _coords, "regime_id cycle", "u v next_u next_v", PANEL +
 register("map_fit", _maps, "regime_id n", "a11 a12 a21 a22 determinant spectral_radius", PANEL + _Z + _M, """
   SELECT *, a11 * a22 - a12 * a21 AS determinant, CASE WHEN (a11 + a22) ** 2 / 4 >= a11 * a22 - a12 * a21 THEN abs((a11 + a22) / 2) + sqrt(greatest((a11 + a22) ** 2 / 4 - (a11 * a22 - a12 * a21), 0)) ELSE sqrt(abs(a11 * a22 - a12 * a21)) END AS spectral_radius FROM m""")
 register("map_normal_form", lambda s, d: geo.map_normal_form(_maps(s, d)), "regime_id", "half_trace split shear circulation", PANEL + _Z + _M, "SELECT regime_id, (a11 + a22) / 2 AS half_trace, (a11 - a22) / 2 AS split, (a12 + a21) / 2 AS shear, (a21 - a12) / 2 AS circulation FROM m")
-register("map_gain", lambda s, d: geo.map_gain(_maps(s, d), G), "regime_id power", "gain")
+register("map_gain", lambda s, d: geo.map_gain(_maps(s, d), G), "regime_id power", "gain", "RECURSIVE " + PANEL + _Z + _M + """, pw(regime_id, power, a, b, c, d) AS (SELECT regime_id, 1, a11, a12, a21, a22 FROM m
+  UNION ALL SELECT p.regime_id, power + 1, a * a11 + b * a21, a * a12 + b * a22, c * a11 + d * a21, c * a12 + d * a22 FROM pw p JOIN m ON p.regime_id = m.regime_id WHERE power < 15)""", """
+  SELECT regime_id, CAST(power AS INTEGER) AS power, sqrt((f + sqrt(greatest(f * f - 4 * g, 0))) / 2) AS gain FROM (SELECT regime_id, power, a * a + b * b + c * c + d * d AS f, (a * d - b * c) ** 2 AS g FROM pw)""")
 register("map_modes", lambda s, d: geo.map_modes(_maps(s, d), G), "regime_id", "sigma1 sigma2", PANEL + _Z + _M,
   "SELECT regime_id, sqrt((f + sqrt(greatest(f * f - 4 * g, 0))) / 2) AS sigma1, sqrt(greatest((f - sqrt(greatest(f * f - 4 * g, 0))) / 2, 0)) AS sigma2 FROM (SELECT regime_id, a11 * a11 + a12 * a12 + a21 * a21 + a22 * a22 AS f, (a11 * a22 - a12 * a21) ** 2 AS g FROM m)")
 register("map_lyapunov", lambda s, d: geo.map_lyapunov(_maps(s, d), G), "regime_id", "p11 p12 p22 anisotropy stability_margin")

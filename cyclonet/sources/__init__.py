@@ -73,9 +73,9 @@ def json_stats(spark: SparkSession, path: str) -> DataFrame:
     return inner.select("case", "name", F.expr("try_cast(_t AS double)").alias("value"))
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "errorifexists") -> None:
-    """Parquet, in folders of the partition columns."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "errorifexists", form: str = "parquet") -> None:
+    """Parquet, or csv with a header, in folders of the partition columns."""
+    df.write.mode(mode).partitionBy(*partition_by).options(**({"header": True} if form == "csv" else {})).format(form).save(path)
 
 
 def inventory(files: DataFrame, rules: list[tuple[str, str]], required: list[str], default: str = "other") -> DataFrame:
