@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cyclonet.llm import bpe, common, fingerprints, near_dedup, packing, pii, quality, sharding, substrings, toxicity, wrappers
+from cyclonet.llm import bpe, common, fingerprints, near_dedup, packing, pii, quality, queries, sharding, substrings, toxicity, wrappers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -122,6 +122,54 @@ def test_disclosing_term_and_redaction(spark):
     assert all(clean[k] == texts[k] for k in range(6, 66))
 
 
+def test_terms_against_brute_force(spark):
+    """Distinct texts of random words, some values with words that stand by them always, mostly or now and then."""
+    r = random.Random(11)
+    texts = []
+    for k in range(160):
+        t = words(k, 30).split()
+        v = k % 8
+        if v < 4:
+            t.insert(5, f"lead{v}@corp.example")
+            t.insert(r.randrange(len(t)), f"sure{v}")
+            if r.random() < 0.9:
+                t.insert(r.randrange(len(t)), f"mostly{v}")
+        if r.random() < 0.05:
+            t.insert(3, f"mostly{r.randrange(4)}")
+        if r.random() < 0.3:
+            t.insert(7, f"often{r.randrange(4)}")
+        if k == 100:
+            t.insert(1, "rare@corp.example oncebesides")
+        texts.append(" ".join(t))
+    held = [set(re.findall(PATTERNS["email"].replace("(", "(?:"), t)) for t in texts]
+    bags = [{w.lower() for w in re.findall(r"[^\W\d_][^\W_]+", re.sub(PATTERNS["email"], " ", t))} for t in texts]
+    n = len(texts)
+    alone = {v: c for v, c in Counter(v for h in held for v in h).items() if c > 1}
+    need, want = np.log2(len(alone) * n / 0.01), {}
+    df = Counter(w for b in bags for w in b)
+    for v, c in alone.items():
+        for w, both in Counter(w for h, b in zip(held, bags, strict=True) if v in h for w in b).items():
+            bits = np.log2(both / df[w] / (c / n))
+            if bits >= 0.9 * -np.log2(c / n) and bits * both >= need:
+                want[w] = max(want.get(w, 0), bits / -np.log2(c / n))
+    docs = make(spark, texts)
+    got = {r.term: r.share for r in pii.disclosing(docs, pii.profile(docs)).collect()}
+    assert got.keys() == want.keys() and {f"sure{v}" for v in range(4)} <= got.keys() and "oncebesides" not in got
+    assert all(np.isclose(got[w], want[w]) for w in got)
+    for r in pii.locate(docs).collect():
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_][^\W_]+", texts[r.doc_id]) if m[0].lower() in want]
+        assert [(s.start, s.end) for s in r.added or []] == places
+
+
+def test_copies_are_no_evidence_and_long_texts_are_whole(spark):
+    one = f"{words(1, 40)} write to solo@corp.example zorblax {words(2, 40)}"
+    long = " ".join(f"x{i}@b.co é" for i in range(20_000))
+    docs = make(spark, [one] * 30 + [words(k, 50) for k in range(60)] + [long])
+    got = {r.doc_id: r for r in pii.digest(pii.locate(docs)).collect()}
+    assert all(got[k].spans.startswith("email") and "term" not in got[k].spans for k in range(30)) and got[90].n_email == 20_000
+    assert {r.doc_id: r.text for r in pii.sanitize(docs).collect()}[90] == " ".join(["[EMAIL] é"] * 20_000)
+
+
 # 2. Encoding
 
 
@@ -141,6 +189,17 @@ def test_encoding_equals_the_library():
     assert [c.decode(x) for x in got] == [t.decode(w, skip_special_tokens=False) for w in want]
 
 
+def test_the_query_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    for r in queries.op2_bpe(spark, "/root/testdata/sf0.001").collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 # 3. Repeated windows
 
 
@@ -185,6 +244,66 @@ def test_toxicity_separates_held_out(spark):
     assert right > 0.97
 
 
+def kneser_ney(train, order, d):
+    """ln P1 / P0 of a letter after order - 1 letters, by plain dictionaries."""
+    pad = lambda w: " " * (order - 1) + w + " "
+    grams = [Counter(), Counter()]
+    for text, y in train:
+        for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+            grams[y].update(pad(w)[k : k + order] for k in range(len(w) + 1))
+    types = grams[0].keys() | grams[1].keys()
+    below = {order - 1: Counter(g[1:] for g in types)}
+    for n in range(order - 2, 0, -1):
+        below[n] = Counter(g[1:] for g in below[n + 1])
+
+    def shared(g):
+        own = below[len(g)]
+        total = sum(c for k, c in own.items() if k[:-1] == g[:-1])
+        kinds = sum(1 for k in own if k[:-1] == g[:-1])
+        rest = 1 / (kinds + 1) if len(g) == 1 else shared(g[1:])
+        return (own[g] - d) / total + d * kinds / total * rest
+
+    def ratio(g):
+        out = []
+        for own in grams:
+            n = sum(c for k, c in own.items() if k[:-1] == g[:-1])
+            kinds = sum(1 for k in own if k[:-1] == g[:-1])
+            if g in types:
+                q = shared(g[1:])
+                out.append(q if not n else max(own[g] - d, 0) / n + d * kinds / n * q)
+            else:
+                out.append(d * kinds / n if n else 1.0)
+        return np.log(out[1] / out[0])
+
+    kept = {}
+    return lambda w: sum(kept[g] if g in kept else kept.setdefault(g, ratio(g)) for g in (pad(w)[k : k + order] for k in range(len(w) + 1)))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_ratios_against_brute_force(spark, monkeypatch, broadcast):
+    """Where the model is broadcast and where words are joined to it."""
+    r = random.Random(2)
+    syllables = ["ba", "do", "ki", "lu", "mé", "no"]
+    texts = [" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) + (" grub" if i % 3 == 0 and r.random() < 0.3 else "") for _ in range(r.randint(1, 12))) for i in range(60)]
+    texts += ["", "12 34", "Ba_ba GRUB!"]
+    docs = make(spark, texts)
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], LABELS)
+    seen = {}
+    fit = toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "fit_curve", lambda x, y: seen.setdefault("curve", fit(x, y)))
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 6_000_000 if broadcast else 0)
+    got = {g.doc_id: g.score for g in toxicity.score(docs, marks).collect()}
+    ratio = kneser_ney([(texts[i], int(i % 3 == 0)) for i in range(60) if zlib.crc32(str(i).encode()) % 4 < 2], toxicity.ORDER, toxicity.DISCOUNT)
+    mean, spread, w = seen["curve"]
+    for i, t in enumerate(texts):
+        own = [(ratio(x), len(x) + 1) for x in re.findall(r"[^\W\d_]+", t.lower())]
+        x = np.zeros(2)
+        if own:
+            runs = [own[k : k + 2] for k in range(max(1, len(own) - 1))]
+            x = np.array([sum(a for a, _ in own) / sum(b for _, b in own), max(sum(a for a, _ in run) / sum(b for _, b in run) for run in runs)])
+        assert np.isclose(got[i], 1 / (1 + np.exp(-((x - mean) / spread @ w[:-1] + w[-1]))), atol=1e-5)
+
+
 # 5. Packing
 
 
@@ -231,6 +350,51 @@ def test_edits_and_likeness(spark):
     assert got[48].fingerprint == got[49].fingerprint and got[49].near_next == 1.0
 
 
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    texts = [words(1, 60), f"{words(2, 30)} {words(1, 60)}", " ".join(words(1, 60).split()[:25] + ["new"] + words(1, 60).split()[25:]), "a b a b a b a b a b", "a b c", "a", None, "z" * 400, f"{words(3, 20)} {words(4, 20)}", f"{words(4, 20)} {words(3, 20)}"]
+    docs = make(spark, texts)
+    got = {r.doc_id: r for r in fingerprints.compare_documents(docs).collect()}
+    full = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 3] + full[i - 1][: len(t) // 3] for i, t in enumerate(full)]
+    rows = make(spark, full + edited)
+    anchors = {r.doc_id: [(a.at, a.hash) for a in r.a] for r in fingerprints.with_anchors(rows, "text", "a").collect()}
+
+    def likeness(x, y):
+        first = [{h: at for at, h in sorted(v, reverse=True)} for v in (x, y)]
+        if first[0] == first[1]:
+            return 1.0
+        if not x or not y:
+            return 0.0
+        met = sorted((at, first[1][h] - at) for h, at in first[0].items() if h in first[1])
+        near = [m for k, m in enumerate(met) if min(map(len, first)) == 1 or any(0 <= j < len(met) and met[j][1] == m[1] for j in (k - 1, k + 1))]
+        return len(near) / (len(first[0]) + len(first[1]) - len(near))
+
+    def text(x):
+        gaps = np.diff([1 - fingerprints.K, *(at for at, _ in x)])
+        return "".join(f"{h:08X}{g:02X}" if g < 255 else f"{h:08X}FF{g:08X}" for (_, h), g in zip(x, gaps, strict=True))
+
+    n = len(texts)
+    for i in range(n):
+        following = (i - 1) % n
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (text(anchors[i]), text(anchors[n + i]))
+        assert np.isclose(got[i].near_edited, likeness(anchors[i], anchors[n + i])) and np.isclose(got[i].near_next, likeness(anchors[i], anchors[following]))
+    assert got[1].near_next > 0.4 and got[2].near_next > 0.1
+
+
+def test_ids_that_many_rows_share_are_dealt_by_text(spark):
+    rows = [(None if i % 3 else i, words(i, 6)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprints.dealt_by_range(docs.withColumn("_tie", F.xxhash64("text")), "doc_id", "_tie")
+    assert dealt.filter("doc_id IS NULL").select("_b").distinct().count() > 1
+    got = fingerprints.compare_documents(docs).collect()
+    order = [r.text for r in docs.withColumns({"o": F.coalesce("doc_id", F.lit(common.LOWEST)), "u": F.shiftrightunsigned(F.xxhash64("text"), 11)}).orderBy(F.col("o").desc(), F.col("u").desc()).collect()]
+    want = Counter()
+    for i, t in enumerate(order):
+        following = order[(i + 1) % len(order)]
+        want[hashlib.sha256((t[: len(t) - len(t) // 3] + following[: len(t) // 3]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in got) == want
+
+
 def test_anchors_do_not_depend_on_context(spark):
     passage = words(5, 60)
     rows = make(spark, [passage, f"{words(6, 40)} {passage} {words(7, 40)}"])
@@ -338,6 +502,19 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert all(sorted(g.slot for g in by[s]) == list(range(len(by[s]))) for s in by)
 
 
+def test_groups_up_to_the_largest_row_stay_whole(spark):
+    texts = [words(k, 300) for k in range(4)] + [words(100 + k // 7, 12) for k in range(700)]
+    got = sharding.document_shards(make(spark, texts), 8).collect()
+    shards = defaultdict(set)
+    for g in got:
+        shards[texts[g.doc_id]].add(g.shard)
+    assert all(len(s) == 1 for s in shards.values())
+    sizes = Counter()
+    for g in got:
+        sizes[g.shard] += g["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(g["size"] for g in got)
+
+
 # 9. Quality
 
 
@@ -376,6 +553,34 @@ def test_rules_reject_junk_only(spark):
     assert all(got[i] for i in range(900)) and not any(got[i] for i in range(900, 1000))
 
 
+def test_cutoffs_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows, marks = [], []
+    for i in range(1500):
+        good = int(r.random() < 0.8)
+        x = np.where(r.random(4) < (0.004 if good else 0.3), r.random(4), 0.0)
+        rows.append((i, "en" if i < 900 else "de" if i < 1400 else ["fr", "es", None][i % 3], False, *map(float, x)))
+        marks.append((i, good, 0))
+    d = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, " + ", ".join(f"{k} double" for k in quality.RULES))
+    got = {g.stratum: g for g in quality.cutoffs(d, spark.createDataFrame(marks, LABELS), "lang").collect()}
+    level = 0.05 / len(got)
+    path = [(j, c) for j in range(4) for c in quality.GRID]
+    for name, group in (("en", ["en"]), ("de", ["de"]), ("fr", ["fr", "es", None])):
+        own = [(x, marks[x[0]][1]) for x in rows if x[1] in group]
+        n = [sum(1 for _, g in own if g == k) for k in (0, 1)]
+        best, gain = None, 0.0
+        for step, (rule, cut) in enumerate(path):
+            over = lambda x: any(x[3 + j] > (quality.GRID[-1] if j < rule else cut) for j in range(rule + 1))  # noqa: E731, B023
+            bad, good = (sum(1 for x, g in own if g == k and over(x)) for k in (0, 1))
+            if quality.binomial_tail(good, n[1], 0.02) > level:
+                break
+            if bad / n[0] - good / n[1] > gain + 1e-12:
+                best, gain = step, bad / n[0] - good / n[1]
+        limits = [None] * 4 if best is None else [quality.GRID[-1]] * path[best][0] + [path[best][1]] + [None] * (3 - path[best][0])
+        assert [got[name][f"max_{k}"] for k in quality.RULES] == limits
+    assert [got[k].pooled for k in ("en", "de", "fr", "es", "")] == [False, False, True, True, True]
+
+
 # 10. Near duplicates
 
 
@@ -434,6 +639,39 @@ def test_pairs_in_buckets_of_unlike_texts_are_linked(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_links_near_the_least_similarity(spark):
+    """Pairs between 0.7 and 0.95 by weights; of those of 0.8 or more, nearly all are found, and no class joins others."""
+    r = random.Random(6)
+    texts = []
+    for k in range(220):
+        base = [f"a{k}x{i}" for i in range(120)]
+        other = list(base)
+        for _ in range(1 + k % 5):
+            other[r.randrange(120)] = f"n{r.random()}"
+        texts += [" ".join(base), " ".join(other)]
+    docs = make(spark, texts)
+    counts, n = near_dedup.frequency_sketch(docs)
+    vectors = near_dedup.vectors(pa.array(texts), near_dedup.weight_tables(counts, n))
+    like = [near_dedup.similarity(vectors[2 * k], vectors[2 * k + 1]) for k in range(220)]
+    got = {g.doc_id: g.class_id for g in near_dedup.classes(docs, 0.8).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(220)]
+    near = [f for f, s in zip(found, like, strict=True) if s >= 0.8]
+    assert len(near) > 60 and min(like) < 0.75 and sum(near) >= 0.97 * len(near)
+    assert not any(f for f, s in zip(found, like, strict=True) if s < 0.8) and len(set(got.values())) == 440 - sum(found)
+
+
+def test_common_weights(monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 60))) for _ in range(40)] + ["x y z w v " * 9]
+    tables = np.ones((near_dedup.DF_ROWS, 1 << near_dedup.DF_BITS), np.float32) * 1.5
+    vectors = near_dedup.vectors(pa.array(texts), tables)
+    a, b = near_dedup.leveled(pa.array(texts), tables), near_dedup.leveled(pa.array(texts[:7]), tables)
+    want = [[sum(min(w, dict(zip(*q, strict=True)).get(v, 0)) for v, w in zip(*p, strict=True)) for q in vectors[:7]] for p in vectors]
+    for few in (0, 256):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        assert np.allclose(near_dedup.common_weights(a, b, len(texts), 7), want)
+
+
 def test_one_of_each_class_stays(spark):
     docs = make(spark, [words(1, 100), words(1, 100), words(2, 100), None])
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [0, 2, 3]
