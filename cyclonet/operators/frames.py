@@ -155,27 +155,37 @@ def union_runs(tables: dict[str, DataFrame], column: str = "run") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def radius_pairs(particles: DataFrame, keys: list[str], cutoff: float | Column, id_col: str = "id") -> DataFrame:
-    """keys, id1 < id2, dist for all pairs of a state within the cutoff.
+#: A cell's own place and half of its 26 neighbours, so that each two cells meet once.
+HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
 
-    Cells of the cutoff's size; one side is sent to its own and the 26 neighbour cells, so an equi-join on (state, cell)
-    meets every pair once, and a state of any size spreads over its cells.
+
+def radius_pairs(particles: DataFrame, keys: list[str], cutoff: float | str, id_col: str = "id") -> DataFrame:
+    """keys, id1 < id2, dist for all pairs of a state within the cutoff: a number, or a column that is equal in a state.
+
+    Cells of the cutoff's size; one side is sent to its own and 13 of the neighbour cells, so an equi-join on (state,
+    cell) meets every pair once, and a state of any size spreads over its cells.
     """
-    c = F.lit(float(cutoff)) if not isinstance(cutoff, Column) else cutoff
-    at = {f"_c{a}": F.floor(F.col(a) / c).cast("long") for a in "xyz"}
-    p = particles.select(*keys, F.col(id_col).alias("id"), "x", "y", "z").withColumns(at)
-    steps = F.array(*(F.struct(*(F.lit(v).alias(f"d{a}") for a, v in zip("xyz", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    near = p.select(*keys, F.col("id").alias("id1"), *(F.col(a).alias(f"{a}1") for a in "xyz"), *at, F.inline(steps))
-    near = near.withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"d{a}") for a in "xyz"}).drop("dx", "dy", "dz")
-    pairs = near.join(p.withColumnRenamed("id", "id2"), [*keys, *at]).filter("id1 < id2")
+    c = F.col(cutoff) if isinstance(cutoff, str) else F.lit(float(cutoff))
+    p = particles.select(*keys, F.col(id_col).alias("id"), *(F.col(a).cast("double").alias(a) for a in "xyz"), c.alias("_k"))
+    at = {f"_c{a}": F.floor(F.col(a) / F.col("_k")).cast("long") for a in "xyz"}
+    p = p.withColumns(at)
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"_d{a}") for a, v in zip("xyz", step, strict=True))) for step in HALF))
+    near = p.select(*keys, F.col("id").alias("_a"), *(F.col(a).alias(f"{a}1") for a in "xyz"), *at, F.inline(steps))
+    near = near.withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"_d{a}") for a in "xyz"}).withColumn("_own", (F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0)).drop("_dx", "_dy", "_dz")
+    pairs = near.join(p, [*keys, *at]).filter((F.col("_a") < F.col("id")) | ~F.col("_own") & (F.col("_a") != F.col("id")))
     d2 = sum((F.col(a) - F.col(f"{a}1")) ** 2 for a in "xyz")
-    return pairs.withColumn("dist", F.sqrt(d2)).filter(F.col("dist") <= c).select(*keys, "id1", "id2", "dist")
+    return pairs.withColumn("dist", F.sqrt(d2)).filter(F.col("dist") <= F.col("_k")).select(*keys, F.least("_a", "id").alias("id1"), F.greatest("_a", "id").alias("id2"), "dist")
+
+
+def _reach(particles: DataFrame, keys: list[str], skin: float) -> DataFrame:
+    """particles with _r, the greatest radius of the state, and _reach, how far two of its particles can be in contact."""
+    rmax = particles.groupBy(*keys).agg(F.max("radius").cast("double").alias("_r"))
+    return particles.join(rmax, keys).withColumn("_reach", F.greatest(2 * F.col("_r") * skin, F.lit(1e-12)))
 
 
 def contact_skin(particles: DataFrame, keys: list[str], skin: float = 1.004) -> DataFrame:
-    """Pairs whose distance is at most skin times the sum of their radii, with both radii."""
-    top = particles.agg(F.max("radius")).first()[0] or 0.0
-    pairs = with_ends(radius_pairs(particles, keys, max(2 * top * skin, 1e-12)), particles, keys, ["radius"])
+    """Pairs whose distance is at most skin times the sum of their radii, with both radii; cells follow the state's radii."""
+    pairs = with_ends(radius_pairs(_reach(particles, keys, skin), keys, "_reach"), particles, keys, ["radius"])
     return pairs.filter(F.col("dist") <= (F.col("radius1") + F.col("radius2")) * skin)
 
 
@@ -184,11 +194,10 @@ def contact_overlap(particles: DataFrame, keys: list[str], skin: float = 1.004)
 
     Pairs at distance 0 are dropped.
     """
-    top = particles.agg(F.max("radius")).first()[0] or 0.0
-    pairs = with_ends(radius_pairs(particles, keys, max(2 * top * skin, 1e-12)), particles, keys, ["radius"])
+    own = _reach(particles, keys, skin)
+    pairs = with_ends(radius_pairs(own, keys, "_reach"), own, keys, ["radius", "_r"]).drop("_r2").withColumnRenamed("_r1", "_r")
     pairs = pairs.withColumn("overlap", F.col("radius1") + F.col("radius2") - F.col("dist"))
-    rmax = particles.groupBy(*keys).agg(F.max("radius").alias("_r"))
-    return pairs.join(rmax, keys).filter((F.col("dist") > 0) & (F.col("overlap") >= -(skin - 1) * 2 * F.col("_r"))).drop("_r")
+    return pairs.filter((F.col("dist") > 0) & (F.col("overlap") >= -(skin - 1) * 2 * F.col("_r"))).drop("_r")
 
 
 def edge_canon(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,7 +262,15 @@ def pivot_matrix(df: DataFrame, rows: list[str], column: str, value: str, names:
     return df.groupBy(*rows).pivot(column, names).agg(F.avg(value))
 
 
+MOST_CELLS = 10_000_000
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long contingency table with zeros where a pair never occurs."""
+    """Long contingency table with zeros where a pair never occurs; over MOST_CELLS cells it is an error.
+
+    (The counts of the pairs that do occur are a plain groupBy.)
+    """
     left, right = df.select(a).distinct(), df.select(b).distinct()
+    if left.count() * right.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
     return left.join(right, how="cross").join(df.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").fillna(0, ["n"])

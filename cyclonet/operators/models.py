@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,26 +23,26 @@ def _score(train: np.ndarray, test: np.ndarray, ridge: float, baseline: str) ->
 def logo_linear(df: DataFrame, group: str, features: list[str], target: str, ridge: float = 0.0, baseline: str = "train") -> DataFrame:
     """Per held-out group: n, R2 against the training (or held-out) mean, and the coefficients.
 
-    Each group's Gram matrix is summed once; a fold's training matrix is the total minus its own. As many rows as groups
-    meet in one task.
+    Each group's Gram matrix is summed once; a fold's training matrix is the total, one row broadcast to all, less its own.
     """
     size = len(features) + 2
     stats = gram(df, [group], features, target)
     kind = stats.schema[group].dataType.simpleString()
     names = ["intercept", *features]
+    cells = [c for c in stats.columns if c != group]
+    total = stats.agg(F.count("*").alias("_groups"), *(F.sum(c).alias(f"_t_{c}") for c in cells))
 
-    def folds(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(group, ignore_index=True)
-        gs = [gram_matrix(r, size) for _, r in f.iterrows()]
-        total = np.sum(gs, 0)
-        out = []
-        for key, g in zip(f[group], gs, strict=True):
-            r2, w = _score(total - g, g, ridge, baseline) if len(gs) > 1 else (float("nan"), np.full(size - 1, np.nan))
-            out.append({group: key, "n": int(g[0, 0]), "r2": r2} | {f"coef_{c}": v for c, v in zip(names, w, strict=True)})
-        return pd.DataFrame(out)
+    def folds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for _, r in f.iterrows():
+                g, every = gram_matrix(r, size), gram_matrix({c: r[f"_t_{c}"] for c in cells}, size)
+                r2, w = _score(every - g, g, ridge, baseline) if r["_groups"] > 1 else (float("nan"), np.full(size - 1, np.nan))
+                out.append({group: r[group], "n": int(g[0, 0]), "r2": r2} | {f"coef_{c}": v for c, v in zip(names, w, strict=True)})
+            yield pd.DataFrame(out, columns=[group, "n", "r2", *(f"coef_{c}" for c in names)])
 
     schema = f"{group} {kind}, n long, r2 double, " + ", ".join(f"coef_{c} double" for c in names)
-    return stats.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(folds, schema)
+    return stats.crossJoin(F.broadcast(total)).mapInPandas(folds, schema)
 
 
 def predict_linear(df: DataFrame, coefficients: DataFrame, group: str, features: list[str]) -> DataFrame:

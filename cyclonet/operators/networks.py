@@ -1,21 +1,24 @@
 """Contact networks: one graph for each state (key), many states.
 
 Degrees, components, loops, cores and triangles are joins and aggregations, so one state may be as large as the data.
-The force-ordered filtration is serial inside a state and runs as one grouped Arrow function over the states; it holds
-one state's edges at a time.
+So may it be where only loop-closing edges are asked for (merged spanning forests). The giant component along the
+force-ordered filtration is serial inside a state and runs as one grouped function over the states; it holds one
+state's edges at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import materialize, shared_dir
 
+PART_EDGES, MERGE = 200_000, 8
 MARKS = (0.01, 0.05, 0.10)
 FRACTIONS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)
 
@@ -217,23 +220,59 @@ def _marks(f: pd.DataFrame) -> dict:
     return dict(zip(f["id1"], f["_f1"], strict=True)) | dict(zip(f["id2"], f["_f2"], strict=True))
 
 
+def loop_edges(contacts: DataFrame, keys: list[str], value: str = "force", more: tuple[str, ...] = ()) -> DataFrame:
+    """Each edge with closes: are its ends joined by greater edges already? By maximum spanning forests, merged in a tree.
+
+    A state of more than PART_EDGES edges is dealt into parts. An edge that closes a loop within any set of the state's
+    edges closes one in the whole, so each part hands on only its forest, a few parts' forests meet in the next round,
+    and what stays to the end closes nothing. No task holds more than PART_EDGES edges or MERGE forests of a state.
+    """
+    columns = ["id1", "id2", value, *more]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = run_filtration(f, descending(f, value))
+        return out[[*keys, "_part", *columns, "closes"]]
+
+    schema = f"_part long, {_types(contacts, columns)}, closes boolean"
+    part = F.pmod(F.xxhash64("id1", "id2"), F.ceil(F.col("_n") / F.lit(PART_EDGES)))
+    sizes = contacts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    left = contacts.select(*keys, *columns).join(sizes, keys).withColumn("_part", part.cast("long")).drop("_n")
+    closed: list[DataFrame] = []
+    while True:
+        done = left.groupBy(*keys, "_part").applyInPandas(run, f"{_types(contacts, keys)}, {schema}")
+        if not closed:
+            # With one part a state there is nothing to merge, and nothing to write.
+            if (sizes.agg(F.max("_n")).first()[0] or 0) <= PART_EDGES:
+                return done.drop("_part")
+        done = materialize(done)
+        closed.append(done.filter("closes"))
+        left = done.filter("NOT closes").drop("closes")
+        if (left.agg(F.max("_part")).first()[0] or 0) == 0:
+            return reduce(DataFrame.unionByName, [*closed, left.withColumn("closes", F.lit(False))]).drop("_part")
+        left = left.withColumn("_part", F.floor(F.col("_part") / MERGE))
+
+
 def filtration_edges(contacts: DataFrame, keys: list[str], value: str = "force", nodes: DataFrame | None = None, sides: tuple[str, ...] = ("bottom", "top")) -> DataFrame:
     """Each edge with its rank by descending value, its edge fraction, and whether it closes a loop at its insertion.
 
-    With nodes, also touches_<side>: whether the tree that it joins or closes then has a node on that side.
+    With nodes, also touches_<side>: whether the tree that it joins or closes then has a node on that side; that needs
+    the trees as they grow, so a state is then one task.
     """
-    flags = tuple(f"touches_{c}" for c in sides) if nodes is not None else ()
-    data = _flagged(contacts, nodes, keys, sides) if nodes is not None else contacts
+    if nodes is None:
+        w = Window.partitionBy(*keys)
+        ranked = loop_edges(contacts, keys, value).withColumn("rank", F.row_number().over(w.orderBy(F.col(value).desc(), "id1", "id2")).cast("long"))
+        return ranked.withColumn("fraction", F.col("rank") / F.count("*").over(w)).select(*keys, "id1", "id2", value, "rank", "fraction", "closes")
+    flags = tuple(f"touches_{c}" for c in sides)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = run_filtration(f, descending(f, value), _marks(f) if flags else None)
+        out = run_filtration(f, descending(f, value), _marks(f))
         out["fraction"] = out["rank"] / len(out)
         for i, c in enumerate(flags):
             out[c] = (out["touch"].to_numpy() >> i & 1).astype(bool)
         return out[[*keys, "id1", "id2", value, "rank", "fraction", "closes", *flags]]
 
     more = ", ".join(["rank long, fraction double, closes boolean", *(f"{c} boolean" for c in flags)])
-    return per_state(data, keys, ["id1", "id2", value, *(("_f1", "_f2") if flags else ())], f"{_types(contacts, ['id1', 'id2', value])}, {more}", run)
+    return per_state(_flagged(contacts, nodes, keys, sides), keys, ["id1", "id2", value, "_f1", "_f2"], f"{_types(contacts, ['id1', 'id2', value])}, {more}", run)
 
 
 def percolation_row(out: pd.DataFrame, value: str) -> dict:

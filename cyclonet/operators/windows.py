@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_finite
+from ..shared import materialize
 
 
 def over(by: list[str]):
@@ -41,12 +42,12 @@ def zscore(df: DataFrame, by: list[str], cols: list[str], ddof: int = 0, suffix:
 
 def pooled_z(df: DataFrame, by: list[str], cols: list[str], suffix: str = "_pz") -> DataFrame:
     """z-scores with one mean and population sd pooled over several columns; sums are over non-null values."""
-    w = over(by)
-    n = sum(F.count(c).over(w) for c in cols)
-    mean = sum(F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in cols) / n
-    df = df.withColumns({"_n": n, "_m": mean})
-    var = sum(F.coalesce(F.sum((F.col(c) - F.col("_m")) ** 2).over(w), F.lit(0.0)) for c in cols) / F.col("_n")
-    df = df.withColumn("_s", F.sqrt(var))
+    n = sum(F.count(c) for c in cols) if not by else sum(F.count(c).over(over(by)) for c in cols)
+    total = lambda v: F.coalesce(F.sum(v) if not by else F.sum(v).over(over(by)), F.lit(0.0))
+    mean = sum(total(F.col(c)) for c in cols) / n
+    df = df.withColumns({"_n": n, "_m": mean}) if by else df.crossJoin(F.broadcast(df.agg(n.alias("_n"), mean.alias("_m"))))
+    var = sum(total((F.col(c) - F.col("_m")) ** 2) for c in cols)
+    df = df.withColumn("_s", F.sqrt(var / F.col("_n"))) if by else df.crossJoin(F.broadcast(df.agg(var.alias("_v")))).withColumn("_s", F.sqrt(F.col("_v") / F.col("_n"))).drop("_v")
     return df.withColumns({c + suffix: F.when(F.col("_s") > 0, (F.col(c) - F.col("_m")) / F.col("_s")).otherwise(0.0) for c in cols}).drop("_n", "_m", "_s")
 
 
@@ -79,20 +80,42 @@ def average_rank(by: list[str], col: str) -> Column:
     return F.rank().over(over(by).orderBy(col)) + (F.count("*").over(over([*by, col])) - 1) / 2
 
 
+def running_counts(rows: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """Adds the sum of amount over all rows before, in the order of the columns, without a window over the whole table:
+    rows go to ranges, and each adds to its own running sum what the ranges before it hold (one row a range)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    held = dealt.groupBy("_range").agg(F.sum(amount).alias("_held"))
+    before = held.select("_range", F.coalesce(F.sum("_held").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def _global_rank(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Average rank over the whole table, from the counts of its distinct values."""
+    values = running_counts(df.groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_c")), ["_v"], F.col("_c"), "_b")
+    out = df.join(values, F.col(col).eqNullSafe(F.col("_v")), "left")
+    return out.withColumn(name, F.col("_b") + (F.col("_c") + 1) / 2).drop("_v", "_c", "_b")
+
+
 def rank_avg(df: DataFrame, by: list[str], col: str, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, average_rank(by, col))
+    return df.withColumn(name, average_rank(by, col)) if by else _global_rank(df, col, name)
 
 
 def rank_pct(df: DataFrame, by: list[str], col: str, centred: bool = False, name: str = "pct") -> DataFrame:
     """Average rank over n; centred: (rank - 0.5) / n - 0.5."""
-    n = F.count("*").over(over(by))
-    return df.withColumn(name, (average_rank(by, col) - 0.5) / n - 0.5 if centred else average_rank(by, col) / n)
+    ranked = with_stats(rank_avg(df, by, col, "_rank"), by, {"_size": F.count("*")})
+    return ranked.withColumn(name, (F.col("_rank") - 0.5) / F.col("_size") - 0.5 if centred else F.col("_rank") / F.col("_size")).drop("_rank", "_size")
 
 
 def equal_count(df: DataFrame, by: list[str], col: str, bins: int, ties: list[str], name: str = "code") -> DataFrame:
     """floor(rank / n * bins) of the 0-based rank, ties broken by the given columns."""
-    r = F.row_number().over(over(by).orderBy(col, *ties)) - 1
-    return df.withColumn(name, F.least(F.floor(r / F.count("*").over(over(by)) * bins), F.lit(bins - 1)).cast("int"))
+    if by:
+        ranked = df.withColumn("_r", F.row_number().over(over(by).orderBy(col, *ties)) - 1)
+    else:
+        ranked = running_counts(df, [col, *ties], F.lit(1), "_r")
+    ranked = with_stats(ranked, by, {"_size": F.count("*")})
+    return ranked.withColumn(name, F.least(F.floor(F.col("_r") / F.col("_size") * bins), F.lit(bins - 1)).cast("int")).drop("_r", "_size")
 
 
 def qcut(df: DataFrame, by: list[str], col: str, bins: int, name: str = "bin") -> DataFrame:

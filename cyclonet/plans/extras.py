@@ -41,14 +41,15 @@ register("prj_dimensionless", lambda s, d: dimensionless(panel(s, d).withColumns
 register("prj_orderlabel", lambda s, d: panel(s, d).groupBy("regime_id").agg(F.sum("n").alias("n")).join(F.broadcast(s.sql("SELECT * FROM VALUES ('R3', 1), ('R1', 2), ('R5', 3), ('R2', 4), ('R4', 5) AS t(regime_id, place)")), "regime_id"), "regime_id place n", "", PANEL,
   "SELECT regime_id, CAST(CASE regime_id WHEN 'R3' THEN 1 WHEN 'R1' THEN 2 WHEN 'R5' THEN 3 WHEN 'R2' THEN 4 ELSE 5 END AS INTEGER) AS place, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1")
 register("topo_overlap_percolation", lambda s, d: net.percolation(fr.contact_overlap(particles(s, d), ["run", "cycle"]), ["run", "cycle"], "overlap"), "run cycle contacts loop_births", "giant_top5 value_sum")
-register("topo_snapshot", lambda s, d: _snapshot(s, d), "shown", "force_share loop_share")
+register("topo_snapshot", lambda s, d: _snapshot(s, d), "run cycle phase shown", "force_share loop_share")
 
 
 def _snapshot(s, d):
-    e = net.filtration_edges(contacts(s, d).filter("run = 'R1' AND cycle = 1 AND phase = 'hot'"), STATE)
+    """Of each state's strongest fifth of edges: their number, their share of the force, and the loops' share of that."""
+    e = net.filtration_edges(contacts(s, d), STATE)
     shown = F.col("fraction") <= 0.2
     f = lambda c: F.sum(F.when(c, F.col("force")).otherwise(0.0))
-    return e.agg(F.sum(shown.cast("long")).alias("shown"), (f(shown) / F.sum("force")).alias("force_share"), (f(shown & F.col("closes")) / f(shown)).alias("loop_share"))
+    return e.groupBy(*STATE).agg(F.sum(shown.cast("long")).alias("shown"), (f(shown) / F.sum("force")).alias("force_share"), (f(shown & F.col("closes")) / f(shown)).alias("loop_share"))
 
 
 register("mod_logo_huber", lambda s, d: mod.pooled_r2(fits.logo_huber(_z(s, d), "regime_id", ["x_z", "y_z"], "w_z"), "w_z", by=G), "regime_id n", "r2 rmse")

@@ -49,8 +49,8 @@ def _listing(s, d):
 
 register("src_discover", lambda s, d: sources.discover_states(_listing(s, d)), "run cycle phase", "", CONTACTS, "SELECT DISTINCT run, cycle, phase FROM contacts WHERE cycle NOT IN (3, 5)")
 register(
-    "src_multi_run_union", lambda s, d: ops.union_runs({r: panel(s, d).filter(F.col("regime_id") == r).drop("regime_id") for r in ("R1", "R2", "R3")}).groupBy("run").agg(F.sum("n").alias("n")), "run n", "", PANEL,
-    "SELECT regime_id AS run, CAST(sum(n) AS BIGINT) AS n FROM panel WHERE regime_id IN ('R1', 'R2', 'R3') GROUP BY 1",
+    "src_multi_run_union", lambda s, d: ops.union_runs({r: panel(s, d).filter(F.col("regime_id") == r).drop("regime_id") for r in ("R1", "R2", "R3", "R4", "R5")}).groupBy("run").agg(F.sum("n").alias("n")), "run n", "", PANEL,
+    "SELECT regime_id AS run, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1",
 )
 register(
     "flt_valid_contacts", lambda s, d: ops.valid_contacts(contacts(s, d), nodes(s, d).filter("id % 7 <> 0"), STATE), "run cycle phase id1 id2", "force", CONTACTS,
@@ -127,7 +127,7 @@ register("set_edge_survival", lambda s, d: ops.edge_survival(contacts(s, d).filt
   FROM a FULL JOIN b ON a.run = b.run AND a.phase = b.phase AND a.cycle = b.cycle AND a.id1 = b.id1 AND a.id2 = b.id2) GROUP BY 1, 2, 3, 4""")
 register("set_dedup_keep", lambda s, d: ops.keep_last(read(s, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]), "user_id event_id event_type", "value", "", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 register("set_membership", lambda s, d: ops.membership(panel(s, d), panel(s, d).filter("n % 3 = 0").select("regime_id", "cycle"), ["regime_id", "cycle"]), "regime_id cycle member", "", PANEL, "SELECT regime_id, cycle, n % 3 = 0 AS member FROM panel")
-register("rsh_pivot_matrix", lambda s, d: ops.pivot_matrix(panel(s, d), ["cycle"], "regime_id", "w", ["R1", "R2", "R3"]), "cycle", "R1 R2 R3", PANEL, "SELECT cycle, avg(w) FILTER (regime_id = 'R1') AS R1, avg(w) FILTER (regime_id = 'R2') AS R2, avg(w) FILTER (regime_id = 'R3') AS R3 FROM panel GROUP BY 1")
+register("rsh_pivot_matrix", lambda s, d: ops.pivot_matrix(panel(s, d), ["cycle"], "regime_id", "w", ["R1", "R2", "R3", "R4", "R5"]), "cycle", "R1 R2 R3 R4 R5", PANEL, "SELECT cycle, " + ", ".join(f"avg(w) FILTER (regime_id = 'R{k}') AS R{k}" for k in range(1, 6)) + " FROM panel GROUP BY 1")
 register("rsh_crosstab", lambda s, d: ops.crosstab(read(s, d, "lineitem"), "l_returnflag", "l_linestatus"), "l_returnflag l_linestatus n", "", "",
   "SELECT a.l_returnflag, b.l_linestatus, count(c.l_orderkey) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) a CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) b LEFT JOIN lineitem c ON c.l_returnflag = a.l_returnflag AND c.l_linestatus = b.l_linestatus GROUP BY 1, 2")
 

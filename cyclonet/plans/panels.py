@@ -35,20 +35,30 @@ def _strong(q: float) -> str:
 register("net_degree", lambda s, d: net.degree_stats(strong(s, d), STATE), "run cycle phase nodes rattlers", "z_mean z_var low_share var_over_mean", _strong(0.5), """
   SELECT run, cycle, phase, count(*) AS nodes, count(*) FILTER (g = 0) AS rattlers, avg(g) AS z_mean, var_pop(g) AS z_var, avg(CAST(g < 3 AS INT)) AS low_share, var_pop(g) / avg(g) AS var_over_mean
   FROM (SELECT run, cycle, phase, id, count(*) AS g FROM (SELECT run, cycle, phase, unnest([id1, id2]) AS id FROM strong) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
-_LABELS = """both_ AS (SELECT run, cycle, phase, id1 AS a, id2 AS b FROM part UNION SELECT run, cycle, phase, id2, id1 FROM part),
-  reach(run, cycle, phase, a, root) AS (SELECT DISTINCT run, cycle, phase, a, a FROM both_ UNION SELECT r.run, r.cycle, r.phase, e.b, r.root FROM reach r JOIN both_ e ON r.run = e.run AND r.cycle = e.cycle AND r.phase = e.phase AND r.a = e.a),
-  label AS (SELECT run, cycle, phase, a AS node, min(root) AS component FROM reach GROUP BY 1, 2, 3, 4)"""
-_PART = "RECURSIVE " + CONTACTS + ", part AS (SELECT * FROM contacts WHERE run = 'R1' AND cycle <= 3 AND force > 70000), " + _LABELS
-_part = lambda s, d: contacts(s, d).filter("run = 'R1' AND cycle <= 3 AND force > 70000")
-register("net_components", lambda s, d: net.components(_part(s, d), STATE), "run cycle phase nodes components", "giant_share", _PART,
-  "SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) / sum(n)::DOUBLE AS giant_share FROM (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
-register("net_beta1", lambda s, d: net.beta1(_part(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PART, """
+
+
+def _labels(of: str) -> str:
+    """SQL of each node's component: least labels spread over the edges of a table until none changes."""
+    return f"""both_ AS (SELECT run, cycle, phase, id1 AS a, id2 AS b FROM {of} UNION SELECT run, cycle, phase, id2, id1 FROM {of}),
+  label(run, cycle, phase, node, component) USING KEY (run, cycle, phase, node) AS (SELECT run, cycle, phase, a, least(a, min(b)) FROM both_ GROUP BY 1, 2, 3, 4
+  UNION SELECT c.run, c.cycle, c.phase, c.node, min(p.component) FROM label p JOIN both_ e ON e.run = p.run AND e.cycle = p.cycle AND e.phase = p.phase AND e.a = p.node
+  JOIN recurring.label c ON c.run = p.run AND c.cycle = p.cycle AND c.phase = p.phase AND c.node = e.b WHERE p.component < c.component GROUP BY 1, 2, 3, 4)"""
+
+
+_PARTS = "RECURSIVE " + CONTACTS + ", " + _labels("contacts")
+_COMPONENTS = "SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) / sum(n)::DOUBLE AS giant_share FROM (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"
+_BETA = """
   SELECT l.run, l.cycle, l.phase, e - n + c AS loops, (e - n + c) / n::DOUBLE AS loops_per_node, (e - n + c) / e::DOUBLE AS loops_per_edge FROM (SELECT run, cycle, phase, count(*) AS n, count(DISTINCT component) AS c FROM label GROUP BY 1, 2, 3) l
-  JOIN (SELECT run, cycle, phase, count(*) AS e FROM part GROUP BY 1, 2, 3) p ON l.run = p.run AND l.cycle = p.cycle AND l.phase = p.phase""")
-# The SQL of the two above holds a part of the states; these run over all contacts.
-register("net_components_all", lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share")
-register("net_beta1_all", lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge")
-register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, fr.boundary_flags(nodes(s, d), STATE)), "run cycle phase spanning_components", "span")
+  JOIN (SELECT run, cycle, phase, count(*) AS e FROM contacts GROUP BY 1, 2, 3) p ON l.run = p.run AND l.cycle = p.cycle AND l.phase = p.phase"""
+for _name in ("net_components", "net_components_all"):
+    register(_name, lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share", _PARTS, _COMPONENTS)
+for _name in ("net_beta1", "net_beta1_all"):
+    register(_name, lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PARTS, _BETA)
+register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, fr.boundary_flags(nodes(s, d), STATE)), "run cycle phase spanning_components", "span", "RECURSIVE " + NODES + ", " + _labels("contacts"), """
+  WITH q AS (SELECT run, cycle, phase, quantile_cont(z, 0.03) AS lo, quantile_cont(z, 0.97) AS hi, max(z) - min(z) AS height FROM nodes GROUP BY 1, 2, 3),
+  c AS (SELECT l.run, l.cycle, l.phase, component, bool_or(z <= lo) AND bool_or(z >= hi) AS both_sides, max(z) - min(z) AS span, any_value(height) AS height FROM label l
+    JOIN nodes n ON l.run = n.run AND l.cycle = n.cycle AND l.phase = n.phase AND l.node = n.id JOIN q ON l.run = q.run AND l.cycle = q.cycle AND l.phase = q.phase GROUP BY 1, 2, 3, 4)
+  SELECT run, cycle, phase, count(*) FILTER (both_sides) AS spanning_components, max(span) / any_value(height) AS span FROM c GROUP BY 1, 2, 3""")
 register("net_kcore", lambda s, d: net.kcore_stats(strong(s, d), STATE), "run cycle phase core_max", "core_mean core4_share core5_share")
 register("net_triangles", lambda s, d: net.triangles(_web(s, d), ["run", "cycle"]), "run cycle triangles wedges", "transitivity", CONTACTS + """,
   web AS (SELECT DISTINCT run, cycle, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT run, cycle, id1 % 60 AS a, id2 % 47 AS b FROM contacts) WHERE a <> b)""", """
@@ -60,7 +70,9 @@ def _web(s, d):
     return contacts(s, d).select("run", "cycle", (F.col("id1") % 60).alias("id1"), (F.col("id2") % 47).alias("id2"))
 
 
-register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9), "run cycle phase edges nodes components largest")
+register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9), "run cycle phase edges nodes components largest", "", "RECURSIVE " + _strong(0.9) + ", " + _labels("strong"), """
+  SELECT l.*, e.edges FROM (SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) l
+  JOIN (SELECT run, cycle, phase, count(*) AS edges FROM strong GROUP BY 1, 2, 3) e ON l.run = e.run AND l.cycle = e.cycle AND l.phase = e.phase""")
 register("topo_cycle_edges", lambda s, d: net.filtration_edges(contacts(s, d), STATE).groupBy(*STATE).agg(F.count("*").alias("edges"), F.sum(F.col("closes").cast("long")).alias("loops"), F.min(F.when(F.col("closes"), F.col("rank"))).alias("first")), "run cycle phase edges loops first")
 register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase contacts", "value_sum value_mean value_p99 share_top1 share_top5 share_top10", CONTACTS, """
   SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, quantile_cont(force, 0.99) AS value_p99, sum(force) FILTER (i - 1 < c1) / sum(force) AS share_top1, sum(force) FILTER (i - 1 < c5) / sum(force) AS share_top5, sum(force) FILTER (i - 1 < c10) / sum(force) AS share_top10

@@ -15,10 +15,13 @@ def _run(key: str):
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run, cycle, phase, id1, id2, force: states of run x month x line status."""
+    """run, cycle, phase, id1, id2, force: states of run x month x line status.
+
+    Parts have even ids and suppliers odd ones, so networks grow with the tables.
+    """
     li = read(spark, sf_dir, "lineitem")
     phase = F.when(F.col("l_linestatus") == "F", "cold").otherwise("hot")
-    li = li.select(_run("l_orderkey").alias("run"), F.month("l_shipdate").alias("cycle"), phase.alias("phase"), (F.col("l_partkey") % 200).alias("id1"), (1000 + F.col("l_suppkey") % 50).alias("id2"), "l_extendedprice")
+    li = li.select(_run("l_orderkey").alias("run"), F.month("l_shipdate").alias("cycle"), phase.alias("phase"), (2 * F.col("l_partkey")).alias("id1"), (2 * F.col("l_suppkey") + 1).alias("id2"), "l_extendedprice")
     return li.groupBy("run", "cycle", "phase", "id1", "id2").agg(F.max("l_extendedprice").alias("force"))
 
 
@@ -52,7 +55,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTACTS = """contacts AS (SELECT concat('R', CAST(l_orderkey % 5 + 1 AS VARCHAR)) AS run, CAST(month(l_shipdate) AS INTEGER) AS cycle,
-  CASE WHEN l_linestatus = 'F' THEN 'cold' ELSE 'hot' END AS phase, l_partkey % 200 AS id1, 1000 + l_suppkey % 50 AS id2, max(l_extendedprice) AS force
+  CASE WHEN l_linestatus = 'F' THEN 'cold' ELSE 'hot' END AS phase, 2 * l_partkey AS id1, 2 * l_suppkey + 1 AS id2, max(l_extendedprice) AS force
   FROM lineitem GROUP BY 1, 2, 3, 4, 5)"""
 PARTICLES = """particles AS (SELECT concat('R', CAST(c_nationkey % 5 + 1 AS VARCHAR)) AS run, cy.cycle, c_custkey AS id,
   ((c_custkey * 7919) % 1009) / 1009.0::DOUBLE + ((c_custkey * 31 + cy.cycle * 17) % 100) / 5000.0::DOUBLE AS x, ((c_custkey * 104729) % 1013) / 1013.0::DOUBLE AS y,

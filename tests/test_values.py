@@ -158,9 +158,11 @@ def test_loop_places(spark, states):
 
 
 def test_snapshot_and_overlaps(spark, states):
-    v, closes, *_ = filtration(states[("R1", 1, "hot")])
-    shown = np.arange(1, len(v) + 1) / len(v) <= 0.2
-    assert near(run(spark, "topo_snapshot").iloc[0], [shown.sum(), v[shown].sum() / v.sum(), v[shown & closes].sum() / v[shown].sum()])
+    got = by_state(run(spark, "topo_snapshot"))
+    for k, f in states.items():
+        v, closes, *_ = filtration(f)
+        shown = np.arange(1, len(v) + 1) / len(v) <= 0.2
+        assert near(got[k][["shown", "force_share", "loop_share"]], [shown.sum(), v[shown].sum() / v.sum(), v[shown & closes].sum() / v[shown].sum()])
     o = fr.contact_overlap(views.particles(spark, SF), ["run", "cycle"]).toPandas().rename(columns={"overlap": "force"})
     got = {(r["run"], r["cycle"]): r for _, r in run(spark, "topo_overlap_percolation").iterrows()}
     for k, f in o.groupby(["run", "cycle"]):
@@ -328,3 +330,41 @@ def test_information_sweep_against_its_null(spark):
     for _, r in got.iterrows():
         assert near([r["mi"], r["corrected"]], [plain.loc[(r["lag"], r["bins"]), "mi"], r["mi"] - r["null_median"]])
         assert 1 / 201 - 1e-6 <= r["p"] <= 1 and 0 <= r["low"] <= r["high"]
+
+
+def test_merged_forests_close_the_same_edges(spark, states, monkeypatch):
+    from cyclonet.operators import networks as net
+
+    rows = [(k[0], int(k[1]), k[2], int(a), int(b), float(v)) for k, f in list(states.items())[:6] for a, b, v in zip(f["id1"] % 12, f["id2"] % 9 + 100, f["force"], strict=True)]
+    rows += [("big", 1, "hot", int(a), int(b), float(v)) for a, b, v in np.random.default_rng(1).integers(0, 60, (900, 3))]  # ties and repeated edges
+    d = spark.createDataFrame(rows, "run string, cycle int, phase string, id1 long, id2 long, force double")
+    whole = Counter(map(tuple, net.loop_edges(d, STATE).collect()))
+    monkeypatch.setattr(net, "PART_EDGES", 20)
+    monkeypatch.setattr(net, "MERGE", 3)
+    parts = net.loop_edges(d, STATE).toPandas()
+    assert len(parts) == len(rows)
+    # Equal edges may change places, so values are compared.
+    key = lambda rs: Counter((r[0], r[1], r[2], r[5], r[6]) for r in rs.elements())
+    assert key(Counter(map(tuple, parts[[*STATE, "id1", "id2", "force", "closes"]].itertuples(index=False)))) == key(whole)
+
+
+def test_ranks_and_codes_of_the_whole_table(spark):
+    from cyclonet.operators import windows as win
+
+    r = np.random.default_rng(2)
+    f = pd.DataFrame({"k": range(500), "v": r.integers(0, 40, 500).astype(float)})
+    d = spark.createDataFrame(f).repartition(7)
+    got = win.equal_count(win.rank_pct(win.rank_avg(d, [], "v"), [], "v"), [], "v", 6, ["k"]).toPandas().sort_values("k")
+    want = f["v"].rank()
+    place = f.sort_values(["v", "k"]).reset_index().sort_values("k").index.to_numpy()
+    assert near(got["rank"], want) and near(got["pct"], want / 500) and list(got["code"]) == list(np.minimum(place * 6 // 500, 5))
+    assert win.rank_avg(d.limit(0), [], "v").collect() == []
+
+
+def test_neighbours_by_the_radii_of_their_state(spark):
+    r = np.random.default_rng(5)
+    rows = [(s, i, *map(float, r.random(3)), float(r.choice([0.01, 0.05]) if s == "a" else r.choice([0.02, 0.3]))) for s in "ab" for i in range(150)]
+    d = spark.createDataFrame(rows, "run string, id long, x double, y double, z double, radius double")
+    want = {(p[0], p[1], q[1]) for p, q in itertools.combinations(rows, 2) if p[0] == q[0] and np.linalg.norm(np.subtract(p[2:5], q[2:5])) <= (p[5] + q[5]) * 1.004}
+    got = [(x.run, x.id1, x.id2) for x in fr.contact_skin(d, ["run"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
