@@ -173,6 +173,9 @@ class Codec:
 _pattern = regex.compile(PATTERN)
 _codecs: dict[tuple[str, bool], Codec] = {}
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+#: The endings that the pattern takes after an apostrophe, as code points.
+SINGLES = [ord(x) for x in "sdmt"]
+PAIRS = [ord(a) << 21 | ord(b) for a, b in ("ll", "ve", "re")]
 _kinds: np.ndarray | None = None
 
 
@@ -196,7 +199,7 @@ def kinds() -> np.ndarray:
 
 
 def _pretoken_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places where pre-tokens start in texts without apostrophes, one after another; first: where texts start."""
+    """Places where pre-tokens start in texts one after another; first: where texts start."""
     n = len(cp)
     kind = kinds()[cp]
     space = kind == SPACE
@@ -216,6 +219,18 @@ def _pretoken_starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     blank = np.zeros(n, bool)
     blank[1:] = (cp[:-1] == 0x20) & ~fresh[1:n]
     start |= ~space & changes & ~blank
+    # An apostrophe that starts a pre-token takes the ending after it; letters after that start another.
+    at = np.flatnonzero((cp[:-1] == 0x27) & start[:-1] & (kind[1:] == LETTER) & ~fresh[1:n])
+    if len(at):
+        own = cp[at + 1]
+        then = np.where((at + 2 < n) & ~fresh[np.minimum(at + 2, n)], cp[np.minimum(at + 2, n - 1)], 0)
+        two = np.isin(own.astype(np.int64) << 21 | then, PAIRS)
+        taken = np.where(np.isin(own, SINGLES), 1, np.where(two, 2, 0))
+        at, taken = at[taken > 0], taken[taken > 0]
+        start[at + 1] = False
+        rest = at + 1 + taken
+        rest = rest[(rest < n) & ~fresh[rest]]
+        start[rest[kind[rest] == LETTER]] = True
     return np.flatnonzero(start)
 
 
@@ -226,7 +241,7 @@ def encode_batch(texts: list[str], c: Codec) -> list[bytes]:
     for i, t in enumerate(texts):
         if not t:
             out[i] = b""
-        elif "'" in t or any(s in t for s in c.special):
+        elif any(s in t for s in c.special):
             out[i] = c.encode(t)
         else:
             plain.append(i)
