@@ -17,27 +17,33 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and blank texts go, as they have too few words; repeated rows are judged alike. Columns stay as they are.
+    """
     return quality.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: that of the least doc_id, ties by the least hash of the text.
+
+    Of repeated rows one stays; null and empty texts are one class.
+    """
     return near_dedup.keep_one(docs, 0.8)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a repeated window of 35 words go; their documents stay."""
+    """Words covered by a repeated window of 35 words go; their documents stay, with what is left (null: as it was)."""
     return _counted(substrings.rewrite_documents(docs, 35))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced."""
+    """Personal data and the terms that disclose it are replaced; texts without any, null ones too, stay as they are."""
     return _counted(pii.sanitize(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 tokens: one row for each piece."""
+    """All documents packed into sequences of 2048 tokens: one row for each piece; a null or empty text is its end token."""
     return packing.pack(docs, 2048)
 
 
