@@ -264,7 +264,11 @@ def remove_repeats(docs: DataFrame, size: int = 35, width_bits: int = 26) -> Dat
 
 
 def rewrite_documents(docs: DataFrame, size: int = 35, width_bits: int = 26) -> DataFrame:
-    """docs whose texts lose their repeated windows; a text that loses none stays as it is."""
+    """docs whose texts lose their repeated windows; a text that loses none stays as it is, null included.
+
+    Repeated rows lose what repeats in both. Clashing columns come back as they were. Very long texts are cut whole.
+    Empty table: no rows.
+    """
     docs, restore = shield(docs, ("doc_id", "text"))
     out = remove_repeats(docs, size, width_bits)
     return restore(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))))
