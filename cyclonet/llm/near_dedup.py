@@ -384,7 +384,11 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with one row for each class: that of the least doc_id, and of the least text hash among those."""
+    """docs with one row for each class: that of the least doc_id, and of the least text hash among those.
+
+    Null and empty texts are one class, a null doc_id is the lowest, and of repeated rows one stays. Clashing columns
+    come back as they were. Empty table: no rows.
+    """
     docs, restore = shield(docs, ("doc_id", "text"))
     named = classes(docs, least)
     first = named.filter("doc_id = class_id").groupBy("class_id").agg(F.min("node").alias("_first"))
