@@ -107,7 +107,8 @@ def base_spans(text: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """The text's terms, in lower case; what belongs to an email is none."""
-    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(f"{EMAIL}|{TERM}"), F.lit(0)), lambda w: ~F.contains(w, F.lit("@"))), F.lower)
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0))
 
 
 def _unit(text: Column) -> Column:
@@ -171,9 +172,11 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     maybe = term_filter(met.select("term"))
     if maybe is None:
         return None
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(text.alias("text")).withColumn("_t", F.array_distinct(F.filter(_words(F.col("text")), maybe))).filter(F.size("_t") > 0)
-    df = own.select(_unit(F.col("text")).alias("unit"), F.explode("_t").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    # The unit is a column before the terms are spread, or it would be found anew for each of them; and the outer form
+    # keeps Spark from testing for empty arrays beforehand, which would find the terms twice.
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.array_distinct(F.filter(_words(F.col("text")), maybe)))
+    own = own.select(F.when(F.size("_t") > 0, _unit(F.col("text"))).alias("unit"), "_t")
+    df = own.select("unit", F.explode_outer("_t").alias("term")).filter("term IS NOT NULL").distinct().groupBy("term").agg(F.count("*").alias("df"))
     rated = met.join(df, "term").withColumn("share", share("df"))
     strong = rated.filter((F.col("share") >= SHARE) & (F.col("share") * -F.log2("p") * F.col("both") >= need))
     return materialize(strong.groupBy("term").agg(F.max("share").alias("share")))
@@ -189,10 +192,14 @@ def places(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
     maybe = terms and term_filter(terms)
     if not maybe:
         return docs.sparkSession.createDataFrame([], f"key string, added {ADDED}")
-    own = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.array_distinct(F.filter(_words(F.col("text")), maybe))).filter(F.size("_t") > 0)
-    hits = own.select(_key(F.col("text")).alias("key"), F.explode("_t").alias("term")).distinct().join(terms, "term")
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.array_distinct(F.filter(_words(F.col("text")), maybe)))
+    hits = own.select(F.when(F.size("_t") > 0, _key(F.col("text"))).alias("key"), "_t").select("key", F.explode_outer("_t").alias("term"))
+    hits = hits.filter("term IS NOT NULL").distinct().join(terms, "term")
     hits = materialize(hits.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("hits")))
-    joined = own.select("text", _key(F.col("text")).alias("key")).join(F.broadcast(hits) if _small(hits, "hits") else hits, "key")
+    if _small(hits, "hits"):
+        joined = own.select("text", _key(F.col("text")).alias("key")).join(F.broadcast(hits), "key")
+    else:  # texts without a term do not go through the shuffle
+        joined = own.filter(F.size("_t") > 0).select("text", _key(F.col("text")).alias("key")).join(hits, "key")
     joined = joined.withColumn("_map", F.map_from_entries("hits"))
     spans = find(F.col("text"), "term", f"{EMAIL}|{TERM}", lambda m: ~F.contains(m, F.lit("@")) & F.map_contains_key("_map", F.lower(m)))
     added = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.col("_map"), F.lower(s["value"])).alias("share")))
