@@ -74,14 +74,15 @@ def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, group: Colum
     Empty table: no rows. Nulls: a null name counts as empty, a null text has size 1. Repeated rows keep a slot each.
     """
     placed = with_hilbert_index(df.select("*", size.alias("_size"), group.alias("_group")), "_at", dims, bits)
-    # A group's sums; partial sums before the shuffle, and the join back is one Spark may split where a group is hot.
-    groups = placed.groupBy("_group").agg(F.min("_at").alias("_curve"), F.sum("_size").alias("_bytes"))
+    # A group's sums, partial ones before the shuffle. Written out, so that the join back has plain shuffles on both
+    # sides, which Spark may split where a group is hot.
+    groups = materialize(placed.groupBy("_group").agg(F.min("_at").alias("_curve"), F.sum("_size").alias("_bytes")))
     placed = placed.drop("_at").join(groups, "_group")
     order = ["_curve", "_group", *tie]
     summed = materialize(running_sums(placed, order, {"_before": "_size", "_index": "1"}))
     total = summed.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_total"), F.max("_size").alias("_largest"))
     whole_groups = (F.col("_bytes") * F.lit(shards) <= F.col("_total") * F.lit(whole)) | (F.col("_bytes") <= F.col("_largest"))
-    first = summed.groupBy("_group").agg(F.min("_before").alias("_group_before"))
+    first = materialize(summed.groupBy("_group").agg(F.min("_before").alias("_group_before")))
     middle = F.when(whole_groups, F.col("_group_before") + F.col("_bytes") / 2).otherwise(F.col("_before") + F.col("_size") / 2)
     cut = F.least(F.floor(middle * F.lit(shards) / F.col("_total")), F.lit(shards - 1)).cast("int")
     cutting = materialize(summed.join(first, "_group").crossJoin(F.broadcast(total)).withColumn("shard", cut))
