@@ -1,9 +1,7 @@
 """Contact networks: one graph for each state (key), many states.
 
 Degrees, components, loops, cores and triangles are joins and aggregations, so one state may be as large as the data.
-So may it be where only loop-closing edges are asked for (merged spanning forests). The giant component along the
-force-ordered filtration is serial inside a state and runs as one grouped function over the states; it holds one
-state's edges at a time.
+So may it be where loop-closing edges are asked for (merged spanning forests).
 """
 
 from __future__ import annotations
@@ -16,21 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialize, shared_dir
+from ..shared import discard, materialize
 
 PART_EDGES, MERGE = 200_000, 8
 MARKS = (0.01, 0.05, 0.10)
 FRACTIONS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def incidence(edges: DataFrame, keys: list[str], values: list[str] = ()) -> DataFrame:
     """Each edge from both ends: node, other."""
     ends = F.array(F.struct(F.col("id1").alias("node"), F.col("id2").alias("other")), F.struct(F.col("id2").alias("node"), F.col("id1").alias("other")))
@@ -55,26 +45,77 @@ def degree_stats(edges: DataFrame, keys: list[str], nodes: DataFrame | None = No
     return out.withColumn("var_over_mean", F.when(F.col("z_mean") > 0, F.col("z_var") / F.col("z_mean")))
 
 
-def component_labels(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
+def _local_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root for states of few edges, one grouped call each."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(np.concatenate([f["a"].to_numpy(), f["b"].to_numpy()]), return_inverse=True)
+        forest = Forest(len(ids))
+        for a, b in zip(ends[: len(f)].tolist(), ends[len(f) :].tolist(), strict=True):
+            forest.link(a, b)
+        out = pd.DataFrame({"node": ids, "root": ids[[forest.root(x) for x in range(len(ids))]]})
+        return out.assign(**{k: f[k].iloc[0] for k in keys})[[*keys, "node", "root"]]
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.groupBy(*keys).applyInPandas(run, f"{_types(edges, keys)}, node {kind}, root {kind}")
+
+
+def _jumped(parent: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, root of a forest given by keys, node, parent, whose only cycles are of two nodes or one.
+
+    Of two nodes that point to each other the lesser becomes the root; then every node takes its parent's parent until
+    none changes, so the steps grow with the logarithm of the depth.
+    """
+    up = lambda p: p.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("_up"))
+    first = parent.join(up(parent), [*keys, "parent"])
+    first = first.withColumn("_new", F.when(F.col("_up") == F.col("node"), F.least("node", "parent")).otherwise(F.col("_up")))
+    now = materialize(first.select(*keys, "node", F.col("_new").alias("parent")))
+    while True:
+        new = materialize(now.join(up(now), [*keys, "parent"]).select(*keys, "node", F.col("_up").alias("parent"), (F.col("_up") != F.col("parent")).alias("_moved")))
+        discard(now)
+        now = new.select(*keys, "node", "parent")
+        if new.filter("_moved").isEmpty():
+            return now.withColumnRenamed("parent", "root")
+
+
+def component_labels(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None, local: int = PART_EDGES, trace: list | None = None) -> DataFrame:
     """keys, node, component: the least node id of its component. Isolated nodes of the node table are their own.
 
-    Least labels spread to neighbours and then jump to the label's label; rounds grow with the logarithm of the
-    diameter, and each is checkpointed. Hubs aggregate before they join.
+    States of at most `local` edges are one grouped call each. Of larger ones every node takes its edge of least hash;
+    these edges are trees of two nodes or more, each tree becomes one node, and edges inside a tree and repeated edges go.
+    So a round leaves at most half of the nodes that have edges, whatever the diameter, and the rounds' sizes add up to
+    a few times the input. Hash order keeps the trees shallow. trace: gets (edges) of each round, for tests.
     """
-    both = _checkpoint(incidence(edges.select(*keys, "id1", "id2").distinct(), keys))
-    label = _checkpoint(both.groupBy(*keys, "node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    pair = edges.filter("id1 <> id2").select(*keys, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+    left, maps = materialize(pair.distinct()), []
     while True:
-        near = both.join(label.withColumnsRenamed({"node": "other", "component": "_c"}), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("_c").alias("_m"))
-        hooked = label.join(near, [*keys, "node"]).select(*keys, "node", F.col("component").alias("_was"), F.least("component", "_m").alias("_h"))
-        parent = label.select(*keys, F.col("node").alias("_h"), F.col("component").alias("_p"))
-        new = _checkpoint(hooked.join(parent, [*keys, "_h"]).select(*keys, "node", "_was", F.least("_h", "_p").alias("component")))
-        label = new.select(*keys, "node", "component")
-        if new.filter("_was <> component").isEmpty():
+        sizes = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        if trace is not None:
+            trace.append(most)
+        if most <= local or most == 0:
             break
+        ends = left.select(*keys, F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("parent")), F.struct(F.col("b").alias("node"), F.col("a").alias("parent")))))
+        hashed = F.xxhash64(F.least("node", "parent"), F.greatest("node", "parent"), F.lit(len(maps)))
+        picked = materialize(ends.groupBy(*keys, "node").agg(F.min(F.struct(hashed, F.least("node", "parent"), "parent")).alias("_m")).select(*keys, "node", "_m.parent"))
+        roots = _jumped(picked, keys)
+        discard(picked)
+        for end in ("a", "b"):
+            named = roots.withColumnsRenamed({"node": end, "root": f"_{end}"})
+            left = left.join(named, [*keys, end])
+        left = materialize(left.filter("_a <> _b").select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        maps.append(roots)
+    label = _local_labels(left, keys)
+    for roots in reversed(maps):  # a root without an edge in the next round is its component's own
+        later = label.select(*keys, F.col("root").alias("_later"), F.col("node").alias("root"))
+        label = materialize(roots.join(later, [*keys, "root"], "left").select(*keys, "node", F.coalesce("_later", "root").alias("root")))
+        discard(roots)
+    every = edges.select(*keys, F.explode(F.array("id1", "id2")).alias("node"))
     if nodes is not None:
-        every = nodes.select(*keys, F.col("id").alias("node")).distinct()
-        label = every.join(label, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    return label
+        every = every.unionByName(nodes.select(*keys, F.col("id").alias("node")))
+    label = materialize(every.distinct().join(label, [*keys, "node"], "left").withColumn("root", F.coalesce("root", "node")))
+    least = label.groupBy(*keys, "root").agg(F.min("node").alias("component"))
+    return label.join(least, [*keys, "root"]).select(*keys, "node", "component")
 
 
 def components(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) -> DataFrame:
@@ -104,16 +145,24 @@ def spanning(edges: DataFrame, keys: list[str], nodes: DataFrame, flags: tuple[s
 
 
 def kcore(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node, core: peeling by rounds of the h-index of the neighbours' values, which ends at the core numbers."""
-    both = _checkpoint(incidence(edges.select(*keys, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct(), keys))
-    core = _checkpoint(both.groupBy(*keys, "node").agg(F.count("*").alias("core")))
+    """keys, node, core: rounds of the h-index of the neighbours' values, which end at the core numbers.
+
+    The h-index comes from counts of the neighbours' values, capped at the node's own: a hub's neighbours are summed
+    before they are shuffled, and what is left of them is one row a value.
+    """
+    both = materialize(incidence(edges.filter("id1 <> id2").select(*keys, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct(), keys))
+    core = materialize(both.groupBy(*keys, "node").agg(F.count("*").alias("core")))
     while True:
-        near = both.join(core.withColumnsRenamed({"node": "other", "core": "_c"}), [*keys, "other"])
-        w = Window.partitionBy(*keys, "node").orderBy(F.col("_c").desc())
-        h = near.withColumn("_i", F.row_number().over(w)).groupBy(*keys, "node").agg(F.max(F.least("_i", "_c")).alias("_h"))
-        new = _checkpoint(core.join(h, [*keys, "node"]).select(*keys, "node", F.col("core").alias("_was"), F.least("core", "_h").alias("core")))
+        own = core.withColumnRenamed("core", "_own")
+        near = both.join(core.withColumnsRenamed({"node": "other", "core": "_c"}), [*keys, "other"]).join(own, [*keys, "node"])
+        counts = near.groupBy(*keys, "node", "_own", F.least("_c", "_own").alias("_v")).agg(F.count("*").alias("_k"))
+        at_least = F.sum("_k").over(Window.partitionBy(*keys, "node").orderBy(F.col("_v").desc()))
+        h = counts.withColumn("_h", F.least("_v", at_least)).groupBy(*keys, "node", "_own").agg(F.max("_h").alias("core"))
+        new = materialize(h.select(*keys, "node", F.col("_own").alias("_was"), "core"))
+        discard(core)
         core = new.select(*keys, "node", "core")
         if new.filter("_was <> core").isEmpty():
+            discard(both)
             return core
 
 

@@ -50,10 +50,8 @@ _COMPONENTS = "SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(
 _BETA = """
   SELECT l.run, l.cycle, l.phase, e - n + c AS loops, (e - n + c) / n::DOUBLE AS loops_per_node, (e - n + c) / e::DOUBLE AS loops_per_edge FROM (SELECT run, cycle, phase, count(*) AS n, count(DISTINCT component) AS c FROM label GROUP BY 1, 2, 3) l
   JOIN (SELECT run, cycle, phase, count(*) AS e FROM contacts GROUP BY 1, 2, 3) p ON l.run = p.run AND l.cycle = p.cycle AND l.phase = p.phase"""
-for _name in ("net_components", "net_components_all"):
-    register(_name, lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share", _PARTS, _COMPONENTS)
-for _name in ("net_beta1", "net_beta1_all"):
-    register(_name, lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PARTS, _BETA)
+register("net_components", lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share", _PARTS, _COMPONENTS)
+register("net_beta1", lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PARTS, _BETA)
 register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, fr.boundary_flags(nodes(s, d), STATE)), "run cycle phase spanning_components", "span", "RECURSIVE " + NODES + ", " + _labels("contacts"), """
   WITH q AS (SELECT run, cycle, phase, quantile_cont(z, 0.03) AS lo, quantile_cont(z, 0.97) AS hi, max(z) - min(z) AS height FROM nodes GROUP BY 1, 2, 3),
   c AS (SELECT l.run, l.cycle, l.phase, component, bool_or(z <= lo) AND bool_or(z >= hi) AS both_sides, max(z) - min(z) AS span, any_value(height) AS height FROM label l

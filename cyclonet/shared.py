@@ -26,3 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `materialize` that no later plan reads; anything else is left alone."""
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getParent() is not None and where.getParent().toUri().getPath() == root.toUri().getPath():
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

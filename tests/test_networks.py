@@ -75,10 +75,10 @@ def test_queries_take_all_states(spark):
             old, new = label[a], label[b]
             label = {n: new if c == old else c for n, c in label.items()}
         want[state] = (len(label), len(set(label.values())), len(es) - len(label) + len(set(label.values())))
-    rows = {n: catalog.QUERIES[n](spark, sf).collect() for n in ("net_components_all", "net_beta1_all", "net_spanning", "topo_force_shuffle_null", "topo_order_null")}
+    rows = {n: catalog.QUERIES[n](spark, sf).collect() for n in ("net_components", "net_beta1", "net_spanning", "topo_force_shuffle_null", "topo_order_null")}
     state = lambda r: tuple(r[k] for k in keys)
-    assert {state(r): (r["nodes"], r["components"]) for r in rows["net_components_all"]} == {k: v[:2] for k, v in want.items()}
-    assert {state(r): r["loops"] for r in rows["net_beta1_all"]} == {k: v[2] for k, v in want.items()}
+    assert {state(r): (r["nodes"], r["components"]) for r in rows["net_components"]} == {k: v[:2] for k, v in want.items()}
+    assert {state(r): r["loops"] for r in rows["net_beta1"]} == {k: v[2] for k, v in want.items()}
     assert {state(r) for r in rows["net_spanning"]} == set(want)
     for name, loops, n in (("topo_force_shuffle_null", "loop_births", 24), ("topo_order_null", "loops", 25)):
         assert {(state(r), r["rep"], r[loops]) for r in rows[name]} == {(k, rep, v[2]) for k, v in want.items() for rep in range(1, n + 1)}
@@ -100,3 +100,64 @@ def test_exact_permutation_takes_all_cycles(spark):
     (r,) = catalog.QUERIES["st_exact_perm"](spark, sf).collect()
     assert r["n"] == p["regime_id"].nunique()
     assert (r["rho"], r["p"]) == (pytest.approx(rho(means["w"]), abs=1e-6), pytest.approx(np.mean([e >= abs(rho(means["w"])) - 1e-9 for e in every]), abs=1e-6))
+
+
+def _plain_labels(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components_of_a_long_path(spark):
+    """No task solves a state here: every step is a round of joins, and the rounds stay logarithmic."""
+    n = 100_000
+    edges = spark.range(n - 1).selectExpr("'s' AS state", "id AS id1", "id + 1 AS id2")
+    trace = []
+    (r,) = net.component_labels(edges, ["state"], local=0, trace=trace).selectExpr("count(*) AS n", "max(component) AS c", "count(DISTINCT node) AS d").collect()
+    assert (r["n"], r["c"], r["d"]) == (n, 0, n)
+    assert len(trace) <= 40
+
+
+def test_components_by_rounds_and_by_task(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = [(s, r.randrange(400), r.randrange(400)) for s in "ab" for _ in range(260)] + [("c", 7, 7)] + [("d", 0, k) for k in range(1, 600)]
+    df = spark.createDataFrame([(s, a, b) for s, a, b in pairs], "state string, id1 long, id2 long")
+    want = {(s, n): c for s in "abcd" for n, c in _plain_labels([p[1:] for p in pairs if p[0] == s]).items()}
+    for local in (0, 50, 10_000):
+        got = net.component_labels(df, ["state"], local=local).collect()
+        assert {(x["state"], x["node"]): x["component"] for x in got} == want and len(got) == len(want)
+    assert net.component_labels(df.limit(0), ["state"]).collect() == []
+
+
+def test_cores_of_a_star_and_of_drawn_graphs(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = {tuple(sorted((r.randrange(60), r.randrange(60)))) for _ in range(240)}
+    pairs = [p for p in pairs if p[0] != p[1]] + [(1000, 1001 + k) for k in range(5000)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, left, k = {}, {x: set(v) for x, v in near.items()}, 0
+    while left:
+        low = [x for x, v in left.items() if len(v) <= k]
+        if not low:
+            k += 1
+        for x in low:
+            want[x] = k
+            for y in left.pop(x):
+                if y in left:
+                    left[y].discard(x)
+    df = spark.createDataFrame([("s", *p) for p in pairs], "state string, id1 long, id2 long")
+    assert {x["node"]: x["core"] for x in net.kcore(df, ["state"]).collect()} == want

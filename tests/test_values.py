@@ -115,7 +115,7 @@ def test_sides_and_spanning(spark, states):
 
 
 def test_components_loops_and_backbone(spark, states):
-    comp, beta, back = (by_state(run(spark, n)) for n in ("net_components_all", "net_beta1_all", "net_backbone"))
+    comp, beta, back = (by_state(run(spark, n)) for n in ("net_components", "net_beta1", "net_backbone"))
     for k, f in states.items():
         *_, n, t = filtration(f)
         assert near(comp[k][["nodes", "components", "giant_share"]], [n, len(t.sets), max(map(len, t.sets.values())) / n])
