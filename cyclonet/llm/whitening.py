@@ -29,7 +29,8 @@ SCHEMA = "component int, n long, deviation long, whitened double, explained doub
 
 def quantised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """vectors with x (array of long) in place of the vector, without rows whose vector is null, is empty or holds null or
-    non-finite entries. Only vectors of the greatest length stay: others have no place in the same space."""
+    non-finite entries. Only vectors of the greatest length stay: others have no place in the same space. Entries of 2**40
+    and more are too large for exact sums in longs; Spark's arithmetic then raises."""
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     x = F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + F.lit(SHIFT).cast("long"))
     kept = vectors.filter(F.coalesce(whole, F.lit(False))).withColumn("x", x).drop(vector)
