@@ -5,10 +5,11 @@ at equal places, whatever stands around them. A chunk is its own words and, as o
 follow in the same piece. The distinct chunks with their frequencies are the dictionary; a copied passage is in it once.
 
 Counting. A run of words is counted in the chunk whose own words it begins in, weighted by that chunk's frequency, so
-an overlap counts once and no run is missed. Runs of one and two words first fill a sketch of counters, merged over all
-chunks, that never counts less than the truth; a longer run can only be frequent if all its pairs are. What passes is
-counted exactly, by its text. The sketch's width follows from the number of words, up to 2**MOST_BITS cells, which
-bounds what is broadcast; a fuller sketch lets more runs pass and loses none.
+an overlap counts once and no run is missed. Runs of one to three words first fill a sketch of counters, merged over all
+chunks, that never counts less than the truth; a longer run can only be frequent if all its triples are. What passes is
+counted exactly, by its text: a task adds up its own, and sends lists of phrases and counts, dealt by the phrase's hash.
+The sketch's width follows from the number of words, up to 2**MOST_BITS cells, which bounds what is broadcast; a fuller
+sketch lets more runs pass and loses none.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 from .words import CHUNK_BYTES, Words, mix, windows
 
-MODULUS = 64
+MODULUS, SKETCHED = 64, 3
 BLOCK_BITS, LEAST_BITS, MOST_BITS = 16, 18, 30
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 DEAL = 32  # parts that a language's ranking is dealt into first
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,12 +120,14 @@ def _cells(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    return np.append(windows(h, 2, 330), np.zeros(min(1, len(h)), np.uint64))
+def _spans(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of `size` words from each word on (past the end: of nothing)."""
+    got = windows(h, size, 330 + 10 * size)
+    return np.append(got, np.zeros(len(h) - len(got), np.uint64))
 
 
 def sketch(chunks: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each of 2**bits cells: do the words and pairs that fall there occur `least` times or more in all?"""
+    """One bit for each of 2**bits cells: do the runs of up to SKETCHED words there occur `least` times or more in all?"""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -146,8 +149,9 @@ def sketch(chunks: DataFrame, bits: int, least: int) -> np.ndarray:
             weight = b.column(3).to_numpy()
             for _, row, begins, rest, h in _read(b):
                 times = weight[row]
-                two = begins & (rest > 0)
-                held += [(_cells(h[begins], bits), times[begins]), (_cells(_pairs(h)[two], bits), times[two])]
+                for k in range(1, SKETCHED + 1):
+                    ok = begins & (rest >= k - 1)
+                    held.append((_cells(h[ok] if k == 1 else _spans(h, k)[ok], bits), times[ok]))
                 if sum(len(x[0]) for x in held) > FLUSH:
                     yield out()
         if sum(len(x[0]) for x in held):
@@ -180,16 +184,17 @@ def _hit(cell: np.ndarray, table: np.ndarray) -> np.ndarray:
 def runs(chunks: DataFrame, size: int, bits: int, least: int) -> DataFrame:
     """lang, k, phrase, f: every run of 1 to `size` words that the sketch lets pass, with its exact count."""
     sent = chunks.sparkSession.sparkContext.broadcast(sketch(chunks, bits, least))
+    buckets = 4 * partitions(chunks.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            lang, word, single, pair, begins, rest, times = zip(*held, strict=True)
+        def out() -> pa.RecordBatch:
+            lang, word, single, pair, triple, begins, rest, times = zip(*held, strict=True)
             held.clear()
             lang = pa.concat_arrays(lang).dictionary_encode()
             word = pa.concat_arrays(word).dictionary_encode()
-            single, pair, begins, rest, times = (np.concatenate(x) for x in (single, pair, begins, rest, times))
+            single, pair, triple, begins, rest, times = (np.concatenate(x) for x in (single, pair, triple, begins, rest, times))
             # Codes of what passes, dense at each length: a run's code is its first words' code and its last word's.
             words = np.zeros(len(single), np.int64)
             words[single] = word.indices.to_numpy()
@@ -200,45 +205,76 @@ def runs(chunks: DataFrame, size: int, bits: int, least: int) -> DataFrame:
             now = np.full(len(single), -1, np.int64)
             now[at] = code
             text, owner = word.dictionary.take(pa.array(kinds % wide)), kinds // wide
+            ends = np.frombuffer(word.dictionary.buffers()[1], np.int64)[word.dictionary.offset :][: len(word.dictionary) + 1]
+            every = np.frombuffer(word.dictionary.buffers()[2] or b"", np.uint8)
+            hashed = Words(every, ends[:-1], ends[1:], ends[:0], ends[:0], 0).hashes()
+            mark = hashed[kinds % wide]
+            rows: list[tuple] = []
             for k in range(1, size + 1):
                 if k > 1:
                     # A run goes on while its next pair and word pass and it stays in its piece.
                     at = at[(at + k - 1 < len(single)) & (rest[at] >= k - 1)]
                     at = at[pair[at + k - 2] & single[at + k - 1]]
+                    if k > 2:
+                        at = at[triple[at + k - 3]]
                     kinds, code = np.unique(now[at] * wide + words[at + k - 1], return_inverse=True)
                     now = np.full(len(single), -1, np.int64)
                     now[at] = code
                     before, after = pa.array(kinds // wide), pa.array(kinds % wide)
                     text, owner = pc.binary_join_element_wise(text.take(before), word.dictionary.take(after), pa.scalar(b" ", pa.large_binary())), owner[kinds // wide]
+                    mark = mix(mark[kinds // wide] + mix(hashed[kinds % wide], k))
                 if not len(at):
-                    return
+                    break
                 mine = begins[at]
                 total = np.bincount(code[mine], times[at][mine], len(kinds)).astype(np.int64)
                 some = np.flatnonzero(total)
-                rows = [lang.dictionary.take(pa.array(owner[some])).cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), text.take(pa.array(some)).cast(pa.binary()), pa.array(total[some])]
-                yield pa.RecordBatch.from_arrays(rows, names=["lang", "k", "phrase", "f"])
+                rows.append((mark[some], lang.dictionary.take(pa.array(owner[some])), np.full(len(some), k, np.int32), text.take(pa.array(some)), total[some]))
+            mark, owner, k, text, total = zip(*rows, strict=True) if rows else ([np.zeros(0, np.uint64)], [pa.array([], pa.string())], [np.zeros(0, np.int32)], [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)])
+            bucket = (np.concatenate(mark) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, place = bucket[order], pa.array(order)
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            offsets = pa.array(np.append(cut, len(bucket)).astype(np.int32))
+            flat = (pa.concat_arrays(owner).cast(pa.string()), pa.array(np.concatenate(k)), pa.concat_arrays(text).cast(pa.binary()), pa.array(np.concatenate(total)))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.ListArray.from_arrays(offsets, x.take(place)) for x in flat)], names=["bucket", "lang", "k", "phrase", "f"])
 
         size_held = 0
         for b in batches:
             weight = b.column(3).to_numpy()
             for w, row, begins, rest, h in _read(b):
                 single = _hit(_cells(h, bits), sent.value)
-                pair = _hit(_cells(_pairs(h), bits), sent.value) & (rest > 0)
+                pair = _hit(_cells(_spans(h, 2), bits), sent.value) & (rest > 0)
+                triple = _hit(_cells(_spans(h, 3), bits), sent.value) & (rest > 1)
                 lengths = (w.end - w.start)[single]
                 ends = np.cumsum(lengths)
                 bytes_ = w.data[np.repeat(w.start[single] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
                 offsets = np.concatenate([[0], ends]).astype(np.int64)
                 word = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)])
-                held.append((b.column(0).take(pa.array(row)), word, single, pair, begins, rest, weight[row]))
+                held.append((b.column(0).take(pa.array(row)), word, single, pair, triple, begins, rest, weight[row]))
                 size_held += len(single)
                 if size_held > FLUSH:
-                    yield from out()
+                    yield out()
                     size_held = 0
         if size_held:
-            yield from out()
+            yield out()
 
-    counted = chunks.mapInArrow(count, "lang string, k int, phrase binary, f long")
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).withColumn("phrase", F.col("phrase").cast("string"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "k", "phrase"]
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            both = pa.concat_tables(held)
+            return both.group_by(names).aggregate([("f", "sum")]).rename_columns([*names, "f"])
+
+        for b in batches:
+            held.append(pa.table([b.column(i).flatten() for i in range(1, 5)], names=[*names, "f"]))
+            if sum(t.num_rows for t in held[1:]) > FLUSH:
+                held = [summed()]
+        if held:
+            yield from (t := summed()).filter(pc.greater_equal(t["f"], least)).to_batches()
+
+    counted = chunks.mapInArrow(count, "bucket int, lang array<string>, k array<int>, phrase array<binary>, f array<bigint>")
+    return counted.repartition("bucket").mapInArrow(add, "lang string, k int, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _exact(c: Column) -> Column:
