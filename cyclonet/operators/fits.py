@@ -1,4 +1,5 @@
-"""Iterated and small-sample fits: each iteration is one aggregation over the data, never a copy of it on the driver."""
+"""Iterated and small-sample fits: each iteration is one scan of the data for all folds, never a copy of it on the driver
+and never a join of rows with folds."""
 
 from __future__ import annotations
 
@@ -9,15 +10,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_finite
 from ..shared import materialize
-from .statistics import gram_matrix, solve_gram
+from .statistics import gram, gram_matrix, solve_gram
 
 
 MOST_FOLDS = 10_000  # groups whose coefficients are held on the driver and broadcast
+FOLD_BLOCK = 256  # folds that a batch of rows meets in one product of matrices
 
 
 def _clean(df: DataFrame, group: str, features: list[str], target: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list]:
@@ -53,24 +57,187 @@ def _held_out(df: DataFrame, group: str, features: list[str], coef: dict, link:
     return out.withColumn("predicted", link(_linear(features))).drop("_fold", "_w", "_s")
 
 
-def logo_huber(df: DataFrame, group: str, features: list[str], target: str, epsilon: float = 1.35, rounds: int = 20) -> DataFrame:
-    """Leave-one-group-out Huber regression by reweighting; the scale is the median absolute residual / 0.6745.
+def upper(x: np.ndarray) -> np.ndarray:
+    """The products of each two columns, the upper triangle by rows: what a weighted Gram matrix is a sum of."""
+    i, j = np.triu_indices(x.shape[1])
+    return x[:, i] * x[:, j]
 
-    Adds predicted, the held-out prediction, to the rows. A row meets the coefficients of every fold but its own's.
+
+def full(flat: np.ndarray, size: int) -> np.ndarray:
+    g = np.zeros((size, size))
+    i, j = np.triu_indices(size)
+    g[i, j] = g[j, i] = flat
+    return g
+
+
+def fold_sums(data: DataFrame, group: str, groups: list, columns: list[str], out: list, params: np.ndarray, width: int, sums: Callable[..., np.ndarray]) -> np.ndarray:
+    """[folds, width]: for each fold k, sums over all rows but those of the group out[k]; one scan, no join.
+
+    sums(rows, params of some folds, mask) gets the columns of a batch of rows as an array, and mask [rows, folds], 0 where
+    a row's group is left out; it returns [folds, width] by products of matrices. A task adds up what it sees and sends one
+    row a fold.
+    """
+    sent = data.sparkSession.sparkContext.broadcast((np.asarray(params), np.array([groups.index(g) for g in out])))
+    names = [f"s{i}" for i in range(width)]
+
+    def scan(batches):
+        coef, left_out = sent.value
+        total = np.zeros((len(coef), width))
+        seen = False
+        for b in batches:
+            if b.num_rows:
+                seen = True
+                code = pc.index_in(b.column(0), value_set=pa.array(groups, b.schema.field(0).type)).fill_null(-1).to_numpy(zero_copy_only=False)
+                rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, b.num_columns)], 1)
+                for k in range(0, len(coef), FOLD_BLOCK):
+                    part = slice(k, k + FOLD_BLOCK)
+                    total[part] += sums(rows, coef[part], (code[:, None] != left_out[part]).astype(float))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(coef), dtype=np.int32)), *(pa.array(total[:, i]) for i in range(width))], names=["fold", *names])
+
+    parts = data.select(group, *columns).mapInArrow(scan, "fold int, " + ", ".join(f"{c} double" for c in names))
+    got = np.zeros((len(params), width))
+    for r in parts.groupBy("fold").agg(*(F.sum(c).alias(c) for c in names)).collect():  # one row a fold
+        got[r["fold"]] = [r[c] for c in names]
+    return got
+
+
+def _least_squares(data: DataFrame, group: str, groups: list, columns: list[str]) -> dict:
+    """Each fold's Gram matrix of [1, features, target]: the total less its own group's."""
+    size = len(columns) + 1
+    own = {r[group]: gram_matrix(r, size) for r in gram(data, [group], columns[:-1], columns[-1]).collect()}  # one row a group
+    every = sum(own.values())
+    return {k: every - own[k] for k in groups}
+
+
+def logo_huber(df: DataFrame, group: str, features: list[str], target: str, epsilon: float = 1.35, alpha: float = 1e-4, scaled: bool = True, rounds: int = 60) -> DataFrame:
+    """Leave-one-group-out Huber regression with concomitant scale; adds predicted, the held-out prediction, to the rows.
+
+    A fold's coefficients w, intercept c and scale s together minimise, over its rows' residuals r,
+    sum(s + H(r / s) s) + alpha |w|^2 with H(z) = z^2 up to epsilon and 2 epsilon |z| - epsilon^2 beyond; `scaled`: w are
+    those of features with unit variance over the fold's rows. Each round is one scan for all folds: with the rows inside
+    and outside the bound known, the best point for that division follows from their sums; a point that is no better is
+    halved back, and a fold that has come to rest takes no part in later scans.
     """
     data, groups = _clean(df, group, features, target)
-    folds = lambda coef, more=None: data.join(_table(data, group, coef, more), F.col(group) != F.col("_fold"))
-    coef = {k: np.zeros(len(features) + 1) for k in groups}
-    coef = {k: solve_gram(g) for k, g in _weighted(folds(coef), features, F.col(target), F.lit(1.0)).items()}
+    return _held_out(data, group, features, huber_coefficients(data, group, groups, features, target, epsilon, alpha, scaled, rounds))
+
+
+def huber_coefficients(data: DataFrame, group: str, groups: list, features: list[str], target: str, epsilon: float, alpha: float, scaled: bool, rounds: int) -> dict:
+    """{group: intercept and coefficients} of the fits of `logo_huber`; of a fold without rows, zeros."""
+    size = len(features) + 1
+    grams = _least_squares(data, group, groups, [*features, target])
+    width = (size + 1) * (size + 2) // 2
+
+    def sums(rows: np.ndarray, params: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        x = np.c_[np.ones(len(rows)), rows]
+        rest = x[:, -1:] - x[:, :-1] @ params[:, :-1].T
+        near = np.abs(rest) <= epsilon * params[:, -1]
+        far = np.where(near, 0.0, np.sign(rest)) * mask
+        return np.c_[(near * mask).T @ upper(x), far.T @ x, np.abs(far).sum(0)]
+
+    def objective(p: np.ndarray, got: np.ndarray, n: float, d: np.ndarray) -> float:
+        g, u, s = full(got[:width], size + 1), got[width : width + size + 1], p[-1]
+        v = np.append(-p[:-1], 1.0)
+        return n * s + v @ g @ v / s + 2 * epsilon * (v @ u) - got[-1] * epsilon**2 * s + alpha * p[:-1] @ (d * p[:-1])
+
+    def best(p: np.ndarray, got: np.ndarray, n: float, d: np.ndarray) -> np.ndarray:
+        g, u, s, free = full(got[:width], size + 1), got[width : width + size], p[-1], n - epsilon**2 * got[-1]
+        if free <= 0:  # too many outside for this scale
+            return np.append(p[:-1], 2 * s)
+        for _ in range(200):
+            w = np.linalg.lstsq(g[:-1, :-1] + alpha * s * np.diag(d), g[:-1, -1] + epsilon * s * u, rcond=None)[0]
+            v = np.append(-w, 1.0)
+            new = max(math.sqrt(max(v @ g @ v, 0.0) / free), 1e-12)
+            if abs(new - s) <= 1e-15 * s:
+                break
+            s = new
+        return np.append(w, s)
+
+    state: dict = {}
+    for k in groups:
+        g = grams[k]
+        n = g[0, 0]
+        if n < 0.5:
+            continue
+        w = solve_gram(g)
+        v = np.append(-w, 1.0)
+        spread = np.array([0.0, *(max(g[i, i] / n - (g[0, i] / n) ** 2, 0.0) if scaled else 1.0 for i in range(1, size))])
+        state[k] = {"n": n, "d": spread, "at": None, "f": math.inf, "try": np.append(w, max(math.sqrt(max(v @ g @ v, 0.0) / n), 1e-12))}
+    active = list(state)
     for _ in range(rounds):
-        error = F.abs(F.col(target) - _linear(features))
-        scale = {r["_fold"]: max(r["s"], 1e-12) for r in folds(coef).withColumn("_e", error).groupBy("_fold").agg((F.expr("percentile(_e, 0.5)") / 0.6745).alias("s")).collect()}
-        new = {k: solve_gram(g) for k, g in _weighted(folds(coef, scale), features, F.col(target), F.least(F.lit(1.0), epsilon * F.col("_s") / F.greatest(error, F.lit(1e-12)))).items()}
-        moved = max((float(np.abs(new[k] - coef[k]).max()) for k in new), default=0.0)
-        coef = new
-        if moved < 1e-8:
+        if not active:
             break
-    return _held_out(df, group, features, coef)
+        got = fold_sums(data, group, groups, [*features, target], active, np.array([state[k]["try"] for k in active]), width + size + 2, sums)
+        still = []
+        for k, g in zip(active, got, strict=True):
+            f = state[k]
+            value = objective(f["try"], g, f["n"], f["d"])
+            if value <= f["f"] + 1e-13 * abs(value):
+                f |= {"at": f["try"], "f": value}
+                f["try"] = best(f["at"], g, f["n"], f["d"])
+            else:
+                f["try"] = (f["try"] + f["at"]) / 2
+            if np.abs(f["try"] - f["at"]).max() > 1e-11 * (1 + np.abs(f["at"]).max()):
+                still.append(k)
+        active = still
+    return {k: state[k]["at"][:-1] if k in state else np.zeros(size) for k in groups}
+
+
+def ridge_choice(data: DataFrame, group: str, groups: list, features: list[str], target: str, strengths: tuple[float, ...]) -> dict:
+    """{group: (strength, coefficients)}: for the rows of all other groups, the strength of least leave-one-row-out error
+    (the first of equal ones) for features of unit variance, and the fit with it.
+
+    A row's error without itself is its residual over one less its leverage. Fits and leverages of all folds and strengths
+    come from one Gram matrix a fold; a second scan adds up the errors.
+    """
+    size = len(features) + 1
+    grams = _least_squares(data, group, groups, [*features, target])
+    cases, params, fits = [], [], {}
+    for k in groups:
+        g = grams[k]
+        n = g[0, 0]
+        spread = [max(g[i, i] / n - (g[0, i] / n) ** 2, 0.0) if n > 0.5 else 0.0 for i in range(1, size)]
+        for a in strengths:
+            inverse = np.linalg.pinv(g[:-1, :-1] + a * np.diag([0.0, *spread]))
+            w = inverse @ g[:-1, -1]
+            twice = inverse * 2 - np.diag(np.diag(inverse))  # a product of two columns stands once in `upper`
+            cases.append(k)
+            params.append(np.r_[w, twice[np.triu_indices(size)]])
+            fits[k, a] = w
+
+    def sums(rows: np.ndarray, params: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        x = np.c_[np.ones(len(rows)), rows[:, :-1]]
+        rest = rows[:, -1:] - x @ params[:, :size].T
+        lever = upper(x) @ params[:, size:].T
+        return ((rest / np.maximum(1 - lever, 1e-12)) ** 2 * mask).sum(0)[:, None]
+
+    error = fold_sums(data, group, groups, [*features, target], cases, np.array(params), 1, sums)[:, 0].reshape(len(groups), len(strengths))
+    # Errors that are equal but for rounding tie.
+    first = [int(np.flatnonzero(e <= e.min() * (1 + 1e-12))[0]) if np.isfinite(e).all() else 0 for e in error]
+    return {k: (strengths[i], fits[k, strengths[i]]) for k, i in zip(groups, first, strict=True)}
+
+
+def logo_ridge(df: DataFrame, group: str, features: list[str], target: str, strengths: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+    """Leave-one-group-out ridge regression whose strength is chosen on each fold's training rows (see `ridge_choice`).
+
+    Per held-out group: n, strength, R2 against the training mean, and the coefficients.
+    """
+    data, groups = _clean(df, group, features, target)
+    chosen = ridge_choice(data, group, groups, features, target, strengths)
+    size = len(features) + 2
+    own = {r[group]: gram_matrix(r, size) for r in gram(data, [group], features, target).collect()}
+    every = sum(own.values())
+    rows = []
+    for k in groups:
+        strength, w = chosen[k]
+        g, rest = own[k], every - own[k]
+        v = np.append(-w, 1.0)
+        mean = rest[0, -1] / rest[0, 0] if rest[0, 0] > 0.5 else math.nan
+        total = g[-1, -1] - 2 * mean * g[0, -1] + mean * mean * g[0, 0]
+        rows.append((k, int(g[0, 0]), float(strength), float(1 - v @ g @ v / total) if total > 1e-300 else None, *map(float, w)))
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"{group} {kind}, n long, strength double, r2 double, coef_intercept double, " + ", ".join(f"coef_{c} double" for c in features))
 
 
 def _newton(rows: Callable[[dict], DataFrame], groups: list, features: list[str], label: str, weight: Column, penalty: np.ndarray, rounds: int) -> dict:
@@ -88,18 +255,36 @@ def _newton(rows: Callable[[dict], DataFrame], groups: list, features: list[str]
 
 
 def logo_logistic(df: DataFrame, group: str, features: list[str], label: str, ridge: float = 1.0, balanced: bool = False, rounds: int = 25) -> DataFrame:
-    """Leave-one-group-out logistic regression by Newton steps; adds predicted, the held-out probability."""
+    """Leave-one-group-out logistic regression by Newton steps, one scan a step for all folds; adds predicted, the held-out
+    probability. balanced: both classes of a fold weigh the same."""
     data, groups = _clean(df, group, features, label)
     size = len(features) + 1
-    share: dict = {}
-    if balanced:
-        own = {r[group]: (r["n"], r["s"]) for r in data.groupBy(group).agg(F.count("*").alias("n"), F.sum(label).alias("s")).collect()}
-        n, s = (sum(v[i] for v in own.values()) for i in (0, 1))
-        share = {k: (s - v[1]) / max(1, n - v[0]) for k, v in own.items()}
-    weight = F.when(F.col(label) > 0, 0.5 / F.greatest(F.col("_s"), F.lit(1e-9))).otherwise(0.5 / F.greatest(1 - F.col("_s"), F.lit(1e-9))) if balanced else F.lit(1.0)
-    rows = lambda coef: data.join(_table(data, group, coef, share), F.col(group) != F.col("_fold"))
-    coef = _newton(rows, groups, features, label, weight, np.diag([0.0, *[ridge] * (size - 1)]), rounds)
-    return _held_out(df, group, features, coef, lambda z: 1 / (1 + F.exp(-z)))
+    own = {r[group]: (r["n"], r["s"]) for r in data.groupBy(group).agg(F.count("*").alias("n"), F.sum(label).alias("s")).collect()}
+    n, s = (sum(v[i] for v in own.values()) for i in (0, 1))
+    share = {k: min(max((s - v[1]) / max(1, n - v[0]), 1e-9), 1 - 1e-9) for k, v in own.items()}
+    penalty = np.diag([0.0, *[ridge] * (size - 1)])
+    half = size * (size + 1) // 2
+
+    def sums(rows: np.ndarray, params: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        x, y = np.c_[np.ones(len(rows)), rows[:, :-1]], rows[:, -1:]
+        p = 1 / (1 + np.exp(-np.clip(x @ params[:, :-1].T, -700, 700)))
+        weight = mask * np.where(y > 0, 0.5 / params[:, -1], 0.5 / (1 - params[:, -1])) if balanced else mask
+        return np.c_[(weight * np.maximum(p * (1 - p), 1e-12)).T @ upper(x), (weight * (y - p)).T @ x]
+
+    coef = {k: np.zeros(size) for k in groups}
+    active = list(groups)
+    for _ in range(rounds):
+        if not active:
+            break
+        got = fold_sums(data, group, groups, [*features, label], active, np.array([np.append(coef[k], share[k]) for k in active]), half + size, sums)
+        still = []
+        for k, g in zip(active, got, strict=True):
+            step = np.linalg.solve(full(g[:half], size) + penalty + 1e-9 * np.eye(size), g[half:] - penalty @ coef[k])
+            coef[k] = coef[k] + step
+            if np.abs(step).max() >= 1e-9:
+                still.append(k)
+        active = still
+    return _held_out(data, group, features, coef, lambda z: 1 / (1 + F.exp(-z)))
 
 
 def forward_logistic(df: DataFrame, group: str, order: str, features: list[str], label: str, split: float, ridge: float = 1.0, rounds: int = 40, least: tuple[int, int] = (6, 3)) -> DataFrame:
@@ -204,8 +389,6 @@ def relax_fit(df: DataFrame, by: list[str], order: str, col: str, taus: int = 60
 
 def loo_row(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Adds predicted, each row's prediction by the fit without it: residual / (1 - leverage), one aggregation in all."""
-    from .statistics import gram
-
     g = gram_matrix(gram(df, [], features, target).first(), len(features) + 2)
     w, inverse = solve_gram(g), np.linalg.pinv(g[:-1, :-1])
     x = [F.lit(1.0), *(F.col(c) for c in features)]
@@ -216,8 +399,6 @@ def loo_row(df: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def coefficient_bootstrap(samples: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
     """Per feature over bootstrap replicates (rows tagged by `rep`): mean, central 95 % and probability of a positive sign."""
-    from .statistics import gram
-
     size = len(features) + 2
 
     def fit(frames):

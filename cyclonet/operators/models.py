@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import is_finite
+from ..shared import materialize
 from .statistics import gram, gram_matrix, r2_of, solve_gram
 
 
@@ -76,6 +79,55 @@ def forward_linear(df: DataFrame, by: list[str], order: str, features: list[str]
     return stats.groupBy(*by).applyInPandas(fit, f"{types}, n_train long, n_test long, r2 double")
 
 
+def forward_ridge(df: DataFrame, by: list[str], order: str, features: list[str], target: str, split: float, strengths: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0), least: int = 5) -> DataFrame:
+    """Per group: ridge regression on the rows up to the split, scored after it by R2 against the early mean.
+
+    The strength is the one of least leave-one-row-out error on the early rows (the first of equal ones) for features of
+    unit variance there. Fits and leverages of all strengths come from a group's early Gram matrix; the early rows then
+    meet their own group's, and their errors are summed. Groups with fewer than `least` rows on a side are left out.
+    """
+    size, width = len(features) + 2, len(features) + 1
+    finite = reduce(lambda a, b: a & b, [is_finite(c) for c in [*features, target]])
+    d = df.filter(finite).select(*by, F.col(order).alias("_t"), *(F.col(c).cast("double").alias(c) for c in [*features, target])).withColumn("_late", (F.col("_t") > split).cast("int"))
+    stats = materialize(gram(d, [*by, "_late"], features, target))
+    types = ", ".join(f"{b} {stats.schema[b].dataType.simpleString()}" for b in by)
+
+    def cases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for _, r in f.iterrows():
+                g = gram_matrix(r, size)
+                spread = [max(g[i, i] / g[0, 0] - (g[0, i] / g[0, 0]) ** 2, 0.0) for i in range(1, width)]
+                for k, a in enumerate(strengths):
+                    inverse = np.linalg.pinv(g[:-1, :-1] + a * np.diag([0.0, *spread]))
+                    out.append({b: r[b] for b in by} | {"_k": k, "_w": (inverse @ g[:-1, -1]).tolist(), "_m": inverse.ravel().tolist()})
+            yield pd.DataFrame(out, columns=[*by, "_k", "_w", "_m"])
+
+    fitted = materialize(stats.filter("_late = 0").mapInPandas(cases, f"{types}, _k int, _w array<double>, _m array<double>"))
+    x = F.array(F.lit(1.0), *features)
+    guess = F.aggregate(F.zip_with("_w", "_x", lambda w, v: w * v), F.lit(0.0), lambda t, v: t + v)
+    across = F.flatten(F.transform("_x", lambda u: F.transform("_x", lambda v: u * v)))
+    lever = F.aggregate(F.zip_with("_m", across, lambda m, v: m * v), F.lit(0.0), lambda t, v: t + v)
+    early = d.filter("_late = 0").select(*by, x.alias("_x"), F.col(target).alias("_y")).join(fitted, by)
+    error = F.sum(((F.col("_y") - guess) / F.greatest(1 - lever, F.lit(1e-12))) ** 2)
+    best = early.groupBy(*by, "_k").agg(error.alias("_e")).groupBy(*by).agg(F.min(F.struct("_e", "_k")).alias("_b"))
+    chosen = fitted.join(best, by).filter(F.col("_k") == F.col("_b._k")).select(*by, "_k", "_w")
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for _, r in f.iterrows():
+                test, w = gram_matrix(r, size), np.append(-np.array(r["_w"]), 1.0)
+                mean = r["_mean"]
+                total = test[-1, -1] - 2 * mean * test[0, -1] + mean * mean * test[0, 0]
+                out.append({b: r[b] for b in by} | {"n_train": int(r["_n"]), "n_test": int(test[0, 0]), "strength": strengths[int(r["_k"])], "r2": float(1 - w @ test @ w / total) if total > 1e-300 else None})
+            yield pd.DataFrame(out, columns=[*by, "n_train", "n_test", "strength", "r2"])
+
+    first = stats.filter("_late = 0").select(*by, F.col("g_0_0").alias("_n"), (F.col(f"g_0_{size - 1}") / F.col("g_0_0")).alias("_mean"))
+    both = stats.filter("_late = 1").join(first, by).join(chosen, by).filter((F.col("_n") >= least) & (F.col("g_0_0") >= least))
+    return both.mapInPandas(score, f"{types}, n_train long, n_test long, strength double, r2 double")
+
+
 def forward_baseline(df: DataFrame, by: list[str], order: str, target: str, split: float) -> DataFrame:
     """Per group: R2 after the split of two plain forecasts, the training mean and the previous value."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_finite
+from ..functions.special import chi2_p, correlation_p
 from .windows import average_rank, center
 
 
@@ -20,6 +21,11 @@ def _moments(df: DataFrame, by: list[str], x: str, y: str, least: int) -> DataFr
     return out.select(*by, "n", F.when(enough, F.col("_c") / (F.sqrt("_vx") * F.sqrt("_vy"))).alias("r"))
 
 
+def with_p(correlations: DataFrame, value: str = "rho", n: str = "n") -> DataFrame:
+    """Correlation rows with p, two-sided by Student's t; one vectorised call over result rows, none over the data."""
+    return correlations.withColumn("p", correlation_p(F.col(value), F.col(n)))
+
+
 def pearson(df: DataFrame, by: list[str], x: str, y: str, least: int = 3, group: list[str] | None = None) -> DataFrame:
     """n and r for each key over rows finite in both; with `group`, both are centred on the group's mean first.
 
@@ -190,7 +196,7 @@ def threshold(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square statistic and degrees of freedom of a contingency table.
+    """Chi-square statistic, degrees of freedom and p of a contingency table.
 
     The sum of o * o / e less the total: cells that do not occur add nothing to it, so no table of all pairs is made.
     """
@@ -198,7 +204,8 @@ def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     ra, rb = n.groupBy(a).agg(F.sum("o").alias("ra")), n.groupBy(b).agg(F.sum("o").alias("rb"))
     cells = n.join(ra, a).join(rb, b)
     out = cells.agg(F.sum("o").alias("t"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))).alias("s"), F.countDistinct(a).alias("na"), F.countDistinct(b).alias("nb"))
-    return out.select((F.col("t") * F.col("s") - F.col("t")).alias("chi2"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("dof"))
+    out = out.select((F.col("t") * F.col("s") - F.col("t")).alias("chi2"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("dof"))
+    return out.withColumn("p", chi2_p(F.col("chi2"), F.col("dof")))
 
 
 def shapley_r2(df: DataFrame, features: list[str], target: str, group: list[str] | None = None) -> DataFrame:

@@ -53,6 +53,8 @@ def _snapshot(s, d):
 
 
 register("mod_logo_huber", lambda s, d: mod.pooled_r2(fits.logo_huber(_z(s, d), "regime_id", ["x_z", "y_z"], "w_z"), "w_z", by=G), "regime_id n", "r2 rmse")
+register("mod_logo_ridge", lambda s, d: fits.logo_ridge(_z(s, d), "regime_id", ["x_z", "y_z"], "w_z"), "regime_id n", "strength r2 coef_intercept coef_x_z coef_y_z")
+register("mod_forward_ridge", lambda s, d: mod.forward_ridge(win.lag_design(_z(s, d), G, "cycle", ["w_z"], [1, 2]), G, "cycle", ["x_z", "w_z_lag1", "w_z_lag2"], "w_z", 18), "regime_id n_train n_test", "strength r2")
 register("mod_logo_logistic", lambda s, d: inf.auc(fits.logo_logistic(_rare(s, d), "regime_id", ["x_z", "y_z"], "rare"), G, "predicted", "rare"), "regime_id n", "auc")
 register("mod_brier", lambda s, d: fits.brier(fits.logo_logistic(_rare(s, d), "regime_id", ["x_z", "y_z"], "rare", balanced=True), "rare"), "", "brier accuracy")
 register("mod_loo_row", lambda s, d: fits.loo_row(_z(s, d), ["x_z"], "w_z"), "regime_id cycle", "predicted", PANEL + _ZSQL, """

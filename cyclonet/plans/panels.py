@@ -98,19 +98,27 @@ def _ranks(src: str, by: str, x: str, y: str) -> str:
     return f"SELECT *, rank() OVER ({only}ORDER BY {x}) + (count(*) OVER ({part}{x}) - 1) / 2.0::DOUBLE AS rx, rank() OVER ({only}ORDER BY {y}) + (count(*) OVER ({part}{y}) - 1) / 2.0::DOUBLE AS ry FROM {src}"
 
 
+def _p(r: str, n: str) -> str:
+    """SQL of the two-sided p of a correlation: Student's t has finite sums for whole degrees (even and odd)."""
+    c, df = f"(1 - {r} * {r})", f"({n} - 2)"
+    even = f"1 - abs({r}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln({c}))))"
+    odd = f"1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt({c}) * coalesce(list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln({c})))), 0))"
+    return f"CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
 _C = ", c AS (SELECT *, round(x - avg(x) OVER (PARTITION BY regime_id), 9) AS xc, round(y - avg(y) OVER (PARTITION BY regime_id), 9) AS yc, round(w - avg(w) OVER (PARTITION BY regime_id), 9) AS wc FROM panel)"
-register("st_spearman", lambda s, d: st.spearman(panel(s, d), G, "n", "w"), "regime_id n", "rho", PANEL, f"SELECT regime_id, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('panel', 'regime_id', 'n', 'w')}) GROUP BY 1")
-register("st_spearman_centred", lambda s, d: st.spearman(panel(s, d).withColumn("test", F.lit("x")), ["test"], "x", "w", 4, G), "test n", "rho", PANEL + _C, f"SELECT 'x' AS test, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('c', '', 'xc', 'wc')})")
-register("st_pearson", lambda s, d: st.pearson(panel(s, d), G, "x", "w"), "regime_id n", "r", PANEL, "SELECT regime_id, count(*) AS n, corr(x, w) AS r FROM panel GROUP BY 1")
+register("st_spearman", lambda s, d: st.with_p(st.spearman(panel(s, d), G, "n", "w")), "regime_id n", "rho p", PANEL, f"SELECT *, {_p('rho', 'n')} AS p FROM (SELECT regime_id, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('panel', 'regime_id', 'n', 'w')}) GROUP BY 1)")
+register("st_spearman_centred", lambda s, d: st.with_p(st.spearman(panel(s, d).withColumn("test", F.lit("x")), ["test"], "x", "w", 4, G)), "test n", "rho p", PANEL + _C, f"SELECT *, {_p('rho', 'n')} AS p FROM (SELECT 'x' AS test, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('c', '', 'xc', 'wc')}))")
+register("st_pearson", lambda s, d: st.with_p(st.pearson(panel(s, d), G, "x", "w"), "r"), "regime_id n", "r p", PANEL, f"SELECT *, {_p('r', 'n')} AS p FROM (SELECT regime_id, count(*) AS n, corr(x, w) AS r FROM panel GROUP BY 1)")
 register("st_pair_table", lambda s, d: st.pair_table(panel(s, d), ["x", "y"], ["w"], G), "predictor target n", "rho r", PANEL + _C,
   f"SELECT 'x' AS predictor, 'w' AS target, count(*) AS n, corr(rx, ry) AS rho, corr(xc, wc) AS r FROM ({_ranks('c', '', 'xc', 'wc')}) UNION ALL SELECT 'y', 'w', count(*), corr(rx, ry), corr(yc, wc) FROM ({_ranks('c', '', 'yc', 'wc')})")
 register("st_group_profile", lambda s, d: st.group_profile(panel(s, d), G, "x", "w"), "groups", "mean_rho min_rho max_rho mean_abs_rho", PANEL,
   f"SELECT count(rho) AS groups, avg(rho) AS mean_rho, min(rho) AS min_rho, max(rho) AS max_rho, avg(abs(rho)) AS mean_abs_rho FROM (SELECT regime_id, corr(rx, ry) AS rho FROM ({_ranks('panel', 'regime_id', 'x', 'w')}) GROUP BY 1)")
-register("st_leave_one_corr", lambda s, d: st.leave_one_out(panel(s, d), "regime_id", "x", "w"), "left_out n", "rho", PANEL + _C + ", l AS (SELECT c.*, g.regime_id AS left_out FROM c JOIN (SELECT DISTINCT regime_id FROM c) g ON c.regime_id <> g.regime_id)",
-  f"SELECT left_out, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('l', 'left_out', 'xc', 'wc')}) GROUP BY 1")
+register("st_leave_one_corr", lambda s, d: st.with_p(st.leave_one_out(panel(s, d), "regime_id", "x", "w")), "left_out n", "rho p", PANEL + _C + ", l AS (SELECT c.*, g.regime_id AS left_out FROM c JOIN (SELECT DISTINCT regime_id FROM c) g ON c.regime_id <> g.regime_id)",
+  f"SELECT *, {_p('rho', 'n')} AS p FROM (SELECT left_out, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('l', 'left_out', 'xc', 'wc')}) GROUP BY 1)")
 _LAG = ", r AS (SELECT *, row_number() OVER (PARTITION BY regime_id ORDER BY cycle) AS i FROM panel), l AS (SELECT a.regime_id, a.cycle, CAST(k.k AS INTEGER) AS lag, a.w AS y, b.x FROM r a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) k JOIN r b ON a.regime_id = b.regime_id AND b.i = a.i - k.k)"
-register("st_lag_scan", lambda s, d: st.lag_scan(panel(s, d), G, "cycle", "x", "w", [0, 1, 2, 3]), "lag n", "rho", PANEL + _LAG + ", lc AS (SELECT lag, round(x - avg(x) OVER (PARTITION BY lag, regime_id), 9) AS xc, round(y - avg(y) OVER (PARTITION BY lag, regime_id), 9) AS yc FROM l)",
-  f"SELECT lag, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('lc', 'lag', 'xc', 'yc')}) GROUP BY 1")
+register("st_lag_scan", lambda s, d: st.with_p(st.lag_scan(panel(s, d), G, "cycle", "x", "w", [0, 1, 2, 3])), "lag n", "rho p", PANEL + _LAG + ", lc AS (SELECT lag, round(x - avg(x) OVER (PARTITION BY lag, regime_id), 9) AS xc, round(y - avg(y) OVER (PARTITION BY lag, regime_id), 9) AS yc FROM l)",
+  f"SELECT *, {_p('rho', 'n')} AS p FROM (SELECT lag, count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks('lc', 'lag', 'xc', 'yc')}) GROUP BY 1)")
 register("st_autocorr", lambda s, d: st.autocorrelation(panel(s, d), G, "cycle", "w", [1, 2, 3]), "regime_id lag n", "r", PANEL + ", r AS (SELECT *, row_number() OVER (PARTITION BY regime_id ORDER BY cycle) AS i FROM panel)",
   "SELECT a.regime_id, CAST(k.k AS INTEGER) AS lag, count(*) AS n, corr(b.w, a.w) AS r FROM r a CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) k JOIN r b ON a.regime_id = b.regime_id AND b.i = a.i - k.k GROUP BY 1, 2")
 register("st_theil_sen", lambda s, d: st.theil_sen(panel(s, d), G, "cycle", "w"), "regime_id", "slope", PANEL, "SELECT a.regime_id, quantile_cont((b.w - a.w) / (b.cycle - a.cycle), 0.5) AS slope FROM panel a JOIN panel b ON a.regime_id = b.regime_id AND a.cycle < b.cycle GROUP BY 1")
@@ -133,9 +141,10 @@ register("st_threshold", lambda s, d: st.threshold(win.rare_flag(panel(s, d), G,
   WITH r AS (SELECT p.x AS s, CAST(w >= q AS INT) AS l FROM panel p JOIN (SELECT regime_id, quantile_cont(w, 0.8) AS q FROM panel GROUP BY 1) t ON p.regime_id = t.regime_id), v AS (SELECT DISTINCT s FROM r), m AS (SELECT (s + lag(s) OVER (ORDER BY s)) / 2 AS cut FROM v),
   e AS (SELECT cut, sum(CAST(l = 1 AND s >= cut AS INT)) / sum(l)::DOUBLE AS sensitivity, sum(CAST(l = 0 AND s < cut AS INT)) / sum(1 - l)::DOUBLE AS specificity FROM m CROSS JOIN r WHERE cut IS NOT NULL GROUP BY 1)
   SELECT cut, sensitivity, specificity, (sensitivity + specificity) / 2 AS balanced_accuracy FROM e ORDER BY round((sensitivity + specificity) / 2, 12) DESC, cut LIMIT 1""")
-register("st_chi2", lambda s, d: st.chi2(contacts(s, d), "run", "phase"), "dof", "chi2", CONTACTS, """
+register("st_chi2", lambda s, d: st.chi2(contacts(s, d), "run", "phase"), "dof", "chi2 p", CONTACTS, """
   WITH n AS (SELECT run, phase, count(*) AS o FROM contacts GROUP BY 1, 2), e AS (SELECT a.run, b.phase, a.t * b.t / (SELECT sum(o) FROM n)::DOUBLE AS e FROM (SELECT run, sum(o) AS t FROM n GROUP BY 1) a CROSS JOIN (SELECT phase, sum(o) AS t FROM n GROUP BY 1) b)
-  SELECT (count(DISTINCT e.run) - 1) * (count(DISTINCT e.phase) - 1) AS dof, sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS chi2 FROM e LEFT JOIN n ON e.run = n.run AND e.phase = n.phase""")
+  SELECT *, exp(-chi2 / 2) * list_sum(list_transform(range(0, CAST(dof // 2 AS BIGINT)), lambda k: pow(chi2 / 2, k) / gamma(k + 1))) AS p FROM (
+  SELECT (count(DISTINCT e.run) - 1) * (count(DISTINCT e.phase) - 1) AS dof, sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS chi2 FROM e LEFT JOIN n ON e.run = n.run AND e.phase = n.phase)""")  # p: the finite sum for an even number of degrees
 
 
 

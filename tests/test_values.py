@@ -202,23 +202,94 @@ def auc(y, s):
     return np.mean([1.0 if a > b else 0.5 if a == b else 0.0 for a in s[y == 1] for b in s[y == 0]])
 
 
+def huber_loss(x, y, w, s, epsilon, alpha):
+    """The objective on features as given; w has the intercept first."""
+    r = np.abs(y - np.c_[np.ones(len(x)), x] @ w)
+    return len(y) * s + np.where(r <= epsilon * s, r * r / s, 2 * epsilon * r - epsilon**2 * s).sum() + alpha * (w[1:] ** 2).sum()
+
+
+def plain_huber(x, y, epsilon=1.35, alpha=1e-4):
+    """The joint minimiser by reweighting, coefficients of the features as given; features are scaled inside."""
+    m, d = x.mean(0), x.std(0)
+    z = (x - m) / d
+    a = np.c_[np.ones(len(z)), z]
+    w, s = least_squares(z, y), 1.0
+    for _ in range(20_000):
+        r = np.abs(y - a @ w)
+        weight = np.minimum(1, epsilon * s / np.maximum(r, 1e-300))
+        new = np.linalg.solve((a * weight[:, None]).T @ a + alpha * s * np.diag([0.0, *np.ones(len(d))]), a.T @ (weight * y))
+        inside = np.abs(y - a @ new) <= epsilon * s
+        t = np.sqrt(((y - a @ new)[inside] ** 2).sum() / (len(y) - epsilon**2 * (~inside).sum()))
+        done = max(np.abs(new - w).max(), abs(t - s)) < 1e-14
+        w, s = new, t
+        if done:
+            break
+    best = huber_loss(z, y, w, s, epsilon, alpha)
+    for k in range(len(w) + 1):  # it is a minimum: no step along an axis is better
+        for h in (1e-4, -1e-4):
+            step = np.zeros(len(w) + 1)
+            step[k] = h
+            assert huber_loss(z, y, w + step[:-1], s + step[-1], epsilon, alpha) > best
+    return np.r_[w[0] - (w[1:] / d * m).sum(), w[1:] / d]
+
+
 def test_huber(spark, panel):
     got = run(spark, "mod_logo_huber").set_index("regime_id")
     for g, f in panel.groupby("regime_id"):
         rest = panel[panel["regime_id"] != g]
-        x, y = rest[["x_z", "y_z"]].to_numpy(), rest["w_z"].to_numpy()
-        w = least_squares(x, y)
-        for _ in range(20):
-            e = np.abs(y - np.c_[np.ones(len(x)), x] @ w)
-            new = least_squares(x, y, np.minimum(1, 1.35 * np.median(e) / 0.6745 / np.maximum(e, 1e-12)))
-            done = np.abs(new - w).max() < 1e-8
-            w = new
-            if done:
-                break
+        w = plain_huber(rest[["x_z", "y_z"]].to_numpy(), rest["w_z"].to_numpy())
         e = f["w_z"] - np.c_[np.ones(len(f)), f[["x_z", "y_z"]]] @ w
         assert near(got.loc[g, ["n", "r2", "rmse"]], [len(f), 1 - (e**2).mean() / f["w_z"].var(ddof=0), np.sqrt((e**2).mean())])
 
 
+def test_huber_coefficients(spark):
+    """Heavy tails, features of unlike scales, folds beyond one block."""
+    r = np.random.default_rng(7)
+    n = 900
+    x = r.normal(size=(n, 2)) * [3.0, 0.1] + [10.0, -2.0]
+    y = x @ [0.5, -4.0] + r.standard_t(1.3, n)
+    g = np.repeat([f"g{k}" for k in range(300)], 3)
+    d = spark.createDataFrame([(g[i], *map(float, x[i]), float(y[i])) for i in range(n)], "g string, a double, b double, y double").repartition(4)
+    groups = sorted(set(g))
+    got = fits.huber_coefficients(d, "g", groups, ["a", "b"], "y", 1.35, 1e-4, True, 60)
+    for k in (groups[0], groups[137], groups[299]):
+        assert np.abs(got[k] - plain_huber(x[g != k], y[g != k])).max() < 1e-6
+
+
+def plain_ridge(x, y, strengths=(0.01, 0.1, 1.0, 10.0, 100.0)):
+    """Refits without each row in turn; features scaled once over all of them."""
+    m, d = x.mean(0), x.std(0)
+    z = (x - m) / d
+    fit = lambda keep, a: least_squares(z[keep], y[keep], ridge=[0.0, *[a] * z.shape[1]])
+    error = [sum((y[i] - np.r_[1, z[i]] @ fit(np.arange(len(y)) != i, a)) ** 2 for i in range(len(y))) for a in strengths]
+    a = strengths[int(np.argmin(error))]
+    w = fit(np.ones(len(y), bool), a)
+    return a, np.r_[w[0] - (w[1:] / d * m).sum(), w[1:] / d]
+
+
+def test_ridge_strength_by_refits(spark, panel):
+    got = run(spark, "mod_logo_ridge").set_index("regime_id")
+    for g, f in panel.groupby("regime_id"):
+        rest = panel[panel["regime_id"] != g]
+        a, w = plain_ridge(rest[["x_z", "y_z"]].to_numpy(), rest["w_z"].to_numpy())
+        e = f["w_z"] - np.c_[np.ones(len(f)), f[["x_z", "y_z"]]] @ w
+        r2 = 1 - (e**2).sum() / ((f["w_z"] - rest["w_z"].mean()) ** 2).sum()
+        assert near(got.loc[g, ["n", "strength", "r2", "coef_intercept", "coef_x_z", "coef_y_z"]], [len(f), a, r2, *w])
+    got = run(spark, "mod_forward_ridge").set_index("regime_id")
+    for g, f in panel.groupby("regime_id"):
+        f = f.assign(l1=f["w_z"].shift(1), l2=f["w_z"].shift(2)).dropna()
+        a, b = f[f["cycle"] <= 18], f[f["cycle"] > 18]
+        strength, w = plain_ridge(a[["x_z", "l1", "l2"]].to_numpy(), a["w_z"].to_numpy())
+        e = b["w_z"] - np.c_[np.ones(len(b)), b[["x_z", "l1", "l2"]]] @ w
+        assert near(got.loc[g, ["n_train", "n_test", "strength", "r2"]], [len(a), len(b), strength, 1 - (e**2).sum() / ((b["w_z"] - a["w_z"].mean()) ** 2).sum()])
+
+
+def test_ridge_ties_take_the_first(spark):
+    rows = [(f"g{i % 3}", float(i % 4), 0.0) for i in range(12)]
+    out = fits.logo_ridge(spark.createDataFrame(rows, "g string, x double, y double"), "g", ["x"], "y", (5.0, 1.0, 2.0)).collect()
+    assert {r["strength"] for r in out} == {5.0}
+
+
 @pytest.mark.parametrize("balanced", [False, True])
 def test_logistic_by_group(spark, panel, balanced):
     prob = np.zeros(len(panel))
