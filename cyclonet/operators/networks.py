@@ -340,13 +340,35 @@ def percolation_row(out: pd.DataFrame, value: str) -> dict:
 PERCOLATION = "contacts long, value_sum double, value_mean double, value_p99 double, loop_births long, loop_fraction double, loop_value_share double, " + ", ".join(f"giant_top{round(100 * p)} double, share_top{round(100 * p)} double" for p in MARKS) + ", giant_half_fraction double"
 
 
-def percolation(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
-    """One row a state: totals, giant and value shares after the top edges, loop births and their share of the value."""
+#: Columns of the first edge fraction at which one tree touches two sides, and the bits of (bottom, top, side).
+TOUCHING = {"bottom_top": 0b011, "bottom_side": 0b101}
+
+
+def percolation(contacts: DataFrame, keys: list[str], value: str = "force", nodes: DataFrame | None = None, local: int = PART_EDGES, part: int = PART_EDGES) -> DataFrame:
+    """One row a state: totals, giant and value shares after the top edges, loop births and their share of the value.
+
+    With nodes (id and the flags bottom, top, side) also the edge fractions at which one tree first touches bottom and top,
+    and bottom and side (null: never). States are one grouped call each while the largest has at most `local` edges; beyond
+    that, trees grow by joins over blocks of `part` edges (`mergetree`), with the same results.
+    """
+    sides = ("bottom", "top", "side")
+    flagged = contacts.select(*keys, "id1", "id2", value)
+    flagged = flagged.withColumns({"_f1": F.lit(0), "_f2": F.lit(0)}) if nodes is None else _flagged(flagged, nodes, keys, sides)
+    pairs = {} if nodes is None else TOUCHING
+    most = contacts.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most > local:
+        from . import mergetree
+
+        return mergetree.percolation_rows(mergetree.filtration_trees(flagged, keys, value, local, part), keys, value, MARKS, pairs)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{k: f[k].iloc[0] for k in keys} | percolation_row(run_filtration(f, descending(f, value)), value)])
+        out = run_filtration(f, descending(f, value), _marks(f))
+        first = {name: np.flatnonzero((out["touch"].to_numpy() & bits) == bits) for name, bits in pairs.items()}
+        row = percolation_row(out, value) | {name: (at[0] + 1) / len(out) if len(at) else np.nan for name, at in first.items()}
+        return pd.DataFrame([{k: f[k].iloc[0] for k in keys} | row])
 
-    return per_state(contacts, keys, ["id1", "id2", value], PERCOLATION, run)
+    rows = per_state(flagged, keys, ["id1", "id2", value, "_f1", "_f2"], PERCOLATION + "".join(f", {name} double" for name in pairs), run)
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("loop_value_share", "giant_half_fraction", *pairs)})
 
 
 def spanning_percolation(contacts: DataFrame, nodes: DataFrame, keys: list[str], sides: tuple[str, str] = ("bottom", "top"), value: str = "force") -> DataFrame:

@@ -72,10 +72,27 @@ register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9),
   SELECT l.*, e.edges FROM (SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) l
   JOIN (SELECT run, cycle, phase, count(*) AS edges FROM strong GROUP BY 1, 2, 3) e ON l.run = e.run AND l.cycle = e.cycle AND l.phase = e.phase""")
 register("topo_cycle_edges", lambda s, d: net.filtration_edges(contacts(s, d), STATE).groupBy(*STATE).agg(F.count("*").alias("edges"), F.sum(F.col("closes").cast("long")).alias("loops"), F.min(F.when(F.col("closes"), F.col("rank"))).alias("first")), "run cycle phase edges loops first")
-register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase contacts", "value_sum value_mean value_p99 share_top1 share_top5 share_top10", CONTACTS, """
-  SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, quantile_cont(force, 0.99) AS value_p99, sum(force) FILTER (i - 1 < c1) / sum(force) AS share_top1, sum(force) FILTER (i - 1 < c5) / sum(force) AS share_top5, sum(force) FILTER (i - 1 < c10) / sum(force) AS share_top10
-  FROM (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force DESC, id1, id2) AS i, ceil(n * 0.01::DOUBLE - 1e-9) AS c1, ceil(n * 0.05::DOUBLE - 1e-9) AS c5, ceil(n * 0.1::DOUBLE - 1e-9) AS c10
-  FROM (SELECT *, count(*) OVER (PARTITION BY run, cycle, phase) AS n FROM contacts)) GROUP BY 1, 2, 3""")
+_RANKED = NODES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force DESC, id1, id2) AS i, count(*) OVER (PARTITION BY run, cycle, phase) AS m FROM contacts),
+  marked AS (SELECT run, cycle, phase, mark, id1, id2 FROM ranked CROSS JOIN (SELECT unnest([1, 5, 10, 100]) AS mark) WHERE (i - 1) / m::DOUBLE < mark / 100.0::DOUBLE),
+  both_ AS (SELECT run, cycle, phase, mark, id1 AS a, id2 AS b FROM marked UNION SELECT run, cycle, phase, mark, id2, id1 FROM marked),
+  label(run, cycle, phase, mark, node, component) USING KEY (run, cycle, phase, mark, node) AS (SELECT run, cycle, phase, mark, a, least(a, min(b)) FROM both_ GROUP BY 1, 2, 3, 4, 5
+  UNION SELECT c.run, c.cycle, c.phase, c.mark, c.node, min(p.component) FROM label p JOIN both_ e ON e.run = p.run AND e.cycle = p.cycle AND e.phase = p.phase AND e.mark = p.mark AND e.a = p.node
+  JOIN recurring.label c ON c.run = p.run AND c.cycle = p.cycle AND c.phase = p.phase AND c.mark = p.mark AND c.node = e.b WHERE p.component < c.component GROUP BY 1, 2, 3, 4, 5),
+  flagged AS (SELECT n.run, n.cycle, n.phase, n.id, z <= lo AS bottom, z >= hi AS top, sqrt(x * x + y * y) >= rh AS side FROM nodes n JOIN (SELECT run, cycle, phase, quantile_cont(z, 0.03) AS lo, quantile_cont(z, 0.97) AS hi,
+  quantile_cont(sqrt(x * x + y * y), 0.97) AS rh FROM nodes GROUP BY 1, 2, 3) q ON n.run = q.run AND n.cycle = q.cycle AND n.phase = q.phase),
+  steps AS (SELECT run, cycle, phase, i, id1 AS a, id2 AS b FROM ranked UNION ALL SELECT run, cycle, phase, i, id2, id1 FROM ranked),
+  reach(run, cycle, phase, node, cost) USING KEY (run, cycle, phase, node) AS (SELECT s.run, s.cycle, s.phase, s.a, CASE WHEN bool_or(f.bottom) THEN min(s.i) ELSE 1000000000 END FROM steps s JOIN flagged f ON f.run = s.run AND f.cycle = s.cycle AND f.phase = s.phase AND f.id = s.a GROUP BY 1, 2, 3, 4
+  UNION SELECT c.run, c.cycle, c.phase, c.node, min(greatest(p.cost, s.i)) FROM reach p JOIN steps s ON s.run = p.run AND s.cycle = p.cycle AND s.phase = p.phase AND s.a = p.node
+  JOIN recurring.reach c ON c.run = p.run AND c.cycle = p.cycle AND c.phase = p.phase AND c.node = s.b WHERE greatest(p.cost, s.i) < c.cost GROUP BY 1, 2, 3, 4)"""
+# Giants by components of the first edges; spans by the least greatest rank on a path from the bottom.
+register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE, nodes=fr.boundary_flags(nodes(s, d).withColumn("r", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), STATE, r="r")), "run cycle phase contacts loop_births", "value_sum value_mean value_p99 share_top1 share_top5 share_top10 loop_fraction giant_top1 giant_top5 giant_top10 bottom_top bottom_side", "RECURSIVE " + _RANKED, """
+  WITH sums AS (SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, quantile_cont(force, 0.99) AS value_p99, sum(force) FILTER ((i - 1) / m::DOUBLE < 0.01::DOUBLE) / sum(force) AS share_top1,
+  sum(force) FILTER ((i - 1) / m::DOUBLE < 0.05::DOUBLE) / sum(force) AS share_top5, sum(force) FILTER ((i - 1) / m::DOUBLE < 0.1::DOUBLE) / sum(force) AS share_top10 FROM ranked GROUP BY 1, 2, 3),
+  parts AS (SELECT run, cycle, phase, mark, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4, 5),
+  giants AS (SELECT run, cycle, phase, max(n) FILTER (mark = 1) AS g1, max(n) FILTER (mark = 5) AS g5, max(n) FILTER (mark = 10) AS g10, CAST(sum(n) FILTER (mark = 100) AS BIGINT) AS nodes, count(*) FILTER (mark = 100) AS comps FROM parts GROUP BY 1, 2, 3),
+  spans AS (SELECT r.run, r.cycle, r.phase, min(cost) FILTER (top AND cost < 1000000000) AS bt, min(cost) FILTER (side AND cost < 1000000000) AS bs FROM reach r JOIN flagged f ON f.run = r.run AND f.cycle = r.cycle AND f.phase = r.phase AND f.id = r.node GROUP BY 1, 2, 3)
+  SELECT s.*, contacts - nodes + comps AS loop_births, (contacts - nodes + comps) / contacts::DOUBLE AS loop_fraction, g1 / nodes::DOUBLE AS giant_top1, g5 / nodes::DOUBLE AS giant_top5, g10 / nodes::DOUBLE AS giant_top10,
+  bt / contacts::DOUBLE AS bottom_top, bs / contacts::DOUBLE AS bottom_side FROM sums s JOIN giants g ON g.run = s.run AND g.cycle = s.cycle AND g.phase = s.phase JOIN spans p ON p.run = s.run AND p.cycle = s.cycle AND p.phase = s.phase""")
 register("topo_loops", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase loop_births", "loop_fraction loop_value_share giant_top1 giant_top5 giant_top10 giant_half_fraction")
 register("topo_spanning", lambda s, d: net.spanning_percolation(contacts(s, d), fr.boundary_flags(nodes(s, d), STATE), STATE), "run cycle phase", "span_fraction")
 register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share giant_share value_share")

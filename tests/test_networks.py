@@ -161,3 +161,29 @@ def test_cores_of_a_star_and_of_drawn_graphs(spark):
                     left[y].discard(x)
     df = spark.createDataFrame([("s", *p) for p in pairs], "state string, id1 long, id2 long")
     assert {x["node"]: x["core"] for x in net.kcore(df, ["state"]).collect()} == want
+
+
+@pytest.mark.parametrize("local,part", [(0, 40), (20, 12)])
+def test_percolation_of_states_larger_than_a_task(spark, local, part):
+    """Cut into parts and blocks, every column is as a single task has it."""
+    import random
+
+    r = random.Random(local + part)
+    rows = []
+    for state, n, m in (("a", 40, 120), ("b", 200, 150), ("c", 9, 36), ("d", 2, 1)):
+        pairs = set()
+        while len(pairs) < min(m, n * (n - 1) // 2):
+            a, b = r.sample(range(n), 2)
+            pairs.add((min(a, b), max(a, b)))
+        rows += [(state, a, b, float(r.randint(1, 30))) for a, b in pairs]
+    df = spark.createDataFrame(rows, "state string, id1 long, id2 long, force double")
+    ids = sorted({(x[0], i) for x in rows for i in x[1:3]})
+    sides = spark.createDataFrame([(s, i, r.random() < 0.1, r.random() < 0.1, r.random() < 0.1) for s, i in ids], "state string, id long, bottom boolean, top boolean, side boolean")
+    for nodes in (None, sides):
+        whole = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=nodes).collect()}
+        cut = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=nodes, local=local, part=part).collect()}
+        assert set(cut) == set(whole) == set("abcd")
+        for k in whole:
+            assert set(cut[k]) == set(whole[k])
+            for c, v in whole[k].items():
+                assert (cut[k][c] is None) == (v is None) and (v is None or cut[k][c] == pytest.approx(v)), (k, c)
