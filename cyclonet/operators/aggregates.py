@@ -39,11 +39,17 @@ def top_share(df: DataFrame, by: list[str], col: str, p: float) -> DataFrame:
     return r.groupBy(*by).agg((top / F.sum("_x")).alias("share"))
 
 
-def tail(df: DataFrame, by: list[str], col: str, qs: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
-    """Mean, exact quantiles, maximum and the quantiles' ratios to the mean."""
+def tail(df: DataFrame, by: list[str], col: str, qs: tuple[float, ...] = (0.9, 0.95, 0.99), error: float | None = None) -> DataFrame:
+    """Mean, quantiles, maximum and the quantiles' ratios to the mean; approximate says which quantiles they are.
+
+    Exact ones hold a group's distinct values in one buffer. With `error` they come from a mergeable sketch of bounded size:
+    a value of the group whose rank is off by at most error x rows, so 1e-5 tells the 99.9 % quantile to a hundredth of its
+    tail.
+    """
     names = {q: "p" + f"{100 * q:g}".replace(".", "_") for q in qs}
-    out = df.groupBy(*by).agg(F.avg(col).alias("mean"), F.max(col).alias("max"), *(F.expr(f"percentile({col}, {q})").alias(n) for q, n in names.items()))
-    return out.withColumns({f"{n}_over_mean": F.col(n) / F.col("mean") for n in names.values()})
+    one = lambda q: F.expr(f"percentile({col}, {q})") if error is None else F.percentile_approx(col, q, max(1, round(1 / error)))
+    out = df.groupBy(*by).agg(F.avg(col).alias("mean"), F.max(col).alias("max"), *(one(q).alias(n) for q, n in names.items()))
+    return out.withColumns({f"{n}_over_mean": F.col(n) / F.col("mean") for n in names.values()} | {"approximate": F.lit(error is not None)})
 
 
 def fabric(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:

@@ -143,3 +143,24 @@ def percolation_rows(trees: DataFrame, keys: list[str], value: str, marks: tuple
     out.append(at(F.col("size") >= 0.5 * F.col("_nodes")).alias("giant_half_fraction"))
     out += [at(F.col("sides").bitwiseAND(bits) == bits).alias(name) for name, bits in pairs.items()]
     return t.groupBy(*keys).agg(*out)
+
+
+def curve_rows(trees: DataFrame, keys: list[str], value: str, fractions: tuple[float, ...]) -> DataFrame:
+    """The rows of `networks.filtration_curve` for each state of `filtration_trees`, by one aggregation."""
+    nodes = trees.select(*keys, F.explode(F.array("id1", "id2")).alias("node")).distinct().groupBy(*keys).agg(F.count("*").alias("_nodes"))
+    t = trees.withColumn("_v", F.col(value).cast("double")).join(nodes, keys)
+    loop = F.col("size").isNull()
+    rows = []
+    for i, p in enumerate(fractions):
+        k = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("edges")))
+        on = F.col("rank") <= k
+        rows += [
+            F.max(k).alias(f"_k{i}"), F.sum((on & loop).cast("long")).alias(f"_b{i}"), F.sum(F.when(on & loop, F.col("_v")).otherwise(0.0)).alias(f"_l{i}"),
+            F.sum(F.when(on, F.col("_v")).otherwise(0.0)).alias(f"_a{i}"), F.max(F.when(on, F.col("size"))).alias(f"_g{i}"),
+        ]
+    out = t.groupBy(*keys).agg(F.sum("_v").alias("_t"), F.max("_nodes").alias("_n"), *rows)
+    line = lambda i, p: F.struct(
+        F.lit(p).alias("fraction"), (F.col(f"_b{i}") / F.col(f"_k{i}")).alias("loop_rate"), (F.col(f"_l{i}") / F.greatest(F.col(f"_a{i}"), F.lit(1e-300))).alias("loop_share"), (F.col(f"_l{i}") / F.col("_t")).alias("loop_total_share"),
+        (F.col(f"_g{i}") / F.col("_n")).alias("giant_share"), (F.col(f"_a{i}") / F.col("_t")).alias("value_share"),
+    )
+    return out.select(*keys, F.inline(F.array(*(line(i, p) for i, p in enumerate(fractions)))))

@@ -132,16 +132,17 @@ def beta1(edges: DataFrame, keys: list[str], nodes: DataFrame | None = None) ->
     return out.withColumns({"loops_per_node": F.col("loops") / F.col("nodes"), "loops_per_edge": F.when(F.col("edges") > 0, F.col("loops") / F.col("edges"))})
 
 
-def spanning(edges: DataFrame, keys: list[str], nodes: DataFrame, flags: tuple[str, ...] = ("bottom", "top")) -> DataFrame:
-    """Does a component touch all flagged sides; the greatest z span of a component over the state's height."""
+def spanning(edges: DataFrame, keys: list[str], nodes: DataFrame) -> DataFrame:
+    """Components that touch bottom and top, and bottom and side; the greatest z span of a component over the state's
+    height; the share of edges with an end on the bottom or the side. nodes: id, z and the flags bottom, top, side."""
     c = component_labels(edges, keys, nodes).join(nodes.withColumnRenamed("id", "node"), [*keys, "node"])
-    per = c.groupBy(*keys, "component").agg(*(F.max(f).alias(f) for f in flags), (F.max("z") - F.min("z")).alias("_span"))
+    per = c.groupBy(*keys, "component").agg(*(F.max(f).alias(f) for f in ("bottom", "top", "side")), (F.max("z") - F.min("z")).alias("_span"))
     height = nodes.groupBy(*keys).agg((F.max("z") - F.min("z")).alias("_height"))
-    touch = F.lit(True)
-    for f in flags:
-        touch = touch & F.col(f)
-    out = per.groupBy(*keys).agg(F.sum(touch.cast("long")).alias("spanning_components"), F.max("_span").alias("_s")).join(height, keys)
-    return out.select(*keys, "spanning_components", F.when(F.col("_height") > 0, F.col("_s") / F.col("_height")).alias("span"))
+    flagged = _flagged(edges.select(*keys, "id1", "id2").distinct(), nodes, keys, ("bottom", "side"))
+    border = flagged.groupBy(*keys).agg(F.avg(((F.col("_f1") > 0) | (F.col("_f2") > 0)).cast("double")).alias("boundary_edge_share"))
+    both = lambda a, b: F.sum((F.col(a) & F.col(b)).cast("long"))
+    out = per.groupBy(*keys).agg(both("bottom", "top").alias("spanning_components"), both("bottom", "side").alias("bottom_side_components"), F.max("_span").alias("_s")).join(height, keys).join(border, keys, "left")
+    return out.select(*keys, "spanning_components", "bottom_side_components", F.when(F.col("_height") > 0, F.col("_s") / F.col("_height")).alias("span"), "boundary_edge_share")
 
 
 def kcore(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,7 +173,7 @@ def kcore_stats(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def triangles(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Triangles, wedges and transitivity per state; edges are directed from the lower-degree end, so hubs fan out little."""
+    """Triangles, wedges, triangles a node (density) and transitivity per state; edges are directed from the lower-degree end, so hubs fan out little."""
     e = edges.select(*keys, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).filter("id1 <> id2").distinct()
     d = degrees(e, keys)
     for k in "12":
@@ -182,18 +183,36 @@ def triangles(edges: DataFrame, keys: list[str]) -> DataFrame:
     two = o.join(o.withColumnRenamed("b", "c"), [*keys, "a"]).filter("b < c")
     close = e.select(*keys, F.col("id1").alias("b"), F.col("id2").alias("c"))
     t = two.join(close, [*keys, "b", "c"]).groupBy(*keys).agg(F.count("*").alias("triangles"))
-    wedges = d.groupBy(*keys).agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).cast("long").alias("wedges"))
+    wedges = d.groupBy(*keys).agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).cast("long").alias("wedges"), F.count("*").alias("_nodes"))
     out = wedges.join(t, keys, "left").fillna(0, ["triangles"])
-    return out.withColumn("transitivity", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")))
+    return out.withColumn("density", F.col("triangles") / F.col("_nodes")).drop("_nodes").withColumn("transitivity", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")))
 
 
-def backbone(contacts: DataFrame, keys: list[str], q: float = 0.9, force: str = "force") -> DataFrame:
-    """The sub-network at or above the state's force quantile: edges, nodes, components and the largest one's nodes."""
-    cut = contacts.groupBy(*keys).agg(F.expr(f"percentile({force}, {q})").alias("_q"))
-    strong = contacts.join(cut, keys).filter(F.col(force) >= F.col("_q"))
-    labels = component_labels(strong, keys)
-    sizes = labels.groupBy(*keys, "component").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("nodes"), F.count("*").alias("components"), F.max("_n").alias("largest"))
-    return strong.groupBy(*keys).agg(F.count("*").alias("edges")).join(sizes, keys)
+def backbone(contacts: DataFrame, keys: list[str], q: float = 0.9, force: str = "force", nodes: DataFrame | None = None, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """The sub-network at or above the state's force quantile: edges, their share of all, nodes, components; nodes and edges
+    of the largest component (of equal ones that of the least node).
+
+    With nodes (id, x, y, z): the largest component's z span, over the height of all nodes too, and whether it touches the
+    lowest and highest share of z and the highest of the distance from the axis.
+    """
+    cut = contacts.groupBy(*keys).agg(F.expr(f"percentile({force}, {q})").alias("_q"), F.count("*").alias("_all"))
+    strong = materialize(contacts.join(cut, keys).filter(F.col(force) >= F.col("_q")).select(*keys, "id1", "id2", "_all"))
+    labels = materialize(component_labels(strong, keys))
+    edges = strong.join(labels.withColumnRenamed("node", "id1"), [*keys, "id1"]).groupBy(*keys, "component").agg(F.count("*").alias("_e"), F.max("_all").alias("_all"))
+    sizes = labels.groupBy(*keys, "component").agg(F.count("*").alias("_n")).join(edges, [*keys, "component"])
+    largest = F.max(F.struct("_n", (-F.col("component")).alias("_c"), "_e"))
+    out = sizes.groupBy(*keys).agg(F.sum("_e").alias("edges"), (F.sum("_e") / F.max("_all")).alias("edge_share"), F.sum("_n").alias("nodes"), F.count("*").alias("components"), largest.alias("_l"))
+    out = out.select(*keys, "edges", "edge_share", "nodes", "components", F.col("_l._n").alias("largest"), F.col("_l._e").alias("largest_edges"), (-F.col("_l._c")).alias("_component"))
+    if nodes is None:
+        return out.drop("_component")
+    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)
+    bed = nodes.select(*keys, F.col("id").alias("node"), "z", r.alias("_r"))
+    cuts = bed.groupBy(*keys).agg(F.expr(f"percentile(z, {low})").alias("_lo"), F.expr(f"percentile(z, {high})").alias("_hi"), F.expr(f"percentile(_r, {high})").alias("_rh"), (F.max("z") - F.min("z")).alias("_height"))
+    inside = labels.join(out.select(*keys, F.col("_component").alias("component")), [*keys, "component"]).join(bed, [*keys, "node"]).join(cuts, keys)
+    touch = {"touches_bottom": F.col("z") <= F.col("_lo"), "touches_top": F.col("z") >= F.col("_hi"), "touches_side": F.col("_r") >= F.col("_rh")}
+    span = F.max("z") - F.min("z")
+    more = inside.groupBy(*keys).agg(span.alias("z_span"), F.when(F.max("_height") > 0, span / F.max("_height")).alias("z_span_norm"), *(F.max(v).alias(k) for k, v in touch.items()))
+    return out.drop("_component").join(more, keys, "left")
 
 
 class Forest:
@@ -382,21 +401,44 @@ def spanning_percolation(contacts: DataFrame, nodes: DataFrame, keys: list[str],
     return per_state(_flagged(contacts, nodes, keys, sides), keys, ["id1", "id2", value, "_f1", "_f2"], "span_fraction double", run)
 
 
-def filtration_curve(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
-    """Long form over edge fractions: loop births per rank, loop value share so far, giant share, added value share."""
+CURVE = ("loop_rate", "loop_share", "loop_total_share", "giant_share", "value_share")
+
+
+def filtration_curve(contacts: DataFrame, keys: list[str], value: str = "force", local: int = PART_EDGES, part: int = PART_EDGES) -> DataFrame:
+    """Long form over edge fractions: loop births per rank, the loops' share of the value so far and of all of it, giant
+    share, added value share. As in `percolation`, states are one grouped call each up to `local` edges; beyond, joins."""
+    most = contacts.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most > local:
+        from . import mergetree
+
+        plain = contacts.select(*keys, "id1", "id2", value).withColumns({"_f1": F.lit(0), "_f2": F.lit(0)})
+        return mergetree.curve_rows(mergetree.filtration_trees(plain, keys, value, local, part), keys, value, FRACTIONS)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = run_filtration(f, descending(f, value))
         m, n = len(out), int(out["n_nodes"].iloc[0])
-        v, closes, giant = out[value].to_numpy(), out["closes"].to_numpy(), out["giant"].to_numpy()
+        v, closes, giant = out[value].to_numpy(float), out["closes"].to_numpy(), out["giant"].to_numpy()
         k = np.maximum(1, np.ceil(np.array(FRACTIONS) * m).astype(int)) - 1
         births, loops, added = np.cumsum(closes), np.cumsum(np.where(closes, v, 0.0)), np.cumsum(v)
-        d = pd.DataFrame({"fraction": FRACTIONS, "loop_rate": births[k] / (k + 1), "loop_share": loops[k] / np.maximum(added[k], 1e-300), "giant_share": giant[k] / n, "value_share": added[k] / added[-1]})
-        for c in keys:
-            d[c] = f[c].iloc[0]
-        return d[[*keys, "fraction", "loop_rate", "loop_share", "giant_share", "value_share"]]
-
-    return per_state(contacts, keys, ["id1", "id2", value], "fraction double, loop_rate double, loop_share double, giant_share double, value_share double", run)
+        d = pd.DataFrame({"fraction": FRACTIONS, "loop_rate": births[k] / (k + 1), "loop_share": loops[k] / np.maximum(added[k], 1e-300), "loop_total_share": loops[k] / added[-1], "giant_share": giant[k] / n, "value_share": added[k] / added[-1]})
+        return d.assign(**{c: f[c].iloc[0] for c in keys})[[*keys, "fraction", *CURVE]]
+
+    return per_state(contacts, keys, ["id1", "id2", value], "fraction double, " + ", ".join(f"{c} double" for c in CURVE), run)
+
+
+def curve_summary(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
+    """Per state: edge and value fraction at the first loop (null: none), the areas under the curves of loop rate, loop
+    value and giant share over the edge fractions, and the value share of the top 5 % of edges."""
+    curve = materialize(filtration_curve(contacts, keys, value))
+    step = Window.partitionBy(*keys).orderBy("fraction")
+    width = F.col("fraction") - F.lag("fraction").over(step)
+    areas = {"loop_rate_area": "loop_rate", "loop_value_area": "loop_total_share", "giant_area": "giant_share"}
+    parts = curve.select(*keys, "fraction", "value_share", *(((F.col(c) + F.lag(c).over(step)) / 2 * width).alias(a) for a, c in areas.items()))
+    sums = parts.groupBy(*keys).agg(*(F.sum(a).alias(a) for a in areas), F.max(F.when(F.col("fraction") == 0.05, F.col("value_share"))).alias("top5_share"))
+    edges = materialize(filtration_edges(contacts, keys, value))
+    first = edges.filter("closes").groupBy(*keys).agg(F.min("rank").alias("_first"))
+    at = edges.join(first, keys, "left").groupBy(*keys).agg((F.max("_first") / F.count("*")).alias("first_loop_fraction"), (F.sum(F.when(F.col("rank") <= F.col("_first"), F.col(value))) / F.sum(value)).cast("double").alias("first_loop_value_share"))
+    return sums.join(at, keys)
 
 
 def _rng(seed: int, f: pd.DataFrame, keys: list[str], rep: int) -> np.random.Generator:

@@ -28,6 +28,11 @@ def strong(s, d, q: float = 0.5):
     return c.join(cut, STATE).filter(F.col("force") >= F.col("_q")).drop("_q")
 
 
+def three_sides(s, d):
+    """Nodes with the flags bottom, top and side, the last by distance from the axis."""
+    return fr.boundary_flags(nodes(s, d).withColumn("r", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), STATE, r="r")
+
+
 def _strong(q: float) -> str:
     return CONTACTS + f", strong AS (SELECT c.* FROM contacts c JOIN (SELECT run, cycle, phase, quantile_cont(force, {q}) AS q FROM contacts GROUP BY 1, 2, 3) t ON c.run = t.run AND c.cycle = t.cycle AND c.phase = t.phase AND c.force >= t.q)"
 
@@ -52,15 +57,19 @@ _BETA = """
   JOIN (SELECT run, cycle, phase, count(*) AS e FROM contacts GROUP BY 1, 2, 3) p ON l.run = p.run AND l.cycle = p.cycle AND l.phase = p.phase"""
 register("net_components", lambda s, d: net.components(contacts(s, d), STATE), "run cycle phase nodes components", "giant_share", _PARTS, _COMPONENTS)
 register("net_beta1", lambda s, d: net.beta1(contacts(s, d), STATE), "run cycle phase loops", "loops_per_node loops_per_edge", _PARTS, _BETA)
-register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, fr.boundary_flags(nodes(s, d), STATE)), "run cycle phase spanning_components", "span", "RECURSIVE " + NODES + ", " + _labels("contacts"), """
-  WITH q AS (SELECT run, cycle, phase, quantile_cont(z, 0.03) AS lo, quantile_cont(z, 0.97) AS hi, max(z) - min(z) AS height FROM nodes GROUP BY 1, 2, 3),
-  c AS (SELECT l.run, l.cycle, l.phase, component, bool_or(z <= lo) AND bool_or(z >= hi) AS both_sides, max(z) - min(z) AS span, any_value(height) AS height FROM label l
-    JOIN nodes n ON l.run = n.run AND l.cycle = n.cycle AND l.phase = n.phase AND l.node = n.id JOIN q ON l.run = q.run AND l.cycle = q.cycle AND l.phase = q.phase GROUP BY 1, 2, 3, 4)
-  SELECT run, cycle, phase, count(*) FILTER (both_sides) AS spanning_components, max(span) / any_value(height) AS span FROM c GROUP BY 1, 2, 3""")
+register("net_spanning", lambda s, d: net.spanning(contacts(s, d), STATE, three_sides(s, d)), "run cycle phase spanning_components bottom_side_components", "span boundary_edge_share", "RECURSIVE " + NODES + ", " + _labels("contacts"), """
+  WITH q AS (SELECT run, cycle, phase, quantile_cont(z, 0.03) AS lo, quantile_cont(z, 0.97) AS hi, quantile_cont(sqrt(x * x + y * y), 0.97) AS rh, max(z) - min(z) AS height FROM nodes GROUP BY 1, 2, 3),
+  f AS (SELECT n.run, n.cycle, n.phase, n.id, n.z, z <= lo AS bottom, z >= hi AS top, sqrt(x * x + y * y) >= rh AS side, height FROM nodes n JOIN q ON n.run = q.run AND n.cycle = q.cycle AND n.phase = q.phase),
+  c AS (SELECT l.run, l.cycle, l.phase, component, bool_or(bottom) AND bool_or(top) AS bt, bool_or(bottom) AND bool_or(side) AS bs, max(z) - min(z) AS span, any_value(height) AS height FROM label l
+    JOIN f ON l.run = f.run AND l.cycle = f.cycle AND l.phase = f.phase AND l.node = f.id GROUP BY 1, 2, 3, 4),
+  e AS (SELECT c.run, c.cycle, c.phase, avg(CAST(a.bottom OR a.side OR b.bottom OR b.side AS INT)) AS share FROM contacts c JOIN f a ON a.run = c.run AND a.cycle = c.cycle AND a.phase = c.phase AND a.id = c.id1
+    JOIN f b ON b.run = c.run AND b.cycle = c.cycle AND b.phase = c.phase AND b.id = c.id2 GROUP BY 1, 2, 3)
+  SELECT c.run, c.cycle, c.phase, count(*) FILTER (bt) AS spanning_components, count(*) FILTER (bs) AS bottom_side_components, max(span) / any_value(height) AS span, any_value(share) AS boundary_edge_share
+  FROM c JOIN e ON e.run = c.run AND e.cycle = c.cycle AND e.phase = c.phase GROUP BY 1, 2, 3""")
 register("net_kcore", lambda s, d: net.kcore_stats(strong(s, d), STATE), "run cycle phase core_max", "core_mean core4_share core5_share")
-register("net_triangles", lambda s, d: net.triangles(_web(s, d), ["run", "cycle"]), "run cycle triangles wedges", "transitivity", CONTACTS + """,
+register("net_triangles", lambda s, d: net.triangles(_web(s, d), ["run", "cycle"]), "run cycle triangles wedges", "transitivity density", CONTACTS + """,
   web AS (SELECT DISTINCT run, cycle, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT run, cycle, id1 % 60 AS a, id2 % 47 AS b FROM contacts) WHERE a <> b)""", """
-  SELECT w.run, w.cycle, coalesce(t.n, 0) AS triangles, w.n AS wedges, 3 * coalesce(t.n, 0) / w.n::DOUBLE AS transitivity FROM (SELECT run, cycle, CAST(sum(g * (g - 1) / 2) AS BIGINT) AS n FROM (SELECT run, cycle, v, count(*) AS g FROM (SELECT run, cycle, unnest([a, b]) AS v FROM web) GROUP BY 1, 2, 3) GROUP BY 1, 2) w
+  SELECT w.run, w.cycle, coalesce(t.n, 0) AS triangles, w.n AS wedges, 3 * coalesce(t.n, 0) / w.n::DOUBLE AS transitivity, coalesce(t.n, 0) / w.nodes::DOUBLE AS density FROM (SELECT run, cycle, CAST(sum(g * (g - 1) / 2) AS BIGINT) AS n, count(*) AS nodes FROM (SELECT run, cycle, v, count(*) AS g FROM (SELECT run, cycle, unnest([a, b]) AS v FROM web) GROUP BY 1, 2, 3) GROUP BY 1, 2) w
   LEFT JOIN (SELECT x.run, x.cycle, count(*) AS n FROM web x JOIN web y ON x.run = y.run AND x.cycle = y.cycle AND x.b = y.a JOIN web z ON z.run = x.run AND z.cycle = x.cycle AND z.a = x.a AND z.b = y.b GROUP BY 1, 2) t ON w.run = t.run AND w.cycle = t.cycle""")
 
 
@@ -68,9 +77,18 @@ def _web(s, d):
     return contacts(s, d).select("run", "cycle", (F.col("id1") % 60).alias("id1"), (F.col("id2") % 47).alias("id2"))
 
 
-register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9), "run cycle phase edges nodes components largest", "", "RECURSIVE " + _strong(0.9) + ", " + _labels("strong"), """
-  SELECT l.*, e.edges FROM (SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest FROM (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) l
-  JOIN (SELECT run, cycle, phase, count(*) AS edges FROM strong GROUP BY 1, 2, 3) e ON l.run = e.run AND l.cycle = e.cycle AND l.phase = e.phase""")
+register("net_backbone", lambda s, d: net.backbone(contacts(s, d), STATE, 0.9, nodes=nodes(s, d)), "run cycle phase edges nodes components largest largest_edges touches_bottom touches_top touches_side", "edge_share z_span z_span_norm", "RECURSIVE " + NODES + _strong(0.9).removeprefix(CONTACTS) + ", " + _labels("strong"), """
+  WITH q AS (SELECT run, cycle, phase, quantile_cont(z, 0.02) AS lo, quantile_cont(z, 0.98) AS hi, quantile_cont(sqrt(x * x + y * y), 0.98) AS rh, max(z) - min(z) AS height FROM nodes GROUP BY 1, 2, 3),
+  sizes AS (SELECT run, cycle, phase, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4),
+  per AS (SELECT run, cycle, phase, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components FROM sizes GROUP BY 1, 2, 3),
+  big AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY run, cycle, phase ORDER BY n DESC, component) = 1),
+  e AS (SELECT s.run, s.cycle, s.phase, count(*) AS edges, count(*) FILTER (l.component = b.component) AS largest_edges FROM strong s JOIN label l ON l.run = s.run AND l.cycle = s.cycle AND l.phase = s.phase AND l.node = s.id1
+    JOIN big b ON b.run = s.run AND b.cycle = s.cycle AND b.phase = s.phase GROUP BY 1, 2, 3),
+  m AS (SELECT b.run, b.cycle, b.phase, max(z) - min(z) AS z_span, any_value(height) AS height, bool_or(z <= lo) AS touches_bottom, bool_or(z >= hi) AS touches_top, bool_or(sqrt(x * x + y * y) >= rh) AS touches_side FROM big b
+    JOIN label l ON l.run = b.run AND l.cycle = b.cycle AND l.phase = b.phase AND l.component = b.component JOIN nodes n ON n.run = b.run AND n.cycle = b.cycle AND n.phase = b.phase AND n.id = l.node
+    JOIN q ON q.run = b.run AND q.cycle = b.cycle AND q.phase = b.phase GROUP BY 1, 2, 3),
+  t AS (SELECT run, cycle, phase, count(*) AS n FROM contacts GROUP BY 1, 2, 3)
+  SELECT p.*, e.edges, e.largest_edges, b.n AS largest, e.edges / t.n::DOUBLE AS edge_share, z_span, z_span / height AS z_span_norm, touches_bottom, touches_top, touches_side FROM per p JOIN e USING (run, cycle, phase) JOIN big b USING (run, cycle, phase) JOIN m USING (run, cycle, phase) JOIN t USING (run, cycle, phase)""")
 register("topo_cycle_edges", lambda s, d: net.filtration_edges(contacts(s, d), STATE).groupBy(*STATE).agg(F.count("*").alias("edges"), F.sum(F.col("closes").cast("long")).alias("loops"), F.min(F.when(F.col("closes"), F.col("rank"))).alias("first")), "run cycle phase edges loops first")
 _RANKED = NODES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force DESC, id1, id2) AS i, count(*) OVER (PARTITION BY run, cycle, phase) AS m FROM contacts),
   marked AS (SELECT run, cycle, phase, mark, id1, id2 FROM ranked CROSS JOIN (SELECT unnest([1, 5, 10, 100]) AS mark) WHERE (i - 1) / m::DOUBLE < mark / 100.0::DOUBLE),
@@ -85,7 +103,7 @@ _RANKED = NODES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY run,
   UNION SELECT c.run, c.cycle, c.phase, c.node, min(greatest(p.cost, s.i)) FROM reach p JOIN steps s ON s.run = p.run AND s.cycle = p.cycle AND s.phase = p.phase AND s.a = p.node
   JOIN recurring.reach c ON c.run = p.run AND c.cycle = p.cycle AND c.phase = p.phase AND c.node = s.b WHERE greatest(p.cost, s.i) < c.cost GROUP BY 1, 2, 3, 4)"""
 # Giants by components of the first edges; spans by the least greatest rank on a path from the bottom.
-register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE, nodes=fr.boundary_flags(nodes(s, d).withColumn("r", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), STATE, r="r")), "run cycle phase contacts loop_births", "value_sum value_mean value_p99 share_top1 share_top5 share_top10 loop_fraction giant_top1 giant_top5 giant_top10 bottom_top bottom_side", "RECURSIVE " + _RANKED, """
+register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE, nodes=three_sides(s, d)), "run cycle phase contacts loop_births", "value_sum value_mean value_p99 share_top1 share_top5 share_top10 loop_fraction giant_top1 giant_top5 giant_top10 bottom_top bottom_side", "RECURSIVE " + _RANKED, """
   WITH sums AS (SELECT run, cycle, phase, count(*) AS contacts, sum(force) AS value_sum, avg(force) AS value_mean, quantile_cont(force, 0.99) AS value_p99, sum(force) FILTER ((i - 1) / m::DOUBLE < 0.01::DOUBLE) / sum(force) AS share_top1,
   sum(force) FILTER ((i - 1) / m::DOUBLE < 0.05::DOUBLE) / sum(force) AS share_top5, sum(force) FILTER ((i - 1) / m::DOUBLE < 0.1::DOUBLE) / sum(force) AS share_top10 FROM ranked GROUP BY 1, 2, 3),
   parts AS (SELECT run, cycle, phase, mark, component, count(*) AS n FROM label GROUP BY 1, 2, 3, 4, 5),
@@ -95,7 +113,8 @@ register("topo_percolation", lambda s, d: net.percolation(contacts(s, d), STATE,
   bt / contacts::DOUBLE AS bottom_top, bs / contacts::DOUBLE AS bottom_side FROM sums s JOIN giants g ON g.run = s.run AND g.cycle = s.cycle AND g.phase = s.phase JOIN spans p ON p.run = s.run AND p.cycle = s.cycle AND p.phase = s.phase""")
 register("topo_loops", lambda s, d: net.percolation(contacts(s, d), STATE), "run cycle phase loop_births", "loop_fraction loop_value_share giant_top1 giant_top5 giant_top10 giant_half_fraction")
 register("topo_spanning", lambda s, d: net.spanning_percolation(contacts(s, d), fr.boundary_flags(nodes(s, d), STATE), STATE), "run cycle phase", "span_fraction")
-register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share giant_share value_share")
+register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share loop_total_share giant_share value_share")
+register("topo_curve_summary", lambda s, d: net.curve_summary(contacts(s, d), STATE), "run cycle phase", "first_loop_fraction first_loop_value_share loop_rate_area loop_value_area giant_area top5_share")
 register("topo_enrichment", lambda s, d: net.loop_enrichment(net.filtration_edges(contacts(s, d), STATE), STATE), "run cycle phase", "loop_fraction loop_share enrichment log_enrichment")
 register("topo_force_shuffle_null", lambda s, d: net.force_shuffle_null(contacts(s, d), STATE, 24), "run cycle phase rep loop_births", "loop_value_share")
 register("topo_order_null", lambda s, d: net.order_null(contacts(s, d), STATE, 25), "run cycle phase rep loops", "loop_area")

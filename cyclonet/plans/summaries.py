@@ -22,6 +22,7 @@ register("agg_gini", lambda s, d: agg.gini(contacts(s, d), STATE, "force"), "run
   "SELECT run, cycle, phase, 2 * sum(i * force) / (count(*) * sum(force)) - (count(*) + 1) / count(*)::DOUBLE AS gini FROM (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force) AS i FROM contacts) GROUP BY 1, 2, 3")
 register("agg_top_share", lambda s, d: agg.top_share(contacts(s, d), STATE, "force", 0.05), "run cycle phase", "share", CONTACTS,
   "SELECT run, cycle, phase, sum(force) FILTER (i <= greatest(1, ceil(n * 0.05::DOUBLE))) / sum(force) AS share FROM (SELECT *, row_number() OVER (PARTITION BY run, cycle, phase ORDER BY force DESC) AS i, count(*) OVER (PARTITION BY run, cycle, phase) AS n FROM contacts) GROUP BY 1, 2, 3")
+register("agg_tail_approx", lambda s, d: agg.tail(contacts(s, d), STATE, "force", (0.9, 0.99, 0.999), 1e-5), "run cycle phase approximate", "mean p90 p99 p99_9 max p99_over_mean")
 register("agg_tail", lambda s, d: agg.tail(contacts(s, d), STATE, "force"), "run cycle phase", "mean p90 p95 p99 max p99_over_mean", CONTACTS,
   "SELECT run, cycle, phase, avg(force) AS mean, quantile_cont(force, 0.9) AS p90, quantile_cont(force, 0.95) AS p95, quantile_cont(force, 0.99) AS p99, max(force) AS max, quantile_cont(force, 0.99) / avg(force) AS p99_over_mean FROM contacts GROUP BY 1, 2, 3")
 _NV = """SELECT c.run, c.cycle, c.phase, c.force, dx / l AS nx, dy / l AS ny, dz / l AS nz, degrees(acos(least(abs(dz / l), 1.0))) AS theta FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM (SELECT c.*, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz

@@ -187,3 +187,6 @@ def test_percolation_of_states_larger_than_a_task(spark, local, part):
             assert set(cut[k]) == set(whole[k])
             for c, v in whole[k].items():
                 assert (cut[k][c] is None) == (v is None) and (v is None or cut[k][c] == pytest.approx(v)), (k, c)
+    if local:
+        curves = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in net.filtration_curve(df, ["state"], **more).collect()) for more in ({}, {"local": local, "part": part})]
+        assert curves[0] == curves[1] and len(curves[0]) == 32

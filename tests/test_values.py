@@ -100,6 +100,36 @@ def test_loops_giants_curves_and_enrichment(spark, states):
             assert near(r[["loop_rate", "loop_share", "giant_share", "value_share"]], [closes[: i + 1].mean(), v[: i + 1][closes[: i + 1]].sum() / v[: i + 1].sum(), giant[i] / n, v[: i + 1].sum() / v.sum()])
 
 
+def test_curve_summaries(spark, states):
+    got, curve = by_state(run(spark, "topo_curve_summary")), run(spark, "topo_curve").groupby(STATE)
+    assert set(got) == set(states)
+    for k, f in states.items():
+        v, closes, giant, _, n, _ = filtration(f)
+        m, total = len(v), v.sum()
+        ranks = [max(1, int(np.ceil(p * m))) for p in (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)]
+        area = lambda y: float(np.trapezoid(y, (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)))
+        loops = [v[:r][closes[:r]].sum() / total for r in ranks]
+        first = np.flatnonzero(closes)
+        want = [(first[0] + 1) / m if len(first) else np.nan, v[: first[0] + 1].sum() / total if len(first) else np.nan, area([closes[:r].mean() for r in ranks]), area(loops), area([giant[r - 1] / n for r in ranks]), v[: ranks[2]].sum() / total]
+        assert near(got[k][["first_loop_fraction", "first_loop_value_share", "loop_rate_area", "loop_value_area", "giant_area", "top5_share"]], want)
+        assert near(curve.get_group(k).sort_values("fraction")["loop_total_share"], loops)
+
+
+def test_approximate_tails(spark):
+    r = np.random.default_rng(2)
+    x = r.lognormal(0, 2, 200_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x})).repartition(7)
+    from cyclonet.operators import aggregates
+
+    (got,) = aggregates.tail(df, ["g"], "x", (0.9, 0.999), 1e-5).collect()
+    order = np.sort(x)
+    for q, c in ((0.9, "p90"), (0.999, "p99_9")):
+        assert abs(np.searchsorted(order, got[c], "right") - q * len(x)) <= 1e-5 * len(x) + 1
+    assert got["approximate"] and not aggregates.tail(df, ["g"], "x").collect()[0]["approximate"]
+    exact, near_ = run(spark, "agg_tail").set_index(STATE), run(spark, "agg_tail_approx").set_index(STATE)
+    assert set(exact.index) == set(near_.index) and near_["approximate"].all()
+
+
 def test_sides_and_spanning(spark, states):
     flags = defaultdict(dict)
     for r in _sides(spark, SF).collect():
