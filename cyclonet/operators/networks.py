@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..shared import discard, materialize
 
 PART_EDGES, MERGE = 200_000, 8
+BLOCKS = 4  # groups that a state's replicates are dealt over
 MARKS = (0.01, 0.05, 0.10)
 FRACTIONS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.0)
 
@@ -446,20 +447,30 @@ def _rng(seed: int, f: pd.DataFrame, keys: list[str], rep: int) -> np.random.Gen
     return np.random.default_rng(list(text.encode()))
 
 
-def _with_replicates(contacts: DataFrame, keys: list[str], columns: list[str], n: int) -> DataFrame:
-    """A copy of each state's edges for every replicate: few large states spread over as many tasks as replicates."""
-    return contacts.select(*keys, *columns).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+def _by_block(contacts: DataFrame, keys: list[str], columns: list[str], n: int, schema: str, run: Callable[[pd.DataFrame, int], dict]) -> DataFrame:
+    """keys, rep and run(a state's edges in the order of their ids, rep) for replicates 1 to n.
+
+    Replicates are dealt over BLOCKS groups of a state; a group keeps one copy of the edges for all of its replicates, so
+    what is shuffled does not depend on n.
+    """
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        k, f = int(f["_block"].iloc[0]), f.sort_values(["id1", "id2"], ignore_index=True)
+        of = {c: f[c].iloc[0] for c in keys}
+        return pd.DataFrame([of | {"rep": rep} | run(f, rep) for rep in range(k + 1, n + 1, BLOCKS)])
+
+    copies = contacts.select(*keys, *columns).withColumn("_block", F.explode(F.array(*map(F.lit, range(min(BLOCKS, n))))))
+    return copies.groupBy(*keys, "_block").applyInPandas(block, f"{_types(contacts, keys)}, rep int, {schema}")
 
 
 def force_shuffle_null(contacts: DataFrame, keys: list[str], n: int, seed: int = 0, value: str = "force") -> DataFrame:
-    """rep and the percolation row of each state with its values permuted over its edges; a group is a state's replicate."""
+    """rep and the percolation row of each state with its values permuted over its edges."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id1", "id2"], ignore_index=True)
-        g = f.assign(**{value: _rng(seed, f, keys, f["rep"].iloc[0]).permutation(f[value].to_numpy())})
-        return pd.DataFrame([{k: f[k].iloc[0] for k in [*keys, "rep"]} | percolation_row(run_filtration(g, descending(g, value)), value)])
+    def run(f: pd.DataFrame, rep: int) -> dict:
+        g = f.assign(**{value: _rng(seed, f, keys, rep).permutation(f[value].to_numpy())})
+        return percolation_row(run_filtration(g, descending(g, value)), value)
 
-    return per_state(_with_replicates(contacts, keys, ["id1", "id2", value], n), [*keys, "rep"], ["id1", "id2", value], PERCOLATION, run)
+    return _by_block(contacts, keys, ["id1", "id2", value], n, PERCOLATION, run)
 
 
 def loop_area(closes: np.ndarray) -> float:
@@ -468,14 +479,13 @@ def loop_area(closes: np.ndarray) -> float:
 
 
 def order_null(contacts: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """rep, loop_area and loops for random edge orders of each state; a group is a state's replicate."""
+    """rep, loop_area and loops for random edge orders of each state."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id1", "id2"], ignore_index=True)
-        closes = run_filtration(f, _rng(seed, f, keys, f["rep"].iloc[0]).permutation(len(f)))["closes"].to_numpy()
-        return pd.DataFrame([{k: f[k].iloc[0] for k in [*keys, "rep"]} | {"loop_area": loop_area(closes), "loops": int(closes.sum())}])
+    def run(f: pd.DataFrame, rep: int) -> dict:
+        closes = run_filtration(f, _rng(seed, f, keys, rep).permutation(len(f)))["closes"].to_numpy()
+        return {"loop_area": loop_area(closes), "loops": int(closes.sum())}
 
-    return per_state(_with_replicates(contacts, keys, ["id1", "id2"], n), [*keys, "rep"], ["id1", "id2"], "loop_area double, loops long", run)
+    return _by_block(contacts, keys, ["id1", "id2"], n, "loop_area double, loops long", run)
 
 
 def loop_areas(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:

@@ -114,3 +114,23 @@ def _order_p(s, d, n: int = 25):
 
 
 register("topo_order_null_p", _order_p, "test n", "observed p null_median null_low null_high")
+
+
+def _shuffle_rho(s, d, n: int = 24):
+    """For each replicate of shuffled forces: does the loops' force share, hot less cold, follow the real p99's difference?
+
+    Centred Spearman over cycles with n and p.
+    """
+    c = materialize(contacts(s, d))
+    p99 = fr.phase_delta(c.groupBy(*STATE).agg(F.expr("percentile(force, 0.99)").alias("p99")), ["run", "cycle"], "phase", ["p99"]).select("run", "cycle", F.col("p99_hot_minus_cold").alias("y"))
+    rho = lambda rows, by: st.with_p(st.spearman(fr.phase_delta(rows, [*by, "run", "cycle"], "phase", ["loop_value_share"]).join(p99, ["run", "cycle"]), by, "loop_value_share_hot_minus_cold", "y", 4, ["run"]))
+    return rho(net.force_shuffle_null(c, STATE, n), ["rep"]), rho(net.percolation(c, STATE).withColumn("test", F.lit("loop_value_share")), ["test"])
+
+
+def _shuffle_p(s, d):
+    null, observed = _shuffle_rho(s, d)
+    return nul.null_summary(observed.select("test", "rho"), null.select(F.lit("loop_value_share").alias("test"), "rho"), ["test"], "rho")
+
+
+register("topo_force_shuffle_rho", lambda s, d: _shuffle_rho(s, d)[0], "rep n", "rho p")
+register("topo_force_shuffle_null_p", _shuffle_p, "test n", "observed p null_median null_low null_high")

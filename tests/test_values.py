@@ -213,6 +213,23 @@ def test_graph_nulls_keep_what_does_not_depend_on_order(spark, states):
     assert p["n"] == 25 and 1 / 26 <= p["p"] <= 1 and p["null_low"] <= p["null_median"] <= p["null_high"]
 
 
+def test_shuffled_forces_to_rho_and_p(spark, states):
+    force = run(spark, "topo_force_shuffle_null")
+    p99 = pd.DataFrame([(*k, np.percentile(f["force"], 99)) for k, f in states.items()], columns=[*STATE, "p99"]).pivot(index=["run", "cycle"], columns="phase", values="p99").dropna()
+    y = p99["hot"] - p99["cold"]
+    got, want = run(spark, "topo_force_shuffle_rho").set_index("rep"), {}
+    for rep, f in force.groupby("rep"):
+        w = f.pivot(index=["run", "cycle"], columns="phase", values="loop_value_share").dropna()
+        d = pd.DataFrame({"x": w["hot"] - w["cold"], "y": y}).dropna()
+        d = d - d.groupby("run").transform("mean")
+        want[rep] = (len(d), d["x"].rank().corr(d["y"].rank()))
+    assert set(got.index) == set(want) == set(range(1, 25))
+    # The shares of the query are rounded, so a rank may differ.
+    assert all(got.loc[k, "n"] == n and abs(got.loc[k, "rho"] - r) < 1e-2 and 0 <= got.loc[k, "p"] <= 1 for k, (n, r) in want.items())
+    s = run(spark, "topo_force_shuffle_null_p").iloc[0]
+    assert s["n"] == 24 and near([s["p"]], [((got["rho"].abs() >= abs(s["observed"]) - 1e-9).sum() + 1) / 25])
+
+
 def least_squares(x, y, w=None, ridge=None):
     a = np.c_[np.ones(len(x)), x]
     w = np.ones(len(x)) if w is None else w
