@@ -179,14 +179,13 @@ def test_percolation_of_states_larger_than_a_task(spark, local, part):
     df = spark.createDataFrame(rows, "state string, id1 long, id2 long, force double")
     ids = sorted({(x[0], i) for x in rows for i in x[1:3]})
     sides = spark.createDataFrame([(s, i, r.random() < 0.1, r.random() < 0.1, r.random() < 0.1) for s, i in ids], "state string, id long, bottom boolean, top boolean, side boolean")
-    for nodes in (None, sides):
-        whole = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=nodes).collect()}
-        cut = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=nodes, local=local, part=part).collect()}
-        assert set(cut) == set(whole) == set("abcd")
-        for k in whole:
-            assert set(cut[k]) == set(whole[k])
-            for c, v in whole[k].items():
-                assert (cut[k][c] is None) == (v is None) and (v is None or cut[k][c] == pytest.approx(v)), (k, c)
+    whole = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=sides).collect()}
+    cut = {x["state"]: x.asDict() for x in net.percolation(df, ["state"], nodes=sides, local=local, part=part).collect()}
+    assert set(cut) == set(whole) == set("abcd")
+    for k in whole:
+        assert set(cut[k]) == set(whole[k])
+        for c, v in whole[k].items():
+            assert (cut[k][c] is None) == (v is None) and (v is None or cut[k][c] == pytest.approx(v)), (k, c)
     if local:
         curves = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in net.filtration_curve(df, ["state"], **more).collect()) for more in ({}, {"local": local, "part": part})]
         assert curves[0] == curves[1] and len(curves[0]) == 32

@@ -12,6 +12,7 @@ import pytest
 from cyclonet import catalog
 
 SF = "/root/testdata/sf0.001"
+NO_ROWS = {"topo_overlap_percolation"}  # so few particles overlap nowhere
 
 
 @pytest.fixture(scope="module")
@@ -46,4 +47,6 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).schema.names
+    df = catalog.QUERIES[name](spark, SF)
+    rows = df.head(1)
+    assert df.schema.names and (rows or name in NO_ROWS)
