@@ -498,6 +498,15 @@ def loop_areas(contacts: DataFrame, keys: list[str], value: str = "force") -> Da
     return per_state(contacts, keys, ["id1", "id2", value], "loop_area double", run)
 
 
+def loop_values(contacts: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
+    """Per state with loops: how many births there are and how many at a positive value, their median and 90 % quantile,
+    and the positive share; negative values count as 0."""
+    v = F.greatest(F.col(value).cast("double"), F.lit(0.0))
+    born = loop_edges(contacts, keys, value).filter("closes").select(*keys, v.alias("_v"))
+    positive = F.sum((F.col("_v") > 0).cast("long"))
+    return born.groupBy(*keys).agg(F.count("*").alias("births"), positive.alias("positive_births"), F.expr("percentile(_v, 0.5)").alias("birth_median"), F.expr("percentile(_v, 0.9)").alias("birth_p90"), (positive / F.count("*")).alias("positive_share"))
+
+
 def loop_enrichment(edges: DataFrame, keys: list[str], value: str = "force") -> DataFrame:
     """Of filtration edges: the loop edges' value share over their share of edges, and its logarithm."""
     share = F.sum(F.when(F.col("closes"), F.col(value)).otherwise(0.0)) / F.sum(value)

@@ -14,6 +14,8 @@ from ..operators import networks as net
 from ..operators import resampling as nul
 from ..operators import statistics as st
 from ..operators import windows as win
+from ..shared import materialize
+from .panels import three_sides
 from .registry import register
 from .views import CONTACTS, PANEL, contacts, panel, particles
 
@@ -40,16 +42,28 @@ register("prj_dimensionless", lambda s, d: dimensionless(panel(s, d).withColumns
   "SELECT regime_id, quantile_cont(x / 1e6 * (w / 1e5) / (1 + n / 1e3) * z, 0.5) AS number, quantile_cont(x / 1e6 / (1 + n / 1e3) * z, 0.5) AS ablated FROM panel GROUP BY 1")
 register("prj_orderlabel", lambda s, d: panel(s, d).groupBy("regime_id").agg(F.sum("n").alias("n")).join(F.broadcast(s.sql("SELECT * FROM VALUES ('R3', 1), ('R1', 2), ('R5', 3), ('R2', 4), ('R4', 5) AS t(regime_id, place)")), "regime_id"), "regime_id place n", "", PANEL,
   "SELECT regime_id, CAST(CASE regime_id WHEN 'R3' THEN 1 WHEN 'R1' THEN 2 WHEN 'R5' THEN 3 WHEN 'R2' THEN 4 ELSE 5 END AS INTEGER) AS place, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1")
-register("topo_overlap_percolation", lambda s, d: net.percolation(fr.contact_overlap(particles(s, d), ["run", "cycle"]), ["run", "cycle"], "overlap"), "run cycle contacts loop_births", "giant_top5 value_sum")
-register("topo_snapshot", lambda s, d: _snapshot(s, d), "run cycle phase shown", "force_share loop_share")
+def _overlaps(s, d):
+    """Percolation of geometric contacts by falling overlap, with the overlaps at which loops are born (null: none)."""
+    c, keys = materialize(fr.contact_overlap(particles(s, d), ["run", "cycle"])), ["run", "cycle"]
+    return net.percolation(c, keys, "overlap").join(net.loop_values(c, keys, "overlap").drop("births"), keys, "left").fillna(0, ["positive_births"])
+
+
+register("topo_overlap_percolation", _overlaps, "run cycle contacts loop_births positive_births", "giant_top5 giant_top10 value_sum birth_median birth_p90 positive_share")
+register("topo_snapshot", lambda s, d: _snapshot(s, d), "run cycle phase shown shown_loops", "force_share loop_share top1_share top5_share loop_total_share bottom_side_first")
 
 
 def _snapshot(s, d):
-    """Of each state's strongest fifth of edges: their number, their share of the force, and the loops' share of that."""
-    e = net.filtration_edges(contacts(s, d), STATE)
+    """Of each state's strongest fifth of edges: their number, the loops among them, their share of the force, and the
+    loops' share of that; of all edges: the force shares of the top 1 and 5 % and of the loops, and the edge fraction at
+    which a tree first touches bottom and side (null: never)."""
+    e = net.filtration_edges(contacts(s, d), STATE, nodes=three_sides(s, d), sides=("bottom", "top", "side"))
     shown = F.col("fraction") <= 0.2
     f = lambda c: F.sum(F.when(c, F.col("force")).otherwise(0.0))
-    return e.groupBy(*STATE).agg(F.sum(shown.cast("long")).alias("shown"), (f(shown) / F.sum("force")).alias("force_share"), (f(shown & F.col("closes")) / f(shown)).alias("loop_share"))
+    first = F.min(F.when(F.col("touches_bottom") & F.col("touches_side"), F.col("fraction")))
+    return e.groupBy(*STATE).agg(
+        F.sum(shown.cast("long")).alias("shown"), F.sum((shown & F.col("closes")).cast("long")).alias("shown_loops"), (f(shown) / F.sum("force")).alias("force_share"), (f(shown & F.col("closes")) / f(shown)).alias("loop_share"),
+        (f(F.col("fraction") <= 0.01) / F.sum("force")).alias("top1_share"), (f(F.col("fraction") <= 0.05) / F.sum("force")).alias("top5_share"), (f(F.col("closes")) / F.sum("force")).alias("loop_total_share"), first.alias("bottom_side_first"),
+    )
 
 
 register("mod_logo_huber", lambda s, d: mod.pooled_r2(fits.logo_huber(_z(s, d), "regime_id", ["x_z", "y_z"], "w_z"), "w_z", by=G), "regime_id n", "r2 rmse")

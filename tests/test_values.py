@@ -189,10 +189,16 @@ def test_loop_places(spark, states):
 
 def test_snapshot_and_overlaps(spark, states):
     got = by_state(run(spark, "topo_snapshot"))
+    flags = defaultdict(dict)
+    for r in _sides(spark, SF).collect():
+        flags[(r.run, r.cycle, r.phase)][r.id] = {c for c in ("bottom", "side") if r[c]}
     for k, f in states.items():
-        v, closes, *_ = filtration(f)
-        shown = np.arange(1, len(v) + 1) / len(v) <= 0.2
-        assert near(got[k][["shown", "force_share", "loop_share"]], [shown.sum(), v[shown].sum() / v.sum(), v[shown & closes].sum() / v[shown].sum()])
+        v, closes, _, touch, *_ = filtration(f, flags[k])
+        at = np.arange(1, len(v) + 1) / len(v)
+        shown = at <= 0.2
+        assert near(got[k][["shown", "shown_loops", "force_share", "loop_share"]], [shown.sum(), (shown & closes).sum(), v[shown].sum() / v.sum(), v[shown & closes].sum() / v[shown].sum()])
+        first = next((a for a, t in zip(at, touch, strict=True) if {"bottom", "side"} <= t), np.nan)
+        assert near(got[k][["top1_share", "top5_share", "loop_total_share", "bottom_side_first"]], [v[at <= 0.01].sum() / v.sum(), v[at <= 0.05].sum() / v.sum(), v[closes].sum() / v.sum(), first])
     o = fr.contact_overlap(views.particles(spark, SF), ["run", "cycle"]).toPandas().rename(columns={"overlap": "force"})
     got = {(r["run"], r["cycle"]): r for _, r in run(spark, "topo_overlap_percolation").iterrows()}
     for k, f in o.groupby(["run", "cycle"]):
@@ -201,6 +207,15 @@ def test_snapshot_and_overlaps(spark, states):
         assert near(got[k][["contacts", "loop_births", "giant_top5", "value_sum"]], [len(v), closes.sum(), giant[at] / n, v.sum()])
 
 
+def test_values_at_loop_births(spark):
+    rows = [("s", 1, 2, 5.0), ("s", 2, 3, 4.0), ("s", 1, 3, 3.0), ("s", 3, 4, 2.0), ("s", 2, 4, 1.0), ("s", 1, 4, -1.0), ("t", 1, 2, 1.0)]
+    from cyclonet.operators import networks
+
+    df = spark.createDataFrame(rows, "state string, id1 long, id2 long, force double")
+    (r,) = networks.loop_values(df, ["state"]).collect()
+    assert tuple(r) == ("s", 3, 2, 1.0, pytest.approx(2.6), pytest.approx(2 / 3))
+
+
 def test_graph_nulls_keep_what_does_not_depend_on_order(spark, states):
     loops = {k: filtration(f)[1].sum() for k, f in states.items()}
     force, order = run(spark, "topo_force_shuffle_null"), run(spark, "topo_order_null")
