@@ -313,8 +313,8 @@ def settle(members: DataFrame, labels: DataFrame | None, texts: DataFrame, table
 def components(links: DataFrame) -> DataFrame:
     """node, label for every node that has a link; the label is the least node of the component.
 
-    Least labels spread over the links and then jump to their own label's label, so the rounds grow with the logarithm
-    of the longest chain; each round is written out.
+    Least labels spread over the links and then jump to their own label's label; each round is written out. A root is not
+    hooked itself, so the rounds are few for the star-like classes that pivots make, but grow with the length of a chain.
     """
     both = materialize(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(links.select("pivot", "node")).distinct(), SHRINK)
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), SHRINK)

@@ -7,7 +7,8 @@ sketch of saturating counters (0, 1, 2 or more), sparse, in blocks; blocks are m
 cell (two or more) is all that goes on. Its size is fixed by `width_bits`: where it fills up, more windows are passed to
 the second pass, and none is lost.
 
-Second pass. A task groups its own passed windows by a 96-bit hash. What it sees twice it knows; what it sees once it
+Second pass. A task groups its own passed windows by two hashes of 64 and 32 bits, both over the words' 64-bit hashes, so
+words that collide there collide in both. What it sees twice it knows; what it sees once it
 asks about, in packed rows dealt by the anchor; a window thus travels at most once a task, however often it occurs, and
 the answers come back as runs of positions for each document.
 """
