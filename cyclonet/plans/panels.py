@@ -116,6 +116,7 @@ register("topo_spanning", lambda s, d: net.spanning_percolation(contacts(s, d),
 register("topo_curve", lambda s, d: net.filtration_curve(contacts(s, d), STATE), "run cycle phase", "fraction loop_rate loop_share loop_total_share giant_share value_share")
 register("topo_curve_summary", lambda s, d: net.curve_summary(contacts(s, d), STATE), "run cycle phase", "first_loop_fraction first_loop_value_share loop_rate_area loop_value_area giant_area top5_share")
 register("topo_enrichment", lambda s, d: net.loop_enrichment(net.filtration_edges(contacts(s, d), STATE), STATE), "run cycle phase", "loop_fraction loop_share enrichment log_enrichment")
+register("topo_enrichment_delta", lambda s, d: fr.phase_delta(net.loop_enrichment(net.filtration_edges(contacts(s, d), STATE), STATE), ["run", "cycle"], "phase", ["enrichment", "log_enrichment"]), "run cycle", "enrichment_cold enrichment_hot enrichment_hot_minus_cold log_enrichment_hot_minus_cold")
 register("topo_force_shuffle_null", lambda s, d: net.force_shuffle_null(contacts(s, d), STATE, 24), "run cycle phase rep loop_births", "loop_value_share")
 register("topo_order_null", lambda s, d: net.order_null(contacts(s, d), STATE, 25), "run cycle phase rep loops", "loop_area")
 register("topo_spatial", lambda s, d: _spatial(s, d), "run cycle phase", "loop_boundary_share loop_z loop_r")

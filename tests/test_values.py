@@ -100,6 +100,13 @@ def test_loops_giants_curves_and_enrichment(spark, states):
             assert near(r[["loop_rate", "loop_share", "giant_share", "value_share"]], [closes[: i + 1].mean(), v[: i + 1][closes[: i + 1]].sum() / v[: i + 1].sum(), giant[i] / n, v[: i + 1].sum() / v.sum()])
 
 
+def test_enrichment_of_hot_and_cold(spark):
+    e, d = run(spark, "topo_enrichment"), run(spark, "topo_enrichment_delta").set_index(["run", "cycle"])
+    wide = e.pivot(index=["run", "cycle"], columns="phase", values="enrichment").dropna()
+    assert all(abs(d.loc[k, "enrichment_hot_minus_cold"] - (r["hot"] - r["cold"])) < 3e-6 for k, r in wide.iterrows())
+    assert set(wide.index) <= set(d.index)
+
+
 def test_curve_summaries(spark, states):
     got, curve = by_state(run(spark, "topo_curve_summary")), run(spark, "topo_curve").groupby(STATE)
     assert set(got) == set(states)
