@@ -6,7 +6,7 @@ prefix it leaves is stored, and back-pointers from the whole pre-token give the
 merging their bytes yields just these two, which is tested on the merge tree and kept.
 
 Pre-tokens are found for a whole Arrow batch at once on an array of code points and encoded once for each distinct one;
-texts with apostrophes or the special token's string go through the regular expression.
+texts with the special token's string go through the regular expression.
 """
 
 from __future__ import annotations
