@@ -13,29 +13,39 @@ from .views import CONTACTS, NODES, PANEL, PARTICLES, contacts, nodes, panel, pa
 STATE = ["run", "cycle", "phase"]
 
 register(
-    "src_contacts", lambda s, d: sources.parse_contacts(_contact_files(s, d), ["path"]).groupBy("path").agg(F.count("*").alias("n"), F.sum("id1").alias("ids"), F.max("force").alias("top")), "path n ids", "top", CONTACTS,
+    "src_contacts", lambda s, d: sources.parse_contacts(_contact_lines(s, d), ["path"]).groupBy("path").agg(F.count("*").alias("n"), F.sum("id1").alias("ids"), F.max("force").alias("top")), "path n ids", "top", CONTACTS,
     "SELECT concat(run, '/contacts_cycle_', cycle, '_', phase, '.local') AS path, count(*) AS n, CAST(sum(id1) AS BIGINT) AS ids, max(abs(force)) AS top FROM contacts GROUP BY 1",
 )
 
 
-def _contact_files(s, d):
-    """Contact tables written out as text, one file a state, to be parsed back."""
+def _placed(rows, file, heads, last=()):
+    """path-like columns, place, line: head lines of each file, then its rows (column line), then last lines."""
+    fixed = [F.struct(F.lit(0).alias("block"), F.lit(k).cast("long").alias("row"), F.lit(v).alias("line")) for k, v in enumerate(heads)]
+    fixed += [F.struct(F.lit(9).alias("block"), F.lit(k).cast("long").alias("row"), F.lit(v).alias("line")) for k, v in enumerate(last)]
+    ends = rows.select(*file).distinct().select(*file, F.inline(F.array(*fixed)))
+    return rows.select(*file, "block", "row", "line").unionByName(ends).select(*file, F.struct("block", "row").alias("place"), "line")
+
+
+def _contact_lines(s, d):
+    """Contact tables as lines of text files, one file a state, to be parsed back."""
     line = F.concat_ws(" ", F.col("id1"), F.col("id2"), F.lit(0), F.col("force").cast("decimal(18,2)"), *[F.lit(0)] * 12)
-    c = contacts(s, d).groupBy(*STATE).agg(F.array_join(F.collect_list(line), "\n").alias("_b"))
-    head = "ITEM: TIMESTEP\n1\nITEM: ENTRIES " + " ".join(f"c_cp[{i}]" for i in range(1, 17)) + "\n"
-    return c.select(F.concat("run", F.lit("/contacts_cycle_"), "cycle", F.lit("_"), "phase", F.lit(".local")).alias("path"), F.concat(F.lit(head), "_b", F.lit("\nragged line\n")).alias("text"))
+    path = F.concat("run", F.lit("/contacts_cycle_"), "cycle", F.lit("_"), "phase", F.lit(".local"))
+    rows = contacts(s, d).select(path.alias("path"), F.lit(1).alias("block"), F.xxhash64("id1", "id2").alias("row"), line.alias("line"))
+    return _placed(rows, ["path"], ["ITEM: TIMESTEP", "1", "ITEM: ENTRIES " + " ".join(f"c_cp[{i}]" for i in range(1, 17))], ["ragged line", ""])
 
 
-def _particle_files(s, d):
-    line = F.concat_ws(" ", "id", "x", "y", "z", "radius")
-    old = F.concat_ws(" ", "id", F.lit("0 0 0 0"))
-    p = particles(s, d).groupBy("run", "cycle").agg(F.array_join(F.collect_list(line), "\n").alias("_b"), F.array_join(F.collect_list(old), "\n").alias("_o"))
-    head = F.lit("ITEM: TIMESTEP\n1\nITEM: ATOMS id x y z radius\n")
-    return p.select("run", "cycle", F.concat(head, "_o", F.lit("\n"), head, "_b", F.lit("\n")).alias("text"))
+def _particle_lines(s, d):
+    """Two frames a file; the first has other values and must not be read."""
+    p, item = particles(s, d), ["ITEM: TIMESTEP", "1", "ITEM: ATOMS id x y z radius"]
+    file, order = ["run", "cycle"], F.col("id").cast("long").alias("row")
+    old = p.select(*file, F.lit(1).alias("block"), order, F.concat_ws(" ", "id", F.lit("0 0 0 0")).alias("line"))
+    new = p.select(*file, F.lit(3).alias("block"), order, F.concat_ws(" ", "id", "x", "y", "z", "radius").alias("line"))
+    second = p.select(*file).distinct().select(*file, F.inline(F.array(*(F.struct(F.lit(2).alias("block"), F.lit(k).cast("long").alias("row"), F.lit(v).alias("line")) for k, v in enumerate(item)))))
+    return _placed(old.unionByName(second).unionByName(new), file, item)
 
 
 register(
-    "src_dump", lambda s, d: sources.parse_particles(_particle_files(s, d), ["run", "cycle"]).groupBy("run", "cycle").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.min("z").alias("z"), F.avg("radius").alias("radius")), "run cycle n", "x z radius", PARTICLES,
+    "src_dump", lambda s, d: sources.parse_particles(_particle_lines(s, d), ["run", "cycle"]).groupBy("run", "cycle").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.min("z").alias("z"), F.avg("radius").alias("radius")), "run cycle n", "x z radius", PARTICLES,
     "SELECT run, cycle, count(*) AS n, max(x) AS x, min(z) AS z, avg(radius) AS radius FROM particles GROUP BY 1, 2",
 )
 

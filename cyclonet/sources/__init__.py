@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, requi
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text: one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def state_keys(path: Column, pattern: str = r"([^/]+)/(?:contacts_)?cycle_(\d+)_(cold|hot)\.\w+$") -> list[Column]:
@@ -39,35 +39,69 @@ def discover_states(files: DataFrame, contacts: str = r"\.local$", particles: st
     return a.join(b, keys)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, line and the folders' partition columns: one row a line, so no file has to fit in a task.
+
+    Spark reads a large file in splits. place orders the lines of a file: where the split begins, then the line's place
+    in it. A line belongs to the split it begins in.
+    """
+    text = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    folders = [c for c in text.columns if c != "value"]
+    return text.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("line"), *folders)
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """Lines as they are; whole texts (column text) are cut into them."""
+    if "text" not in files.columns:
+        return files
+    return files.select(*(c for c in files.columns if c != "text"), F.posexplode(F.split("text", r"\r?\n")).alias("place", "line"))
+
+
 def _entries(files: DataFrame, mark: str, keep: list[str]) -> DataFrame:
-    """keep, header (array of names), row (array of words), place: the lines of each file's last frame."""
-    frames = F.split("text", rf"(?m)^ITEM: {mark}[ \t]*")
-    last = F.element_at(frames, -1)
-    body = files.filter(F.col("text").contains(f"ITEM: {mark}")).select(*keep, last.alias("_f"))
-    lines = body.select(*keep, F.split(F.trim(F.substring_index("_f", "\n", 1)), r"\s+").alias("header"), F.posexplode(F.split(F.split("_f", r"(?m)^ITEM:")[0], r"\r?\n")).alias("place", "_l"))
-    return lines.filter("place > 0 AND trim(_l) <> ''").select(*keep, "header", "place", F.split(F.trim("_l"), r"\s+").alias("row"))
+    """keep, header (array of names), row (array of words), place: the lines of each file's last frame of that mark.
+
+    Only lines that begin an item are shuffled to find where that frame begins and ends, one row a file; the lines
+    themselves meet that row by path (or keep, where there is no path), and Spark broadcasts it while it is small.
+    """
+    lines = _lines(files)
+    file = ["path"] if "path" in lines.columns else keep
+    heads = lines.filter(F.col("line").startswith("ITEM:")).withColumn("_end", F.lead("place").over(Window.partitionBy(*file).orderBy("place")))
+    marked = heads.filter(F.col("line").rlike(rf"^ITEM: {mark}([ \t]|$)"))
+    last = marked.groupBy(*file).agg(F.max(F.struct("place", "line", "_end")).alias("_m")).select(*file, F.col("_m.place").alias("_start"), "_m._end", F.col("_m.line").alias("_head"))
+    header = F.split(F.trim(F.regexp_replace("_head", rf"^ITEM: {mark}", "")), r"\s+")
+    inside = (F.col("place") > F.col("_start")) & (F.col("_end").isNull() | (F.col("place") < F.col("_end")))
+    body = lines.join(last, file).filter(inside & (F.trim("line") != ""))
+    return body.select(*keep, header.alias("header"), "place", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("row"))
 
 
 def parse_particles(files: DataFrame, keep: list[str], columns: tuple[str, ...] = ("x", "y", "z", "radius")) -> DataFrame:
-    """keep, id and the columns, by the header of each file's last frame; a repeated id keeps its last row."""
+    """keep, id and the columns, by the header of each file's last frame; a repeated id keeps its last row.
+
+    files: lines of `read_lines`, or whole texts of `read_files`. A file without such a frame gives no rows; nor does a
+    line shorter than the header. Words that are no number are null.
+    """
     e = _entries(files, "ATOMS", keep)
-    value = lambda c: F.get("row", (F.array_position("header", F.lit(c)) - 1).cast("int"))
-    out = e.filter(F.size("row") >= F.size("header")).select(*keep, "place", value("id").cast("double").cast("long").alias("id"), *(value(c).cast("double").alias(c) for c in columns))
-    w = Window.partitionBy(*keep, "id").orderBy(F.col("place").desc())
-    return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "place")
+    value = lambda c: F.get("row", (F.array_position("header", F.lit(c)) - 1).cast("int")).try_cast("double")
+    out = e.filter(F.size("row") >= F.size("header")).select(*keep, "place", value("id").cast("long").alias("id"), *(value(c).alias(c) for c in columns))
+    last = out.groupBy(*keep, "id").agg(F.max_by(F.struct(*columns), "place").alias("_r"))
+    return last.select(*keep, "id", *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
 def parse_contacts(files: DataFrame, keep: list[str], names: tuple[str, ...] = CONTACT_COLUMNS) -> DataFrame:
-    """keep, the named columns and force, the norm of (fx, fy, fz); lines of another length than the names are dropped."""
+    """keep, the named columns and force, the norm of (fx, fy, fz); lines of another length than the names are dropped.
+
+    files as in `parse_particles`. Nothing but the beginnings of items is shuffled.
+    """
     e = _entries(files, "ENTRIES", keep).filter(F.size("row") == len(names))
     whole = ("id1", "id2", "periodic_flag")
-    out = e.select(*keep, *(F.get("row", F.lit(i)).cast("double").cast("long" if c in whole else "double").alias(c) for i, c in enumerate(names)))
+    out = e.select(*keep, *(F.get("row", F.lit(i)).try_cast("double").cast("long" if c in whole else "double").alias(c) for i, c in enumerate(names)))
     return out.withColumn("force", F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2 + F.col("fz") ** 2))
 
 
 def json_stats(spark: SparkSession, path: str) -> DataFrame:
     """case, name, value: an object of objects of numbers, flattened."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     outer = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("case", "_v"))
     inner = outer.select("case", F.explode(F.from_json("_v", "map<string,string>")).alias("name", "_t"))
     return inner.select("case", "name", F.expr("try_cast(_t AS double)").alias("value"))

@@ -110,6 +110,27 @@ def test_parsers_take_the_last_frame(spark):
     assert got == {1: (7.0, 8.0, 9.0, 0.7), 2: (4.0, 5.0, 6.0, 0.5)}
 
 
+def test_lines_of_split_files_parse_as_whole_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    row = lambda i, v: f"{i} {v:.6f} 1 2 0.5"
+    for k in range(3):
+        frames = [f"ITEM: TIMESTEP\n{t}\nITEM: ATOMS id x y z radius\n" + "\n".join(row(i, v) for i, v in zip(rng.integers(0, 900, 1500), rng.random(1500), strict=True)) for t in range(3)]
+        (tmp_path / f"a{k}.dump").write_text("\n".join(frames) + "\nshort\nITEM: BOX\n1 2 3 4 5\n")
+        rows = "\n".join(" ".join(map(str, [i, i + 1, 0, *rng.integers(-5, 5, 13)])) for i in range(1200))
+        (tmp_path / f"c{k}.local").write_text(f"ITEM: ENTRIES a\n1 2\nITEM: ENTRIES b\n{rows}\nragged line\n" if k else "no frame\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        for name, parse in (("*.dump", sources.parse_particles), ("*.local", sources.parse_contacts)):
+            lines = sources.read_lines(spark, str(tmp_path / name))
+            assert lines.select("path", "place.block").distinct().count() > 10
+            got = sorted(map(tuple, parse(lines, ["path"]).collect()))
+            want = sorted(map(tuple, parse(sources.read_files(spark, str(tmp_path / name)), ["path"]).collect()))
+            assert got == want and len(got) > 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_files_round_trip(spark, tmp_path):
     run = tmp_path / "runA"
     run.mkdir()
@@ -120,7 +141,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r.run, r.cycle, r.phase) for r in sources.discover_states(listing).collect()] == [("runA", 1, "hot")]
     (tmp_path / "t.csv").write_text("a,b\n1,2.5\n")
     assert sources.read_table(spark, str(tmp_path / "t.csv"), "a int, b double", ["a"]).first().b == 2.5
-    (tmp_path / "s.json").write_text('{"c1": {"a": 1.5, "b": 2}, "c2": {"a": 3}}')
+    (tmp_path / "s.json").write_text('{"c1": {"a": 1.5,\n "b": 2},\n "c2": {"a": 3}}')
     assert {(r.case, r.name): r.value for r in sources.json_stats(spark, str(tmp_path / "s.json")).collect()} == {("c1", "a"): 1.5, ("c1", "b"): 2.0, ("c2", "a"): 3.0}
 
 
