@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_finite
+from ..shared import materialize
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,20 +160,60 @@ def union_runs(tables: dict[str, DataFrame], column: str = "run") -> DataFrame:
 HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
 
 
-def radius_pairs(particles: DataFrame, keys: list[str], cutoff: float | str, id_col: str = "id") -> DataFrame:
+#: A cell of more rows than this is joined in parts of about so many rows.
+CELL_ROWS = 1000
+#: A crowded cell is cut into so many sub-cells along each axis, and a sub-cell by hash of the id where that is not enough.
+SUB = 4
+
+
+def _crowded(p: DataFrame, keys: list[str], cell: list[str], rows: int) -> DataFrame:
+    """keys, cell, _parts: for cells of more than `rows` rows, their sub-cells that hold any, with the number of parts of
+    each. At most one row for `rows` particles, of at most SUB ** 3 entries."""
+    subs = p.groupBy(*keys, *cell, "_s").agg(F.count("*").alias("_m"))
+    part = F.struct("_s", F.ceil(F.col("_m") / rows).cast("int").alias("_h"))
+    cells = subs.groupBy(*keys, *cell).agg(F.sum("_m").alias("_m"), F.collect_list(part).alias("_parts"))
+    return cells.filter(F.col("_m") > rows).drop("_m")
+
+
+def radius_pairs(particles: DataFrame, keys: list[str], cutoff: float | str, id_col: str = "id", rows: int = CELL_ROWS) -> DataFrame:
     """keys, id1 < id2, dist for all pairs of a state within the cutoff: a number, or a column that is equal in a state.
 
     Cells of the cutoff's size; one side is sent to its own and 13 of the neighbour cells, so an equi-join on (state,
-    cell) meets every pair once, and a state of any size spreads over its cells.
+    cell) meets every pair once, and a state of any size spreads over its cells. A cell of more than `rows` rows is cut
+    into sub-cells and those into parts by hash; a particle is then sent to every part of the sub-cells that its cutoff
+    reaches. So a join key holds about `rows` rows of one side however the particles are crowded, in one place too, and
+    the other side of a key streams past them. The list of crowded
+    cells is written first, so Spark knows its size and broadcasts it only where it is small. Rows with a null or non-finite coordinate, a null id or a cutoff of 0 or
+    less are in no pair; an id that stands twice pairs as two rows do, but not with itself.
     """
     c = F.col(cutoff) if isinstance(cutoff, str) else F.lit(float(cutoff))
     p = particles.select(*keys, F.col(id_col).alias("id"), *(F.col(a).cast("double").alias(a) for a in "xyz"), c.alias("_k"))
-    at = {f"_c{a}": F.floor(F.col(a) / F.col("_k")).cast("long") for a in "xyz"}
-    p = p.withColumns(at)
+    p = p.filter(reduce(lambda u, v: u & v, [is_finite(a) for a in ("x", "y", "z", "_k")], F.col("id").isNotNull() & (F.col("_k") > 0)))
+    cell = [f"_c{a}" for a in "xyz"]
+    p = p.withColumns({f"_c{a}": F.floor(F.col(a) / F.col("_k")).cast("long") for a in "xyz"})
+    sub = [F.greatest(F.lit(0), F.least(F.lit(SUB - 1), F.floor((F.col(a) / F.col("_k") - F.col(f"_c{a}")) * SUB))).cast("int") for a in "xyz"]
+    p = p.withColumn("_s", (sub[0] * SUB + sub[1]) * SUB + sub[2])
+    crowded = materialize(_crowded(p, keys, cell, rows))
+
+    # A row's own part: sub-cell and hash in a crowded cell, one part for all else.
+    home = p.join(crowded, [*keys, *cell], "left").withColumn("_h", F.expr("filter(_parts, q -> q._s = _s)[0]._h"))
+    home = home.select(*keys, *cell, F.when(F.col("_h").isNull(), -1).otherwise(F.col("_s")).alias("_s"), F.coalesce(F.pmod(F.xxhash64("id", *"xyz"), F.col("_h")), F.lit(0)).cast("int").alias("_h"), "id", *"xyz")
+
     steps = F.array(*(F.struct(*(F.lit(v).alias(f"_d{a}") for a, v in zip("xyz", step, strict=True))) for step in HALF))
-    near = p.select(*keys, F.col("id").alias("_a"), *(F.col(a).alias(f"{a}1") for a in "xyz"), *at, F.inline(steps))
-    near = near.withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"_d{a}") for a in "xyz"}).withColumn("_own", (F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0)).drop("_dx", "_dy", "_dz")
-    pairs = near.join(p, [*keys, *at]).filter((F.col("_a") < F.col("id")) | ~F.col("_own") & (F.col("_a") != F.col("id")))
+    near = p.select(*keys, F.col("id").alias("_a"), "_k", *(F.col(a).alias(f"{a}1") for a in "xyz"), *cell, F.inline(steps))
+    own = (F.col("_dx") == 0) & (F.col("_dy") == 0) & (F.col("_dz") == 0)
+    near = near.withColumns({f"_c{a}": F.col(f"_c{a}") + F.col(f"_d{a}") for a in "xyz"}).withColumn("_own", own).drop("_dx", "_dy", "_dz")
+    near = near.join(crowded, [*keys, *cell], "left")
+    # Squared distance from the particle to a sub-cell, in cutoffs; the margin covers rounding of places.
+    gaps = []
+    for a, step in zip("xyz", (SUB * SUB, SUB, 1), strict=True):
+        low = f"(_c{a} + (int(q._s / {step}) % {SUB}) / {SUB}.0D - {a}1 / _k)"
+        gaps.append(f"pow(greatest({low}, -{low} - {1 / SUB}D, 0D), 2)")
+    reached = F.expr(f"filter(_parts, q -> {' + '.join(gaps)} <= 1.000001D)")
+    every = F.expr("flatten(transform(_reached, q -> transform(sequence(0, q._h - 1), h -> named_struct('_s', q._s, '_h', h))))")
+    parts = F.when(F.col("_parts").isNull(), F.array(F.struct(F.lit(-1).alias("_s"), F.lit(0).alias("_h")))).otherwise(every)
+    near = near.withColumn("_reached", reached).select(*keys, *cell, "_a", "_k", "_own", "x1", "y1", "z1", F.inline(parts))
+    pairs = near.join(home, [*keys, *cell, "_s", "_h"]).filter((F.col("_a") < F.col("id")) | ~F.col("_own") & (F.col("_a") != F.col("id")))
     d2 = sum((F.col(a) - F.col(f"{a}1")) ** 2 for a in "xyz")
     return pairs.withColumn("dist", F.sqrt(d2)).filter(F.col("dist") <= F.col("_k")).select(*keys, F.least("_a", "id").alias("id1"), F.greatest("_a", "id").alias("id2"), "dist")
 

@@ -57,6 +57,32 @@ def test_radius_pairs_brute_force(spark):
     assert got == want
 
 
+def test_radius_pairs_in_crowded_cells(spark):
+    rng = np.random.default_rng(2)
+    p = np.r_[rng.uniform(-1, 1, (150, 3)), rng.uniform(0.61, 0.89, (260, 3)), rng.normal(0.3, 0.004, (120, 3)), np.full((90, 3), -0.45)]
+    rows = [("s", i, *map(float, x)) for i, x in enumerate(p)] + [("t", i, *map(float, x)) for i, x in enumerate(p[:40])]
+    rows += [("s", 9000, float("nan"), 0.0, 0.0), ("s", None, 0.7, 0.7, 0.7), ("s", 9001, None, 0.7, 0.7)]
+    df = spark.createDataFrame(rows, "s string, id long, x double, y double, z double").repartition(6)
+    near = np.argwhere(np.triu(np.linalg.norm(p[:, None] - p[None], axis=2) <= 0.3, 1))
+    want = sorted(("s", int(i), int(j)) for i, j in near) + sorted(("t", int(i), int(j)) for i, j in near if j < 40)
+    for limit in (15, 40, 1000):
+        assert sorted((r.s, r.id1, r.id2) for r in fr.radius_pairs(df, ["s"], 0.3, rows=limit).collect()) == want
+    assert fr.radius_pairs(df.limit(0), ["s"], 0.3).count() == 0
+
+
+def test_a_crowd_in_one_cell_spreads_over_join_keys(spark):
+    place = F.sqrt((F.pmod(F.xxhash64("id"), F.lit(10007)) / 10007.0))
+    df = spark.range(20_000).select(F.lit("s").alias("s"), "id", place.alias("x"), (F.col("id") % 97 / 97.0 * 0.99).alias("y"), (F.col("id") % 89 / 89.0 * 0.99).alias("z")).withColumn("x", F.col("x") * 0.99)
+    p = df.withColumns({f"_c{a}": F.lit(0).cast("long") for a in "xyz"}).withColumn("_s", F.lit(0))
+    parts = fr._crowded(p, ["s"], ["_cx", "_cy", "_cz"], 500).first()._parts
+    assert sum(q._h for q in parts) == 40
+    got = fr.radius_pairs(df, ["s"], 1.0).agg(F.count("*").alias("n"), F.countDistinct("id1").alias("a")).first()
+    x = np.array([tuple(r) for r in df.select(*"xyz").collect()])
+    rest = sum(int((((x[i] - x[i + 1 :]) ** 2).sum(axis=1) <= 1.0).sum()) for i in range(0, len(x), 400))
+    some = fr.radius_pairs(df, ["s"], 1.0).filter("id1 % 400 = 0").count()
+    assert some == rest and got.n > 1e8 and got.a > 19_000
+
+
 def test_spearman_no_variance_and_few_rows(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("a", 1.0, 4.0), ("b", 1.0, 2.0)], "g string, x double, y double")
     assert {r.g: r.rho for r in st.spearman(df, ["g"], "x", "y").collect()} == {"a": None, "b": None}
