@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import is_finite
 from ..functions.special import chi2_p, correlation_p
+from .slopes import median_slope
 from .windows import average_rank, center
 
 
@@ -84,11 +85,23 @@ def autocorrelation(df: DataFrame, by: list[str], order: str, col: str, lags: li
 
 
 def theil_sen(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Median of the slopes between all rows of a group; for panels of bounded group size (cycles)."""
-    a = df.select(*by, F.col(x).alias("_xa"), F.col(y).alias("_ya"))
-    b = df.select(*by, F.col(x).alias("_xb"), F.col(y).alias("_yb"))
-    slopes = a.join(b, by).filter("_xa < _xb").withColumn("_s", (F.col("_yb") - F.col("_ya")) / (F.col("_xb") - F.col("_xa")))
-    return slopes.groupBy(*by).agg(F.expr("percentile(_s, 0.5)").alias("slope"))
+    """slope: the median of the slopes between all rows of a group that differ in x, and pairs, how many there are.
+
+    Slopes are not listed: those up to a value are the inversions of the rows by y - value x, so the median is found by
+    counting, in memory linear in the group's rows and in n log n time a count. A group is one task. Rows that are not
+    finite in both do not count; a group without two different x has a null slope. Exact; where more than CANDIDATES
+    slopes a row lie between two neighbouring doubles, to the last place.
+    """
+    d = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    d = d.withColumns({c: F.when(is_finite("_x") & is_finite("_y"), F.col(c)) for c in ("_x", "_y")})
+    types = ", ".join(f"`{b}` {d.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        some = f.dropna(subset=["_x", "_y"])
+        slope, pairs = median_slope(some["_x"].to_numpy(float), some["_y"].to_numpy(float))
+        return f[by].head(1).assign(slope=slope, pairs=pairs)
+
+    return d.groupBy(*by).applyInPandas(run, f"{types}, slope double, pairs long").withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
 
 
 def group_ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
