@@ -140,7 +140,7 @@ def pick_step(good: list[int], bad: list[int], risk: float, level: float) -> int
     return gains.index(max(gains)) if gains and max(gains) > 0 else -1
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, error: float = 0.05, identity: str = "doc_id") -> DataFrame:
     """One row a stratum with labels: a cutoff for each rule (null: the rule rejects nothing there), n_good and pooled.
 
     With probability 1 - error over the labelled documents, in every stratum at once, all rules together reject at most
@@ -148,14 +148,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
     of the rejections of all rules so far walks the path of `first_step` until a step fails (a fixed-sequence test, so
     the steps need no further correction). The path and the rules' ratios depend on no label, so all labelled rows are
     the holdout. A stratum with too few good documents for any step (217 of four strata) shares its cutoffs with the
-    others like it; the bound is then that of their union. A document labelled more than once is good if any label
-    says so. Null stratum: counts as empty. No labels: no rows.
+    others like it; the bound is then that of their union, not of each, which `pooled` says. What is counted, n_good
+    too, are distinct values of `identity` in a stratum (or the pool), as copies of a text are no further draws; give it
+    a hash of the text. One labelled more than once is good if any label says so. Null stratum: counts as empty. No
+    labels: no rows.
     """
     marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg((F.max("quality") == 1).alias("good"))
     held = measured.filter(~F.col("base_failed")).join(marks, F.col("doc_id") == F.col("_label_id"))
     own = F.coalesce(F.col(stratum), F.lit("")).alias("stratum")
-    found = materialize(held.groupBy(own, "good", first_step().alias("step")).agg(F.count("*").alias("n")))
-    sizes = materialize(found.groupBy("stratum").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("n_good")))
+    draws = materialize(held.groupBy(own, F.col(identity).alias("_draw"), first_step().alias("step")).agg(F.max("good").alias("good")))
+    sizes = materialize(draws.groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n_good")))
     level = error / max(1, sizes.count())
     fewest = math.ceil(math.log(level) / math.log1p(-risk))
     sizes = sizes.withColumn("pooled", F.col("n_good") < fewest).withColumn("_pool", F.when(~F.col("pooled"), F.col("stratum")))
@@ -170,7 +172,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
         return pd.DataFrame({"_pool": [f["_pool"].iloc[0]], **{f"max_{r}": pd.Series([v], dtype="float64") for r, v in zip(RULES, limits, strict=True)}})
 
     # At most 2 * (steps + 1) rows a stratum; the pooled ones are added up before they meet.
-    rows = found.join(sizes, "stratum").groupBy("_pool", "good", "step").agg(F.sum("n").alias("n"))
+    pooled = draws.join(sizes, "stratum").groupBy("_pool", "_draw", "step").agg(F.max("good").alias("good"))
+    rows = pooled.groupBy("_pool", "good", "step").agg(F.count("*").alias("n"))
     chosen = rows.groupBy("_pool").applyInPandas(run, "_pool string, " + ", ".join(f"max_{r} double" for r in RULES))
     out = sizes.join(chosen, sizes["_pool"].eqNullSafe(chosen["_pool"])).drop("_pool")
     return out.withColumns({f"max_{r}": F.when(~F.isnan(f"max_{r}"), F.col(f"max_{r}")) for r in RULES})
@@ -185,13 +188,18 @@ def verdict(measured: DataFrame, limits: DataFrame, stratum: str) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", *(f"max_{r}" for r in RULES))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text_key (64 bits of the text) and the measures."""
+    return measure(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")), ["doc_id", "lang", "text_key"])
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base verdict and final verdict for every document, in strata of its language.
 
     Empty table: no rows. No labels: kept is the base verdict's opposite. Repeated rows are judged alike.
     """
-    measured = materialize(measure(docs, ["doc_id", "lang"]))
-    return verdict(measured, cutoffs(measured, labels, "lang"), "lang")
+    measured = materialize(_keyed(docs))
+    return verdict(measured, cutoffs(measured, labels, "lang", identity="text_key"), "lang").drop("text_key")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,5 +210,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     were. Empty table: no rows.
     """
     docs, restore = shield(docs, ("doc_id", "lang", "text"))
-    limits = materialize(cutoffs(materialize(measure(docs, ["doc_id", "lang"])), labels, "lang"))
+    limits = materialize(cutoffs(materialize(_keyed(docs)), labels, "lang", identity="text_key"))
     return restore(verdict(measure(docs, docs.columns), limits, "lang").filter("kept"))

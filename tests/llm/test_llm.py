@@ -581,6 +581,22 @@ def test_cutoffs_against_brute_force(spark):
     assert [got[k].pooled for k in ("en", "de", "fr", "es", "")] == [False, False, True, True, True]
 
 
+def test_copies_are_one_draw(spark):
+    """A text that stands 500 times in the holdout is one draw: it neither makes a bound nor breaks one."""
+    few = [words(k, 60) for k in range(100)]
+    docs = make(spark, few + [few[0]] * 500 + [" ".join(w + "###" for w in words(9000, 60).split())] * 50).withColumn("lang", F.lit("en"))
+    marks = spark.createDataFrame([(i, int(i < 600), 0) for i in range(650)], LABELS)
+    got = quality.cutoffs(quality._keyed(docs), marks, "lang", identity="text_key").first()
+    assert (got.n_good, got.pooled) == (100, True)
+    assert all(r.kept for r in quality.score_documents(docs, marks).collect())
+    many = [words(k, 60) for k in range(400)]
+    odd = " ".join(w + "###" for w in words(9001, 60).split())
+    docs = make(spark, many + [odd] * 200 + [" ".join(w + "###" for w in words(k, 60).split()) for k in range(9100, 9120)]).withColumn("lang", F.lit("en"))
+    marks = spark.createDataFrame([(i, int(i < 600), 0) for i in range(620)], LABELS)
+    got = {r.doc_id: r.kept for r in quality.score_documents(docs, marks).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[i] for i in range(600, 620))
+
+
 # 10. Near duplicates
 
 
