@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 
 LOWEST = -(1 << 63)
+BATCH_BYTES = 2 << 20
 
 
 def shield(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -37,6 +38,17 @@ def materialize(df: DataFrame, shrink: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of about `size` bytes from here on, in this session, instead of 64 MB or 10,000 rows: a task that
+    hands whole texts to Python then holds a few such batches and not its whole partition, several times over.
+
+    A limit that the session has below that stays. A row longer than that is a batch by itself.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
