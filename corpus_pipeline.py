@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclonet.llm import near_dedup, packing, pii, quality, substrings
-from cyclonet.llm.common import materialize, table
+from cyclonet.llm.common import bound_batches, materialize, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and blank texts go, as they have too few words; repeated rows are judged alike. Columns stay as they are.
     """
+    bound_batches(spark)
     return quality.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,11 +30,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows one stays; null and empty texts are one class.
     """
+    bound_batches(spark)
     return near_dedup.keep_one(docs, 0.8)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by a repeated window of 35 words go; their documents stay, with what is left (null: as it was)."""
+    bound_batches(spark)
     return _counted(substrings.rewrite_documents(docs, 35))
 
 
@@ -44,6 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens: one row for each piece; a null or empty text is its end token."""
+    bound_batches(spark)
     return packing.pack(docs, 2048)
 
 
