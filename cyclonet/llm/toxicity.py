@@ -4,8 +4,9 @@ Each class has a model of a letter after the ORDER - 1 letters before it within
 expression, it backs off to continuation counts that both classes share, so rare expressions weigh by their context
 alone. A word counts once a text, so that a text repeating a word is no more evidence than one that has it.
 Texts are judged by log-likelihood ratios of the classes, normalised by length in letters: that of the whole text and
-that of its most toxic run of RUN words, which a long text does not dilute. A logistic curve, fitted on labelled rows
-that the models did not see, turns the two into a score.
+that of its most toxic run of RUN words, which a long text does not dilute. A logistic curve turns the two into a
+score. It is fitted on labelled rows that the models did not see; the models that score are then counted anew with
+those rows too.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .words import mix
 
-ORDER = 5
+ORDER = 8
 DISCOUNT = 0.75
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 100_000
 KEPT_WORDS = 500_000  # word ratios that a worker keeps
 RUN = 2
 MODEL_ROWS = 6_000_000  # expressions and contexts that may be broadcast; beyond, words are joined to them
@@ -47,35 +48,37 @@ def grams_of(word: str) -> list[str]:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """gram, c0, c1: how often each run of ORDER letters occurs in ordinary and toxic texts' words, over all rows.
+    """part, gram, c0, c1: how often each run of ORDER letters occurs in ordinary and toxic texts' words, over all rows
+    of each part (0 or 1).
 
     Words count once a text and stand between ORDER - 1 blanks and one. A task counts words first and their letters
     once for each word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-
-        def out() -> pa.RecordBatch:
-            grams = (Counter(), Counter())
-            for words, to in zip(held, grams, strict=True):
-                for w, n in words.items():
-                    for g in grams_of(w):
-                        to[g] += n
-                words.clear()
-            keys = list(grams[0].keys() | grams[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([g[k] for k in keys], pa.int64()) for g in grams)], names=["gram", "c0", "c1"])
+        held = [(Counter(), Counter()) for _ in range(2)]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for part, classes in enumerate(held):
+                grams = (Counter(), Counter())
+                for words, to in zip(classes, grams, strict=True):
+                    for w, n in words.items():
+                        for g in grams_of(w):
+                            to[g] += n
+                    words.clear()
+                if keys := list(grams[0].keys() | grams[1].keys()):
+                    counts = (pa.array([g[k] for k in keys], pa.int64()) for g in grams)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.string()), *counts], names=["part", "gram", "c0", "c1"])
 
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[toxic].update(set(_words.findall((text or "").lower())))
-                if len(held[0]) + len(held[1]) > FLUSH_WORDS:
-                    yield out()
-        if held[0] or held[1]:
-            yield out()
+            for text, toxic, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                held[part][toxic].update(set(_words.findall((text or "").lower())))
+                if sum(len(c) for classes in held for c in classes) > FLUSH_WORDS:
+                    yield from out()
+        yield from out()
 
-    parts = labelled.select("text", "toxic").mapInArrow(run, "gram string, c0 long, c1 long")
-    return parts.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    parts = labelled.select("text", "toxic", "part").mapInArrow(run, "part int, gram string, c0 long, c1 long")
+    return parts.groupBy("part", "gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,18 +117,29 @@ def window_hashes(points: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def hashed(table: DataFrame, size: int) -> DataFrame:
+    """key, ratio of a table of expressions of `size` letters and ratios, so that the driver gets numbers only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            keys = window_hashes(points, size)[::size].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(1).cast(pa.float32())], names=["key", "ratio"])
+
+    return table.mapInArrow(run, "key long, ratio float")
+
+
 class Model:
-    """Sorted hashes of expressions and contexts with their ratios."""
+    """Sorted hashes of expressions and contexts with their ratios, from two tables of `hashed`."""
 
     def __init__(self, grams: pa.Table, contexts: pa.Table):
-        self.__setstate__([self._sorted(t, size) for t, size in ((grams, ORDER), (contexts, ORDER - 1))])
+        self.__setstate__([self._sorted(t) for t in (grams, contexts)])
 
     @staticmethod
-    def _sorted(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer("".join(t.column(0).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        keys = window_hashes(points, size)[::size]
+    def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys = t.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        return keys[order], t.column(1).to_numpy()[order].astype(np.float32)
+        return keys[order], t.column(1).to_numpy()[order]
 
     def __getstate__(self):
         return self.parts
@@ -275,31 +289,36 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, spread, w
 
 
+def look(docs: DataFrame, grams: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` with the texts' features by the models of these counts, which are broadcast up to MODEL_ROWS
+    expressions and contexts and joined to the texts' words beyond."""
+    seen, contexts = (materialize(t) for t in ratios(grams))
+    if seen.count() + contexts.count() > MODEL_ROWS:
+        return featured_by_join(docs, materialize(word_ratios(docs, seen, contexts)), keep)
+    model = Model(hashed(seen, ORDER).toArrow(), hashed(contexts, ORDER - 1).toArrow())
+    return featured(docs, docs.sparkSession.sparkContext.broadcast(model), keep)
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
-    Rows whose remainder is 2 are held out: neither models nor curve see their labels. Remainders 0 and 1 train the
-    models, 3 the curve. A doc_id labelled more than once is toxic if any label says so. Null or wordless text: the
-    curve at zero. Repeated rows score alike. No labels: one low score for all. Empty table: no rows.
+    Rows whose remainder is 2 are held out: neither models nor curve see their labels. The curve is fitted on remainder
+    3, with models of remainders 0 and 1; the models that score are of all three. A doc_id labelled more than once is
+    toxic if any label says so. Null or wordless text: the curve at zero. Repeated rows score alike. No labels: one low
+    score for all. Empty table: no rows.
     """
-    spark = docs.sparkSession
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(remainder("_id") != 2)
     marks = materialize(marks)
     if marks.count() <= LABEL_ROWS:
         marks = F.broadcast(marks)
     known = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"))
-    grams = materialize(gram_counts(known.filter(remainder() < 2)))
-    seen, contexts = (materialize(t) for t in ratios(grams))
-    if seen.count() + contexts.count() <= MODEL_ROWS:
-        model = spark.sparkContext.broadcast(Model(seen.toArrow(), contexts.toArrow()))
-        look = lambda df, keep: featured(df, model, keep)
-    else:
-        by_word = materialize(word_ratios(docs, seen, contexts))
-        look = lambda df, keep: featured_by_join(df, by_word, keep)
-    fit = look(known.filter(remainder() == 3), ["doc_id", "toxic"])
+    grams = materialize(gram_counts(known.withColumn("part", (remainder() == 3).cast("int"))))
+    whole = materialize(grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    last = known.filter(remainder() == 3)
+    fit = look(last, grams.filter("part = 0").drop("part"), ["doc_id", "toxic"])
     rows = fit.orderBy(F.xxhash64("doc_id"), "mean_ratio").limit(FIT_ROWS).select("mean_ratio", "top_ratio", "toxic").toArrow()
     x = np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy()], 1).reshape(-1, 2)
     mean, spread, w = fit_curve(x, rows.column(2).to_numpy().astype(np.float64))
     z = F.lit(float(w[-1])) + sum((F.col(c) - float(m)) * float(k / s) for c, m, s, k in zip(("mean_ratio", "top_ratio"), mean, spread, w, strict=False))
-    out = look(docs, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-z)))
+    out = look(docs, whole, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
