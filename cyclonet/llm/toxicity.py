@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .words import mix
 
-ORDER = 8
+ORDER = 5
 DISCOUNT = 0.75
 FLUSH_WORDS = 100_000
 KEPT_WORDS = 500_000  # word ratios that a worker keeps
