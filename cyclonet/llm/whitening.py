@@ -95,7 +95,8 @@ def whiten(vectors: DataFrame, most: int = 32, key: str = "vec_id", vector: str
     w = u[:, :k] / np.sqrt(e[:k])
     parts = [((i, 0), DenseMatrix(len(b), k, b.ravel(order="F").tolist())) for i, b in enumerate(np.split(w, range(COLS, d, COLS)))]
     white = product(a, BlockMatrix(spark.sparkContext.parallelize(parts, 1), COLS, k, d, k), 1)
-    projected = callMLlibFunc("getIndexedRows", white.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed = white.toIndexedRowMatrix()  # has a name, as the JVM's matrix may go as soon as its wrapper is collected
+    projected = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     projected = materialize(projected.select(F.col("index").alias("_i"), vector_to_array("vector").alias("w")))
     means = [s / n for s in sums(projected, "w")[1]]
     middle = F.array(*map(F.lit, means))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.mllib.common import JavaModelWrapper
 from pyspark.sql import functions as F
 
 from cyclonet.llm import contamination, phrases, queries, whitening
@@ -88,6 +89,14 @@ def test_awkward_vectors(spark):
     assert {r["deviation"] is None for r in far} == {True, False}  # null only where it does not fit
 
 
+def test_matrices_are_held_while_in_use(spark, monkeypatch):
+    """The JVM drops what a collected wrapper held at once here, and not whenever Py4J's worker comes to it."""
+    client = spark.sparkContext._gateway._gateway_client
+    monkeypatch.setattr(JavaModelWrapper, "__del__", lambda w: client.garbage_collect_object(w._java_model._target_id, False))
+    kept = [(i, [float(i), float(i * i % 7), float(-i % 5)]) for i in range(20)]
+    held_to_plain(whitening.whiten(spark.createDataFrame([(i, v, 0) for i, v in kept], VECTORS)).collect(), kept)
+
+
 # 12. Phrases
 
 
