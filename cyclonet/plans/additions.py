@@ -124,7 +124,7 @@ def _shuffle_rho(s, d, n: int = 24):
     c = materialize(contacts(s, d))
     p99 = fr.phase_delta(c.groupBy(*STATE).agg(F.expr("percentile(force, 0.99)").alias("p99")), ["run", "cycle"], "phase", ["p99"]).select("run", "cycle", F.col("p99_hot_minus_cold").alias("y"))
     rho = lambda rows, by: st.with_p(st.spearman(fr.phase_delta(rows, [*by, "run", "cycle"], "phase", ["loop_value_share"]).join(p99, ["run", "cycle"]), by, "loop_value_share_hot_minus_cold", "y", 4, ["run"]))
-    return rho(net.force_shuffle_null(c, STATE, n), ["rep"]), rho(net.percolation(c, STATE).withColumn("test", F.lit("loop_value_share")), ["test"])
+    return rho(net.force_shuffle_null(c, STATE, n, giants=False), ["rep"]), rho(net.percolation(c, STATE).withColumn("test", F.lit("loop_value_share")), ["test"])
 
 
 def _shuffle_p(s, d):

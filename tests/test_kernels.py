@@ -74,3 +74,43 @@ def test_cores_take_few_jobs(spark, states):
     few = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cores"))
     spark.sparkContext.setJobGroup("rest", "")
     assert few <= 8
+
+
+@pytest.fixture(scope="module")
+def valued(spark, states):
+    r = random.Random(9)
+    pairs = sorted({(x["state"], min(x["id1"], x["id2"]), max(x["id1"], x["id2"])) for x in states.collect() if x["id1"] != x["id2"]})
+    return spark.createDataFrame([(*p, float(r.randint(1, 40))) for p in pairs], "state string, id1 long, id2 long, force double")
+
+
+@pytest.fixture(scope="module")
+def sided(spark, valued):
+    r = random.Random(10)
+    ids = sorted({(x["state"], i) for x in valued.collect() for i in (x["id1"], x["id2"])} | {("a", 5000), ("b", 5001)})
+    return spark.createDataFrame([(s, i, r.random(), *(r.random() < 0.1 for _ in range(3))) for s, i in ids], "state string, id long, z double, bottom boolean, top boolean, side boolean")
+
+
+def same(a, b):
+    a, b = (sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr) for df in (a, b))
+    assert a == b and a
+
+
+def test_spanning_by_call_by_labels_and_by_joins(valued, sided):
+    cols = ["state", "spanning_components", "bottom_side_components", "span", "boundary_edge_share"]
+    one, labels, joins = (net.spanning(valued, ["state"], sided, local).select(cols) for local in (10_000, valued.groupBy("state").count().agg({"count": "max"}).first()[0], 0))
+    same(one, joins)
+    same(labels, joins)
+
+
+def test_loops_per_state_in_a_task_and_by_joins(states):
+    same(net.beta1(states, ["state"]), net.beta1(states, ["state"], local=0).select(net.beta1(states, ["state"]).columns))
+
+
+def test_counts_of_written_contacts_take_few_jobs(spark, valued, sided):
+    """By rounds a state took several written tables a round."""
+    jobs = lambda name: len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    for name, run in {"beta1": lambda: net.beta1(valued, ["state"]), "spanning": lambda: net.spanning(valued, ["state"], sided)}.items():
+        spark.sparkContext.setJobGroup(name, "")
+        run().collect()
+        spark.sparkContext.setJobGroup("rest", "")
+        assert jobs(name) <= 10
