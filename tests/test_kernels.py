@@ -114,3 +114,36 @@ def test_counts_of_written_contacts_take_few_jobs(spark, valued, sided):
         run().collect()
         spark.sparkContext.setJobGroup("rest", "")
         assert jobs(name) <= 10
+
+
+def test_neighbours_bring_their_columns(spark):
+    """A pair is not shuffled for its ends' columns: no join follows the one that makes the pairs."""
+    from cyclonet.operators import frames as fr
+
+    r = random.Random(11)
+    rows = [(s, i, r.random(), r.random(), r.random(), r.choice([0.02, 0.05])) for s in "ab" for i in range(150)]
+    df = spark.createDataFrame(rows, "state string, id long, x double, y double, z double, radius double")
+    got = fr.contact_overlap(df, ["state"])
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] and p[1] < q[1]:
+                dist = sum((p[k] - q[k]) ** 2 for k in (2, 3, 4)) ** 0.5
+                if p[5] + q[5] - dist >= -0.004 * 0.1:
+                    want[(p[0], p[1], q[1])] = (p[5], q[5], p[5] + q[5] - dist)
+    assert {(x.state, x.id1, x.id2): (x.radius1, x.radius2, pytest.approx(x.overlap)) for x in got.collect()} == want and want
+    joins = got._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins <= 5  # greatest radius, crowded cells (twice, with that of the greatest radius in each) and the pairs
+
+
+def test_null_of_loops_alone_and_its_copies(spark, valued):
+    full, loops = (net.force_shuffle_null(valued, ["state"], 5, giants=g) for g in (True, False))
+    same(full.select("state", "rep", "loop_births", "loop_fraction", "loop_value_share"), loops.select("state", "rep", "loop_births", "loop_fraction", "loop_value_share"))
+    assert loops.count() == 5 * valued.select("state").distinct().count()
+    many = spark.range(2000).selectExpr("concat('s', id % 40) AS state", "id AS id1", "id + 1 AS id2", "double(id) AS force")
+    assert "Generate" not in net.force_shuffle_null(many, ["state"], 24)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_curve_summary_in_a_task_and_by_joins(valued):
+    one = net.curve_summary(valued, ["state"])
+    same(one, net.curve_summary(valued, ["state"], local=0).select(one.columns))
